@@ -38,7 +38,7 @@ def _clean_flags(df: DataFrame, mode: str, as_of: str | None) -> dict[str, Colum
     else:
         flags["date_present"] = F.lit(True)
     flags["year_ok"] = flags["date_present"] & year.between(F.lit(1900), top)
-    flags["date_ok"] = flags["year_ok"] & F.try_to_date(date, F.lit("yyyyMMdd")).isNotNull() & (F.length(date) == 8)
+    flags["date_ok"] = flags["year_ok"] & F.try_to_date(date, "yyyyMMdd").isNotNull() & (F.length(date) == 8)
     flags["numeric_ok"] = flags["date_ok"]
     for c in _CRITICAL:
         flags["numeric_ok"] = flags["numeric_ok"] & numeric(_q(c)).isNotNull()
