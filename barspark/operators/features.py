@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.operators.ordering import DEFAULT_BLOCK_ROWS, with_blocks
-from barspark.operators.stats import exact_percentiles
+from barspark.operators.stats import exact_percentiles_many
 
 METHODS = ("minmax", "standard", "robust")
 
@@ -48,8 +48,9 @@ def normalize(df: DataFrame, method: str = "minmax", columns: Sequence[str] | No
             s = (b - a) if (method == "minmax" and a is not None and b is not None) else b
             scale[c] = s if s else 1.0
     else:
+        quart = exact_percentiles_many(df, cols, [0.25, 0.5, 0.75])
         for c in cols:
-            q25, q50, q75 = exact_percentiles(df, c, [0.25, 0.5, 0.75])
+            q25, q50, q75 = quart[c]
             center[c] = q50
             s = (q75 - q25) if q25 is not None else None
             scale[c] = s if s else 1.0

@@ -4,17 +4,24 @@ A window ``partitionBy(ticker)`` puts each ticker in one task. Instead the rows
 range-partitioned on ``keys + order`` (Spark samples the sort keys, so a hot ticker
 spreads over many tasks), numbered inside each partition, and turned into one global
 position ``_g`` with a per-partition offset table. That table has one row per shuffle
-partition, so broadcasting it is safe at any data volume.
+partition, so broadcasting it is safe at any data volume. The range-partitioned rows
+are materialised once (see :func:`_tagged`) so that the count and the rows agree.
 
 Windows then run per ``(key, _blk)`` with ``_blk = _g div block_rows``: every window
 partition holds at most ``block_rows`` rows (plus a copied *halo* of the rows just
 before the block, so bounded frames and EMA carries see their history).
+
+A row's rank inside its key is ``_g`` minus the key's first position; the first
+positions are a prefix sum over the per-key row counts (a partial aggregate, one row
+per key), joined back on ``(key, _blk)`` – a join key that never holds more than
+``block_rows`` rows, however hot the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +30,43 @@ _LOCAL_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the in-partitio
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+    return [F.col(f"`{c}`") if isinstance(c, str) else c for c in cols]
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _offsets(counts: DataFrame, total: str) -> DataFrame:
+    """``_pid → _off``: sum of ``total`` over all earlier partitions (one row per partition)."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_pid", F.coalesce(F.sum(total).over(before), F.lit(0)).alias("_off"))
+
+
+_PERSISTED: list[DataFrame] = []
+
+
+def release_positions() -> None:
+    """Unpersist every positioned frame this module materialised."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
+
+def _tagged(df: DataFrame, by: list[Column]) -> DataFrame:
+    """Range-partitioned, sorted rows with ``_pid`` and ``_mid``, materialised once.
+
+    Two consumers read these rows: the per-partition counts and the rows themselves.
+    Re-running the range exchange for each would draw a new sample (the sampler is
+    seeded by RDD id) and so new partition bounds; reading one materialised copy makes
+    both agree. Lost blocks are recomputed from the same partitioner, so they come back
+    identical. The explicit partition count keeps adaptive execution from coalescing.
+    """
+    ranged = df.repartitionByRange(_partitions(df), *by).sortWithinPartitions(*by)
+    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    _PERSISTED.append(tagged)
+    return tagged
 
 
 def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_g") -> DataFrame:
@@ -32,22 +75,27 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_
     ``order`` should make rows unique (add a tie-breaker column); rows that tie on
     every column are interchangeable, so ties only matter for exact duplicates.
     """
-    by = _cols(order)
-    ranged = df.repartitionByRange(*by)
-    # Row counts per range partition need no sort; positions are taken after the sort.
-    counts = (ranged.select(F.spark_partition_id().alias("_pid"))
-              .groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")))
-    tagged = (ranged.sortWithinPartitions(*by)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shuffle partition: the size bound is the partition count.
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
+    tagged = _tagged(df, _cols(order))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    return (tagged.join(F.broadcast(_offsets(counts, "_cnt")), "_pid")
             .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_BITS)))
             .drop("_pid", "_mid", "_off"))
 
 
+def weighted_start(df: DataFrame, order: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over all rows before this one in ``order``.
+
+    Used on small per-key tables (one row per key); distributed the same way as
+    :func:`global_position`, with a window per range partition for the running sum.
+    """
+    tagged = _tagged(df, _cols(order))
+    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
+    within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.join(F.broadcast(_offsets(totals, "_tot")), "_pid")
+            .withColumn(name, F.col("_off") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+            .drop("_pid", "_mid", "_off"))
+
+
 def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                 block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0) -> DataFrame:
     """Add ``_g`` (global position over ``keys + order``), ``_blk`` and ``_halo``.
@@ -68,24 +116,29 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .withColumn("_halo", F.col("_blk") != own))
 
 
+def key_spans(df: DataFrame, keys: Sequence[str], block_rows: int = DEFAULT_BLOCK_ROWS,
+              count: str = "_kn", first: str = "_kfirst") -> DataFrame:
+    """One row per ``(key, _blk)`` the key occupies, with the key's row count and first position."""
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(count))
+    starts = weighted_start(counts, list(keys), count, first)
+    lo = F.floor(F.col(first) / F.lit(block_rows)).cast("long")
+    hi = F.floor((F.col(first) + F.col(count) - 1) / F.lit(block_rows)).cast("long")
+    return starts.select(*keys, count, first, F.explode(F.sequence(lo, hi)).alias("_blk"))
+
+
 def with_key_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0,
                   rank: str = "_r", count: str = "_n") -> DataFrame:
     """Add the 0-based rank of each row within its key (``rank``) and the key's row count.
 
-    The rank is ``_g`` minus the key's first position. The first position and count
-    are aggregated per ``(key, _blk)`` (partial aggregation, so a hot key costs one
-    row per block) and joined back on ``(key, _blk)``, a join key that never holds
-    more than ``block_rows`` rows. Rows with a NULL key get no rank and drop out.
+    Rows with a NULL key get no rank and drop out.
     """
-    b = with_blocks(df, keys, order, block_rows, halo)
-    owned = b.filter(~F.col("_halo"))
-    blocks = owned.groupBy(*keys, "_blk").agg(F.min("_g").alias("_bfirst"),
-                                               F.count(F.lit(1)).alias("_bn"))
-    per_key = blocks.groupBy(*keys).agg(F.min("_bfirst").alias("_kfirst"),
-                                        F.sum("_bn").alias("_kn"))
-    stats = blocks.join(per_key, list(keys)).select(*keys, "_blk", "_kfirst", "_kn")
-    return (b.join(stats, [*keys, "_blk"])
+    keyed = df
+    for k in keys:
+        keyed = keyed.filter(F.col(f"`{k}`").isNotNull())
+    b = with_blocks(keyed, keys, order, block_rows, halo)
+    spans = key_spans(keyed, keys, block_rows, "_kn", "_kfirst")
+    return (b.join(spans, [*keys, "_blk"])
             .withColumn(rank, F.col("_g") - F.col("_kfirst"))
             .withColumnRenamed("_kn", count)
             .drop("_kfirst"))

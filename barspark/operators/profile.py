@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from barspark.functions.columns import base_name, file_extension, parent_dir, stooq_timestamp
 from barspark.operators.ordering import global_position, with_key_rank
-from barspark.operators.stats import exact_percentiles
+from barspark.operators.stats import exact_percentiles, exact_percentiles_many
 from barspark.schema import SIZE_CLASS_BOUNDS
 
 
@@ -95,8 +95,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                .agg(F.min(F.struct((-F.col("f")).alias("nf"), F.col("v").alias("v"))).alias("m")).first()["m"])
         rows.append((c, base[f"n_{c}"], base[f"u_{c}"], top["v"] if top else None,
                      -top["nf"] if top else None, None, None, None, None, None, None, None))
+    quart = exact_percentiles_many(df, num, [0.25, 0.5, 0.75])
     for c in num:
-        p25, p50, p75 = exact_percentiles(df, c, [0.25, 0.5, 0.75])
+        p25, p50, p75 = quart[c]
         rows.append((c, base[f"n_{c}"], None, None, None, base[f"mean_{c}"], base[f"std_{c}"],
                      base[f"min_{c}"], p25, p50, p75, base[f"max_{c}"]))
     return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
