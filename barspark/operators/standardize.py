@@ -63,12 +63,13 @@ def standardize_lenient(df: DataFrame, fmt: str = "txt", keep: list[str] | None
     return std.select(*_stooq_select(std, fmt), *extra).na.drop(subset=["timestamp", "close"])
 
 
-def conform_schema(df: DataFrame, fmt: str | None = None) -> DataFrame:
+def conform_schema(df: DataFrame, fmt: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Conform any frame to the bar schema.
 
     Missing columns become NULL, extra columns are dropped, columns come in schema
     order; numerics are coerced to DOUBLE (bad or nested → NULL); timestamps are coerced
-    (text parsed, bad → NULL). ``fmt`` stamps the ``format`` column.
+    (text parsed, bad → NULL). ``fmt`` stamps the ``format`` column; ``keep`` carries
+    extra columns (such as ``_source``) through.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     out = []
@@ -96,7 +97,7 @@ def conform_schema(df: DataFrame, fmt: str | None = None) -> DataFrame:
                 out.append(F.lit(None).cast("string").alias(name))
             else:
                 out.append(c.cast("string").alias(name))
-    return df.select(*out)
+    return df.select(*out, *[F.col(f"`{k}`") for k in (keep or [])])
 
 
 def ticker_from_path(path_col: str = "_source") -> F.Column:

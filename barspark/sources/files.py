@@ -35,10 +35,16 @@ def supported_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).filter(F.col("format").isNotNull())
 
 
-def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, header``: the first line of every text file (empty files have no row)."""
+def first_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """``path, header``: the first line of every text file (empty files have no row).
+
+    Only splits starting at byte 0 are kept, so the scan reads the head split of each file.
+    """
     ps = [paths] if isinstance(paths, str) else list(paths)
-    lines = (spark.read.option("recursiveFileLookup", True).text(ps)
+    reader = spark.read.option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = (reader.text(ps)
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
                      F.monotonically_increasing_id().alias("_pos"), "value")
              .filter(F.col("_start") == 0))
@@ -59,7 +65,7 @@ def missing_names(names: Column, required: Sequence[str]) -> Column:
 def discover_stooq_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """Stooq text files under ``root`` whose header has the required names."""
     files = list_files(spark, root, pattern).filter(F.col("length") > 0)
-    heads = first_lines(spark, root if pattern is None else f"{root.rstrip('/')}/**/{pattern}")
+    heads = first_lines(spark, root, pattern)
     return (files.join(heads, "path", "left")
             .withColumn("missing", missing_names(header_names(F.coalesce("header", F.lit(""))), STOOQ_REQUIRED))
             .withColumn("is_stooq", F.size("missing") == 0))

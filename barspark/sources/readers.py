@@ -37,26 +37,37 @@ def detect_format(path: str) -> str:
     return EXTENSION_FORMATS[ext]
 
 
+def _reader(spark: SparkSession, recursive: bool = False, glob: str | None = None):
+    r = spark.read
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r
+
+
 def _with_source(df: DataFrame, with_source: bool) -> DataFrame:
     return df.withColumn("_source", F.col("_metadata.file_path")) if with_source else df
 
 
-def read_csv(spark: SparkSession, paths, with_source: bool = False, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, paths, with_source: bool = False, sep: str = ",",
+             recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Bar CSV with a header (S2): read as text columns, then conformed."""
     configure(spark)
-    raw = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+    raw = (_reader(spark, recursive, glob).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
            .schema(STRING_BARS).csv(_paths(paths)))
     raw = _with_source(raw, with_source)
-    out = conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")))
-    return out.withColumn("_source", raw["_source"]) if with_source else out
+    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")),
+                          keep=["_source"] if with_source else None)
 
 
 def _json_is_array(spark: SparkSession, paths: list[str]) -> bool:
-    first = (spark.read.text(paths).filter(F.trim("value") != "").limit(1).collect())
+    first = (spark.read.option("recursiveFileLookup", True).text(paths).filter(F.trim("value") != "").limit(1).collect())
     return bool(first) and first[0]["value"].lstrip().startswith("[")
 
 
-def read_json(spark: SparkSession, paths, with_source: bool = False, multiline: bool | None = None) -> DataFrame:
+def read_json(spark: SparkSession, paths, with_source: bool = False, multiline: bool | None = None,
+              recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Bar JSON (S3): one record per line, or one array of records (``multiline``).
 
     The form is picked from the first non-blank character, not by trying and failing.
@@ -66,33 +77,36 @@ def read_json(spark: SparkSession, paths, with_source: bool = False, multiline:
     if multiline is None:
         multiline = _json_is_array(spark, ps)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
-    raw = spark.read.option("multiLine", multiline).schema(schema).json(ps)
+    raw = _reader(spark, recursive, glob).option("multiLine", multiline).schema(schema).json(ps)
     raw = _with_source(raw, with_source)
-    out = conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")))
-    return out.withColumn("_source", raw["_source"]) if with_source else out
+    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")),
+                          keep=["_source"] if with_source else None)
 
 
-def stooq_separator(spark: SparkSession, paths: list[str]) -> str:
+def stooq_separator(spark: SparkSession, paths: list[str], recursive: bool = False,
+                    glob: str | None = None) -> str:
     """Tab when the header line holds a tab, else comma."""
-    head = spark.read.text(paths).limit(1).collect()
+    head = _reader(spark, recursive, glob).text(paths).limit(1).collect()
     return "\t" if head and "\t" in head[0]["value"] else ","
 
 
-def read_stooq_raw(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False) -> DataFrame:
-    """Stooq text as all-string columns named by the header."""
+def read_stooq_raw(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False,
+                   recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """Stooq text as all-string columns in header order."""
     ps = _paths(paths)
-    sep = sep or stooq_separator(spark, ps)
+    sep = sep or stooq_separator(spark, ps, recursive, glob)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in STOOQ_COLUMNS])
-    raw = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+    raw = (_reader(spark, recursive, glob).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
            .schema(schema).csv(ps))
     return _with_source(raw, with_source)
 
 
-def read_stooq(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False) -> DataFrame:
+def read_stooq(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False,
+               recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Stooq text → standard bars (S4 + T1)."""
     configure(spark)
-    raw = read_stooq_raw(spark, paths, sep, with_source)
+    raw = read_stooq_raw(spark, paths, sep, with_source, recursive, glob)
     return standardize_stooq(raw, keep=["_source"] if with_source else None)
 
 
@@ -100,8 +114,7 @@ def read_parquet(spark: SparkSession, paths, with_source: bool = False) -> DataF
     """Parquet (S5); column pruning and filters reach the scan."""
     configure(spark)
     raw = _with_source(spark.read.parquet(*_paths(paths)), with_source)
-    out = conform_schema(raw)
-    return out.withColumn("_source", raw["_source"]) if with_source else out
+    return conform_schema(raw, keep=["_source"] if with_source else None)
 
 
 def read_feather(spark: SparkSession, paths, with_source: bool = False) -> DataFrame:
@@ -122,16 +135,17 @@ def read_table(spark: SparkSession, name: str, preview: bool = False) -> DataFra
     return df.limit(100) if preview else df
 
 
-def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool = False) -> DataFrame:
+def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool = False,
+         recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Read any supported format into bars (S1); ``fmt`` defaults to the first path's extension."""
     ps = _paths(paths)
     fmt = fmt or detect_format(ps[0])
     if fmt == "csv":
-        return read_csv(spark, ps, with_source)
+        return read_csv(spark, ps, with_source, recursive=recursive, glob=glob)
     if fmt == "json":
-        return read_json(spark, ps, with_source)
+        return read_json(spark, ps, with_source, recursive=recursive, glob=glob)
     if fmt == "txt":
-        return read_stooq(spark, ps, with_source=with_source)
+        return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob)
     if fmt in ("parquet", "polars", "pyarrow"):
         return read_parquet(spark, ps, with_source)
     if fmt == "feather":
@@ -169,8 +183,7 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
         raise ValueError(f"{first['path']}: {first['error']}")
     if good.limit(1).count() == 0:
         raise ValueError("No valid files could be loaded")
-    data = load(spark, f"{root.rstrip('/')}/**/{pattern or ext}" if fmt != "parquet" else root, fmt,
-                with_source=True)
+    data = load(spark, root, fmt, with_source=True, recursive=True, glob=pattern or ext)
     bars = (data.withColumn("_p", _plain(F.col("_source")))
             .join(good, F.col("_p") == F.col("_good"), "left_semi").drop("_p"))
     return bars, skipped

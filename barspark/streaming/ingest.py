@@ -40,10 +40,8 @@ def _to_bars(batch: DataFrame, fmt: str) -> DataFrame:
     if fmt == "txt":
         return standardize_stooq(batch, keep=["_source"])
     if fmt in ("csv", "json"):
-        out = conform_schema(batch.withColumn("timestamp", F.try_to_timestamp("timestamp")))
-    else:
-        out = conform_schema(batch)
-    return out.withColumn("_source", batch["_source"])
+        batch = batch.withColumn("timestamp", F.try_to_timestamp("timestamp"))
+    return conform_schema(batch, keep=["_source"])
 
 
 def ingest_files(spark: SparkSession, src: str, table_path: str, checkpoint: str, fmt: str = "csv",
