@@ -16,11 +16,12 @@ def _c(c: Column | str) -> Column:
 
 
 def numeric(c: Column | str) -> Column:
-    """Coerce any value to DOUBLE; unparsable text, NaN and nested values become NULL."""
-    col = _c(c)
-    as_text = col.cast("string")
-    parsed = F.when(as_text.rlike(NUMBER_PATTERN), F.trim(as_text).try_cast("double"))
-    return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
+    """Coerce text to DOUBLE; text that is not a plain number (``nan``, ``1d``, ``N/A``) → NULL.
+
+    The pattern admits digits, sign, point and exponent only, so the result is never NaN.
+    """
+    as_text = _c(c).cast("string")
+    return F.when(as_text.rlike(NUMBER_PATTERN), F.trim(as_text).try_cast("double"))
 
 
 def numeric_from(c: Column | str, dtype) -> Column:

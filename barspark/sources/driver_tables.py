@@ -15,8 +15,21 @@ from barspark.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a scan with fewer splits than task slots is spread round-robin.
+
+    Large inputs have many more splits than slots, so this never shuffles them.
+    """
     configure(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame with fewer partitions than task slots over all slots."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def _bars(ticker: Column, ts: Column, price: Column, key: Column, fmt: Column) -> list[Column]:
