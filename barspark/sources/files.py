@@ -16,16 +16,38 @@ from barspark.functions.columns import file_extension
 from barspark.schema import EXTENSION_FORMATS, STOOQ_REQUIRED
 
 
+def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """Zero-byte files under ``root`` (Spark's file scans skip them), from a metadata listing."""
+    import fnmatch
+    from pyarrow import fs as pafs
+
+    from barspark.sources.arrow_ipc import _fs, _uri
+    filesystem, base = _fs(root)
+    rows = []
+    try:
+        infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
+    except (FileNotFoundError, OSError):
+        infos = []
+    for info in infos:
+        if info.type == pafs.FileType.File and info.size == 0 and \
+                (pattern is None or fnmatch.fnmatch(info.base_name, pattern)):
+            path = _uri(root, info.path)
+            rows.append(("file:" + path if "://" not in path else path, 0, info.mtime))
+    return spark.createDataFrame(rows, "path string, length long, modification_time timestamp")
+
+
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """``path, length, modification_time, extension, format`` of every file under ``root``.
 
-    Files with an unknown extension get a NULL ``format``; filter on it to keep
-    supported files only.
+    The ``binaryFile`` source lists non-empty files without reading their content;
+    zero-byte files come from :func:`empty_files`. Files with an unknown extension get
+    a NULL ``format``; filter on it to keep supported files only.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(root).select("path", "length", F.col("modificationTime").alias("modification_time"))
+    files = (reader.load(root).select("path", "length", F.col("modificationTime").alias("modification_time"))
+             .unionByName(empty_files(spark, root, pattern)))
     fmt = F.create_map(*[x for k, v in EXTENSION_FORMATS.items() for x in (F.lit(k), F.lit(v))])
     return (files.withColumn("extension", file_extension(F.col("path")))
             .withColumn("format", F.element_at(fmt, F.col("extension"))))
