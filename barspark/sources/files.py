@@ -57,20 +57,36 @@ def supported_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).filter(F.col("format").isNotNull())
 
 
-def first_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """``path, header``: the first line of every text file (empty files have no row).
+HEAD_BYTES = 1 << 16  # a header line longer than this is cut
 
-    Only splits starting at byte 0 are kept, so the scan reads the head split of each file.
+
+def _read_heads(batches):
+    """mapInPandas body: the first line of each listed file, reading at most HEAD_BYTES."""
+    import pandas as pd
+
+    from barspark.sources.arrow_ipc import _fs
+    for pdf in batches:
+        heads = []
+        for path in pdf["path"]:
+            try:
+                filesystem, inner = _fs(path)
+                with filesystem.open_input_stream(inner) as fh:
+                    data = fh.read(HEAD_BYTES)
+                heads.append(data.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace"))
+            except (FileNotFoundError, OSError):
+                heads.append(None)
+        yield pd.DataFrame({"path": pdf["path"], "header": heads})
+
+
+def first_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """``path, header``: the first line of every non-empty file under ``root``.
+
+    Each task opens its share of the listed files and reads only their first bytes, so
+    the cost follows the number of files, not their size.
     """
-    ps = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = (reader.text(ps)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
-                     F.monotonically_increasing_id().alias("_pos"), "value")
-             .filter(F.col("_start") == 0))
-    return lines.groupBy("path").agg(F.min_by("value", "_pos").alias("header"))
+    from barspark.sources.driver_tables import spread
+    files = list_files(spark, root, glob).filter(F.col("length") > 0).select("path")
+    return spread(files).mapInPandas(_read_heads, "path string, header string")
 
 
 def header_names(header: Column, sep_auto: bool = True) -> Column:
