@@ -16,6 +16,11 @@ from barspark.functions.columns import file_extension
 from barspark.schema import EXTENSION_FORMATS, STOOQ_REQUIRED
 
 
+def _hidden(name: str) -> bool:
+    """Spark's rule for names its file sources skip (markers, temporary files)."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
 def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """Zero-byte files under ``root`` (Spark's file scans skip them), from a metadata listing."""
     import fnmatch
@@ -29,6 +34,9 @@ def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> D
     except (FileNotFoundError, OSError):
         infos = []
     for info in infos:
+        rel = info.path[len(base):].strip("/").split("/")
+        if any(_hidden(part) for part in rel):
+            continue
         if info.type == pafs.FileType.File and info.size == 0 and \
                 (pattern is None or fnmatch.fnmatch(info.base_name, pattern)):
             path = _uri(root, info.path)
