@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.functions.columns import file_stem, numeric, numeric_from, stooq_timestamp
-from barspark.schema import BAR_COLUMNS, NUMERIC_COLUMNS, STOOQ_COLUMNS, STOOQ_STANDARDIZE_REQUIRED
+from barspark.schema import BAR_COLUMNS, BAR_SCHEMA, NUMERIC_COLUMNS, STOOQ_COLUMNS, STOOQ_STANDARDIZE_REQUIRED
 
 
 def _require(df: DataFrame, required: list[str], what: str) -> None:
@@ -83,7 +83,10 @@ def conform_schema(df: DataFrame, fmt: str | None = None, keep: list[str] | None
             continue
         dtype = types[name]
         c = F.col(f"`{name}`")
-        if name in NUMERIC_COLUMNS:
+        if dtype == BAR_SCHEMA[name].dataType:
+            # already the bar type: pass through untouched so filters still reach the scan
+            out.append(c)
+        elif name in NUMERIC_COLUMNS:
             out.append(numeric_from(c, dtype).alias(name))
         elif name == "timestamp":
             if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
