@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators import profile as pf
 from barspark.plans.registry import query
-from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, stooq_bars_sql
+from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, num_sql, rnd, stooq_bars_sql, stooq_ts_sql
 from barspark.schema import BAR_COLUMNS
 from barspark.session import scratch_path
 from barspark.sources import files as fl
@@ -193,3 +193,62 @@ def q_ingest_stream(spark, sf_dir):
 def q_ingest_log(spark, sf_dir):
     _, log = _ingest(spark, sf_dir)
     return ingest_summary(spark, log).select("batches", "files", "rows")
+
+
+# --- K9, V6, §3 C, §3 D -------------------------------------------------------------------------
+
+@query("export_filtered", f"""WITH bars AS ({EVENTS_BARS}) SELECT {BAR9_SQL} FROM bars
+WHERE close > 100 AND format IN ('view', 'click')""")
+def q_export_filtered(spark, sf_dir):
+    from barspark.operators.standardize import conform_schema
+    out = scratch_path(spark, "export")
+    sk.export_view(conform_schema(_bars9(spark, sf_dir)), out, "parquet",
+                   [{"column": "close", "operator": "greater_than", "value": 100},
+                    {"column": "format", "operator": "in", "value": ["view", "click"]}])
+    return rd.read_parquet(spark, out)
+
+
+@query("clean_folder", f"""WITH raw AS ({EVENTS_STOOQ})
+SELECT "<TICKER>", "<DATE>", "<TIME>", {', '.join(f'{num_sql(q)} AS {q}' for q in ['"<OPEN>"', '"<CLOSE>"'])},
+"<TICKER>" AS source_file FROM raw
+WHERE "<DATE>" IS NOT NULL AND "<DATE>" != '' AND "<DATE>" != 'nan'
+AND (CASE WHEN regexp_full_match(substr(trim("<DATE>"), 1, 4), '\\s*[+-]?\\d+\\s*')
+     THEN TRY_CAST(trim(substr(trim("<DATE>"), 1, 4)) AS INTEGER) END) BETWEEN 1900 AND 2025
+AND try_strptime(trim("<DATE>"), '%Y%m%d') IS NOT NULL AND length(trim("<DATE>")) = 8
+AND {' AND '.join(f'{num_sql(q)} IS NOT NULL' for q in ['"<OPEN>"', '"<HIGH>"', '"<LOW>"', '"<CLOSE>"'])}""")
+def q_clean_folder(spark, sf_dir):
+    from barspark.plans.report import clean_folder
+    root, out = _stooq_folder(spark, sf_dir), scratch_path(spark, "cleaned")
+    clean_folder(spark, f"{root}/good", out, "v2", as_of="2025-06-30",
+                 partition_key=lambda c: F.regexp_extract(c, r"_part=([^/]+)/", 1))
+    back = spark.read.option("header", True).option("recursiveFileLookup", False).csv(out)
+    return back.select("`<TICKER>`", "`<DATE>`", "`<TIME>`", F.col("`<OPEN>`").cast("double").alias("<OPEN>"),
+                       F.col("`<CLOSE>`").cast("double").alias("<CLOSE>"), F.col("source_file").cast("string"))
+
+
+@query("quality_report_files", f"""WITH raw AS ({EVENTS_STOOQ}),
+b AS (SELECT "<TICKER>" AS ticker, {stooq_ts_sql()} AS ts, {num_sql('"<CLOSE>"')} AS close FROM raw),
+v AS (SELECT * FROM b WHERE ts IS NOT NULL)
+SELECT ticker, count(*) AS records, count(DISTINCT CAST(ts AS DATE)) AS trading_days, min(ts) AS start_date,
+max(ts) AS end_date, max(ts) > TIMESTAMP '2024-01-29 12:00:00' AS has_future_dates FROM v GROUP BY ticker""")
+def q_quality_report_files(spark, sf_dir):
+    from barspark.plans.report import quality_report
+    root = _stooq_folder(spark, sf_dir)
+    rep = quality_report(spark, root, as_of="2024-01-29 12:00:00")
+    # files failing the header check (the bad/ folder) are reported as issues, not profiled
+    return rep["files"].select(F.regexp_extract("source", r"_part=([^/]+)/", 1).alias("ticker"), "records",
+                               "trading_days", "start_date", "end_date", "has_future_dates")
+
+
+@query("preprocess_file", f"""WITH bars AS ({EVENTS_BARS}),
+st AS (SELECT {', '.join(f'min({c}) AS a_{c}, max({c}) - min({c}) AS s_{c}' for c in ['open', 'high', 'low', 'close', 'vol', 'openint'])} FROM bars)
+SELECT {', '.join(f"{rnd(f'({c} - a_{c}) / (CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END)')} AS {c}" for c in ['open', 'high', 'low', 'close', 'vol', 'openint'])}
+FROM bars, st""")
+def q_preprocess_file(spark, sf_dir):
+    from barspark.functions.columns import rounded
+    from barspark.plans.prepare import preprocess_file
+    src, out = scratch_path(spark, "pre-src"), scratch_path(spark, "pre-out")
+    sk.save(_bars9(spark, sf_dir), src, "parquet")
+    preprocess_file(spark, src, out, "parquet", "minmax")
+    back = spark.read.parquet(out)
+    return back.select(*[rounded(c).alias(c) for c in back.columns])

@@ -127,3 +127,14 @@ def test_ingest_only_new_files(spark, tmp_dir):
     assert spark.read.parquet(table).count() == 6
     s = ingest_summary(spark, log, total_files=6).first()
     assert (s["batches"], s["files"], s["rows"], s["percent"]) == (4, 6, 6, 100.0)
+
+
+def test_cli_load_and_convert(spark, tmp_dir):
+    from barspark.__main__ import main
+    root = os.path.join(tmp_dir, "cli")
+    os.makedirs(root)
+    _stooq_file(os.path.join(root, "aaa.txt"), 4)
+    assert main(["load", root]) == 0
+    out = os.path.join(tmp_dir, "cli_out")
+    assert main(["convert", os.path.join(root, "aaa.txt"), out, "--from", "txt", "--to", "parquet"]) == 0
+    assert rd.read_parquet(spark, out).count() == 4
