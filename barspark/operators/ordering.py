@@ -11,10 +11,9 @@ Windows then run per ``(key, _blk)`` with ``_blk = _g div block_rows``: every wi
 partition holds at most ``block_rows`` rows (plus a copied *halo* of the rows just
 before the block, so bounded frames and EMA carries see their history).
 
-A row's rank inside its key is ``_g`` minus the key's first position; the first
-positions are a prefix sum over the per-key row counts (a partial aggregate, one row
-per key), joined back on ``(key, _blk)`` – a join key that never holds more than
-``block_rows`` rows, however hot the key.
+A row's rank inside its key is ``_g`` minus the key's first position (``min(_g)`` per
+key, a partial aggregate), joined back on ``(key, _blk)`` – a join key that never
+holds more than ``block_rows`` rows, however hot the key.
 """
 
 from __future__ import annotations
@@ -82,20 +81,6 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_
             .drop("_pid", "_mid", "_off"))
 
 
-def weighted_start(df: DataFrame, order: Sequence[str], weight: str, name: str) -> DataFrame:
-    """Add ``name`` = sum of ``weight`` over all rows before this one in ``order``.
-
-    Used on small per-key tables (one row per key); distributed the same way as
-    :func:`global_position`, with a window per range partition for the running sum.
-    """
-    tagged = _tagged(df, _cols(order))
-    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
-    within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    return (tagged.join(F.broadcast(_offsets(totals, "_tot")), "_pid")
-            .withColumn(name, F.col("_off") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
-            .drop("_pid", "_mid", "_off"))
-
-
 def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                 block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0) -> DataFrame:
     """Add ``_g`` (global position over ``keys + order``), ``_blk`` and ``_halo``.
@@ -116,11 +101,16 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .withColumn("_halo", F.col("_blk") != own))
 
 
-def key_spans(df: DataFrame, keys: Sequence[str], block_rows: int = DEFAULT_BLOCK_ROWS,
+def key_spans(positioned: DataFrame, keys: Sequence[str], block_rows: int = DEFAULT_BLOCK_ROWS,
               count: str = "_kn", first: str = "_kfirst") -> DataFrame:
-    """One row per ``(key, _blk)`` the key occupies, with the key's row count and first position."""
-    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(count))
-    starts = weighted_start(counts, list(keys), count, first)
+    """One row per ``(key, _blk)`` the key occupies, with the key's row count and first position.
+
+    The order sorts by key first, so a key's rows hold consecutive positions and its
+    first position is ``min(_g)``: a partial aggregate, one row per key and map task.
+    """
+    own = positioned.filter(~F.col("_halo")) if "_halo" in positioned.columns else positioned
+    starts = own.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min("_g").alias(first),
+                                                                F.count(F.lit(1)).alias(count))
     lo = F.floor(F.col(first) / F.lit(block_rows)).cast("long")
     hi = F.floor((F.col(first) + F.col(count) - 1) / F.lit(block_rows)).cast("long")
     return starts.select(*keys, count, first, F.explode(F.sequence(lo, hi)).alias("_blk"))
@@ -137,7 +127,7 @@ def with_key_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     for k in keys:
         keyed = keyed.filter(F.col(f"`{k}`").isNotNull())
     b = with_blocks(keyed, keys, order, block_rows, halo)
-    spans = key_spans(keyed, keys, block_rows, "_kn", "_kfirst")
+    spans = key_spans(b, keys, block_rows, "_kn", "_kfirst")
     return (b.join(spans, [*keys, "_blk"])
             .withColumn(rank, F.col("_g") - F.col("_kfirst"))
             .withColumnRenamed("_kn", count)

@@ -175,7 +175,8 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
     from barspark.sources.files import _plain, list_files, validate_files
     ext = {"txt": "*.txt", "csv": "*.csv", "json": "*.json", "parquet": "*.parquet"}.get(fmt, "*")
     listing = list_files(spark, root, pattern or ext).select("path", F.lit(fmt).alias("format"))
-    verdict = validate_files(spark, listing, root)
+    # one row per file, read by the checks below and by the semi-join: computed once
+    verdict = validate_files(spark, listing, root).cache()
     skipped = verdict.filter(~F.col("valid")).select("path", "error")
     good = verdict.filter(F.col("valid")).select(_plain(F.col("path")).alias("_good"))
     if strict and skipped.limit(1).count() > 0:
