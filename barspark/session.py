@@ -53,14 +53,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when the session has none (a test on one machine) is a temporary folder
     registered as the checkpoint directory.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+        base = sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        sc, base = None, None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="barspark-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir() or base
     return base.rstrip("/")
 
 

@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a DataFrame with fewer partitions than task slots over all slots."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def _bars(ticker: Column, ts: Column, price: Column, key: Column, fmt: Column) -> list[Column]:
