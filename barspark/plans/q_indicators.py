@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from barspark.operators import indicators as ind
 from barspark.plans.registry import query
 from barspark.functions.columns import rounded
-from barspark.plans.sql_fragments import EVENTS_BARS, ema_sql, rnd
-from barspark.sources.driver_tables import events_bars
+from barspark.plans.sql_fragments import EVENTS_BARS, ORDERS_BARS, ema_sql, rnd
+from barspark.sources.driver_tables import events_bars, orders_bars
 
 ORDER = ("timestamp", "seq")
 KEYS = ["ticker", "timestamp", "seq", "close"]
 R = 4  # decimals kept for compared window results
 
-_BASE = f"""
-WITH bars AS ({EVENTS_BARS}),
+def _base(bars_sql: str) -> str:
+    return f"""
+WITH bars AS ({bars_sql}),
 r AS (SELECT ticker, "timestamp", seq, close,
              row_number() OVER (PARTITION BY ticker ORDER BY "timestamp", seq) - 1 AS rn
       FROM bars),
@@ -47,6 +48,9 @@ allx AS (
           JOIN s ON rs.ticker = s.ticker AND rs.rn = s.rn)
 """
 
+
+_BASE = _base(EVENTS_BARS)
+
 _GROUPS = {
     "sma": ["sma_20", "sma_50"],
     "ema": ["ema_12", "ema_26"],
@@ -57,9 +61,9 @@ _GROUPS = {
 _ALL = [c for g in _GROUPS.values() for c in g]
 
 
-def _oracle(cols: list[str]) -> str:
-    sel = ", ".join(f"{rnd(c, R)} AS {c}" for c in cols)
-    return f"{_BASE} SELECT ticker, \"timestamp\", seq, close, {sel} FROM allx"
+def _oracle(cols: list[str], base: str = _BASE, places: int = R) -> str:
+    sel = ", ".join(f"{rnd(c, places)} AS {c}" for c in cols)
+    return f"{base} SELECT ticker, \"timestamp\", seq, close, {sel} FROM allx"
 
 
 def _spark(spark, sf_dir, which, cols, block_rows=ind.DEFAULT_BLOCK_ROWS):
@@ -78,3 +82,13 @@ for _name, _cols in _GROUPS.items():
     def _make(which=_name, cols=_cols):
         return lambda spark, sf_dir: _spark(spark, sf_dir, (which,), cols)
     query(_name, _oracle(_cols))(_make())
+
+
+R_TIED = 2  # order prices are ~1e5, so fewer decimals keep the same relative precision
+
+
+@query("indicators_tied_timestamps", _oracle(_ALL, _base(ORDERS_BARS), R_TIED))
+def q_indicators_tied(spark, sf_dir):
+    """Bars from ``orders``: many share a timestamp; ``seq`` (the order key) breaks ties."""
+    out = ind.technical_indicators(orders_bars(spark, sf_dir), order=ORDER)
+    return out.select(*KEYS, *[rounded(c, R_TIED).alias(c) for c in _ALL])
