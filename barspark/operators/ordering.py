@@ -46,7 +46,11 @@ _PERSISTED: list[DataFrame] = []
 
 
 def release_positions() -> None:
-    """Unpersist every positioned frame this module materialised."""
+    """Unpersist every positioned frame this module materialised.
+
+    Call it once no DataFrame built on those positions will run again: a positioned
+    frame evaluated after its release would recompute the range shuffle per branch.
+    """
     while _PERSISTED:
         _PERSISTED.pop().unpersist()
 

@@ -138,3 +138,30 @@ def test_cli_load_and_convert(spark, tmp_dir):
     out = os.path.join(tmp_dir, "cli_out")
     assert main(["convert", os.path.join(root, "aaa.txt"), out, "--from", "txt", "--to", "parquet"]) == 0
     assert rd.read_parquet(spark, out).count() == 4
+
+
+def test_ingest_stooq_text(spark, tmp_dir):
+    src, table, ckpt = (os.path.join(tmp_dir, n) for n in ("src", "table", "ckpt"))
+    os.makedirs(src)
+    for i in range(3):
+        with open(os.path.join(src, f"t{i}.txt"), "w") as fh:
+            fh.write("\t".join(["<TICKER>", "<PER>", "<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>", "<CLOSE>",
+                                "<VOL>", "<OPENINT>"]) + "\n")
+            fh.write("\t".join([f"T{i}", "D", "20240102", "93000", "1", "2", "0.5", "1.5", "10", "0"]) + "\n")
+            fh.write("\t".join([f"T{i}", "D", "20241302", "0", "1", "2", "0.5", "1.5", "10", "0"]) + "\n")
+    ingest_files(spark, src, table, ckpt, "txt", batch_size=1)
+    out = spark.read.parquet(table)
+    assert out.count() == 3 and out.filter(F.col("timestamp") == dt.datetime(2024, 1, 2, 9, 30)).count() == 3
+
+
+def test_arrow_ipc_stream_and_files(spark, tmp_dir):
+    import pyarrow as pa
+    d = os.path.join(tmp_dir, "ipc")
+    os.makedirs(d)
+    t = pa.table({"ticker": ["A", "B"], "close": [1.0, 2.0]})
+    with pa.OSFile(os.path.join(d, "a.feather"), "wb") as sink, pa.ipc.new_file(sink, t.schema) as w:
+        w.write_table(t)
+    with pa.OSFile(os.path.join(d, "b.arrow"), "wb") as sink, pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    out = rd.read_feather(spark, d)
+    assert out.count() == 4 and out.columns[0] == "ticker" and out.filter(F.col("open").isNull()).count() == 4
