@@ -47,13 +47,18 @@ def sorted_positions(df: DataFrame, column: str, descending: bool = False,
     return global_position(df, [key, *[_c(t) for t in tiebreak]], name)
 
 
-def page(df: DataFrame, order: Sequence[str | Column], page_number: int, page_size: int) -> DataFrame:
-    """Rows ``(page-1)·size`` … ``page·size - 1`` in ``order``."""
+def page(df: DataFrame, order: Sequence[str | Column], page_number: int, page_size: int,
+         shallow_rows: int | None = None) -> DataFrame:
+    """Rows ``(page-1)·size`` … ``page·size - 1`` in ``order``.
+
+    Pages ending within ``shallow_rows`` (default :data:`SHALLOW_ROWS`) use a top-k sort;
+    deeper pages filter a distributed row index instead of keeping ``offset`` rows per task.
+    """
     if page_size <= 0 or page_number <= 0:
         raise ValueError("page and page size must be positive")
     start = (page_number - 1) * page_size
     by = [_c(o) for o in order]
-    if start + page_size <= SHALLOW_ROWS:
+    if start + page_size <= (SHALLOW_ROWS if shallow_rows is None else shallow_rows):
         return df.orderBy(*by).offset(start).limit(page_size)
     pos = global_position(df, by, "_pos")
     return pos.filter((F.col("_pos") >= start) & (F.col("_pos") < start + page_size)).orderBy("_pos").drop("_pos")

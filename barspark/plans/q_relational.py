@@ -104,12 +104,7 @@ def q_page(spark, sf_dir):
 @query("page_deep", f"""{W} SELECT {BAR_SQL} FROM bars ORDER BY "timestamp", seq LIMIT 50 OFFSET 5000""")
 def q_page_deep(spark, sf_dir):
     # a page beyond the top-k limit goes through the distributed row index
-    old = pg.SHALLOW_ROWS
-    pg.SHALLOW_ROWS = 1000
-    try:
-        return pg.page(_bars(spark, sf_dir), ["timestamp", "seq"], 101, 50)
-    finally:
-        pg.SHALLOW_ROWS = old
+    return pg.page(_bars(spark, sf_dir), ["timestamp", "seq"], 101, 50, shallow_rows=1000)
 
 
 @query("page_count", f"""{W} SELECT count(*) AS total_rows, 100 AS page_size,

@@ -66,12 +66,7 @@ def test_row_access_5000(spark):
     assert pg.row_range(df, ["timestamp"], 6000, 6010).count() == 0
     assert pg.page_count(df, 100).first()["total_pages"] == 50
     assert pg.page(df, ["timestamp"], 3, 1000).first()["close"] == pytest.approx(150 + 0.1 * 2000)
-    old = pg.SHALLOW_ROWS
-    pg.SHALLOW_ROWS = 10
-    try:
-        assert pg.page(df, ["timestamp"], 5, 100).first()["close"] == pytest.approx(150 + 0.1 * 400)
-    finally:
-        pg.SHALLOW_ROWS = old
+    assert pg.page(df, ["timestamp"], 5, 100, shallow_rows=10).first()["close"] == pytest.approx(150 + 0.1 * 400)
 
 
 def test_sort_and_neighbours(spark):
