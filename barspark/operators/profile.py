@@ -89,10 +89,17 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     for c in txt:
         aggs += [F.count(_c(c)).alias(f"n_{c}"), F.count_distinct(_c(c)).alias(f"u_{c}")]
     base = df.agg(*aggs).first() if aggs else None
+    tops = {}
+    if txt:
+        # every text column's most frequent value in one job: unpivot, count, keep the max
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), _c(c).alias("v")) for i, c in enumerate(txt)]))
+        freq = (df.select(pairs.alias("p")).select("p.k", "p.v").filter(F.col("v").isNotNull())
+                .groupBy("k", "v").agg(F.count(F.lit(1)).alias("f")))
+        best = freq.groupBy("k").agg(F.min(F.struct((-F.col("f")).alias("nf"), F.col("v").alias("v"))).alias("m"))
+        tops = {txt[r["k"]]: r["m"] for r in best.collect()}
     rows = []
     for c in txt:
-        top = (df.filter(_c(c).isNotNull()).groupBy(_c(c).alias("v")).agg(F.count(F.lit(1)).alias("f"))
-               .agg(F.min(F.struct((-F.col("f")).alias("nf"), F.col("v").alias("v"))).alias("m")).first()["m"])
+        top = tops.get(c)
         rows.append((c, base[f"n_{c}"], base[f"u_{c}"], top["v"] if top else None,
                      -top["nf"] if top else None, None, None, None, None, None, None, None))
     quart = exact_percentiles_many(df, num, [0.25, 0.5, 0.75])
