@@ -17,8 +17,8 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     """Per-file report over the Stooq ``.txt`` files under ``root``.
 
     Returns ``files`` (per-file profile with size), ``issues`` (invalid / future dates,
-    no valid rows, files failing the header check), ``skipped`` (empty files) and
-    ``summary`` (one row). ``source_key`` maps the file path column to the report key
+    no valid rows, files failing the header check), ``skipped`` (zero-byte and
+    header-only files), ``summary`` (one row) and ``size_classes`` (files per class). ``source_key`` maps the file path column to the report key
     (default: the path itself). One scan of the data, plus a metadata listing.
     """
     key = source_key or (lambda c: c)
@@ -39,10 +39,17 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     issues = (pf.feed_issues(raw.join(good, "source", "left_semi"), "source", as_of)
               .unionByName(verdict.filter(~F.col("valid") & (F.col("error") != "File is empty"))
                            .select("source", F.lit("invalid_file").alias("kind"), "error")))
-    skipped = verdict.filter(F.col("error") == "File is empty").select(
+    empty = verdict.filter(F.col("error") == "File is empty").select(
         "source", F.lit("Empty file (0 bytes)").alias("reason"), F.lit(0).cast("long").alias("size"))
+    header_only = (good.join(raw.select("source").distinct(), "source", "left_anti")
+                   .join(sizes, "source").select("source", F.lit("Empty CSV file (no data rows)").alias("reason"),
+                                                 F.col("file_size").alias("size")))
+    skipped = empty.unionByName(header_only)
     summary = pf.feed_summary(bars.withColumn("ticker", file_stem(F.col("source"))), "source", "ticker")
-    return {"files": files, "issues": issues, "skipped": skipped, "summary": summary}
+    classes = (pf.size_classes(bars, "source")
+               .unionByName(skipped.groupBy(F.lit("empty").alias("size_class")).agg(F.count(F.lit(1)).alias("files")))
+               .groupBy("size_class").agg(F.sum("files").alias("files")))
+    return {"files": files, "issues": issues, "skipped": skipped, "summary": summary, "size_classes": classes}
 
 
 def clean_folder(spark: SparkSession, root: str, out: str, mode: str = "v2", as_of: str | None = None,

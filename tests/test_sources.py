@@ -165,3 +165,22 @@ def test_arrow_ipc_stream_and_files(spark, tmp_dir):
         w.write_table(t)
     out = rd.read_feather(spark, d)
     assert out.count() == 4 and out.columns[0] == "ticker" and out.filter(F.col("open").isNull()).count() == 4
+
+
+def test_quality_report(spark, tmp_dir):
+    from barspark.plans.report import quality_report
+    root = os.path.join(tmp_dir, "rep")
+    os.makedirs(root)
+    _stooq_file(os.path.join(root, "aaa.us.txt"), 5)
+    _stooq_file(os.path.join(root, "hdr.txt"), 0)
+    open(os.path.join(root, "zero.txt"), "w").close()
+    _stooq_file(os.path.join(root, "bad.txt"), 2, cols=["<TICKER>", "<DATE>"])
+    rep = quality_report(spark, root, as_of="2030-01-01")
+    files = rep["files"].collect()
+    assert [(r["ticker"], r["records"], r["gap_count"]) for r in files] == [("aaa", 5, 0)]
+    reasons = sorted((os.path.basename(r["source"]), r["reason"]) for r in rep["skipped"].collect())
+    assert reasons == [("hdr.txt", "Empty CSV file (no data rows)"), ("zero.txt", "Empty file (0 bytes)")]
+    kinds = {os.path.basename(r["source"]): r["kind"] for r in rep["issues"].collect()}
+    assert kinds == {"bad.txt": "invalid_file"}
+    classes = {r["size_class"]: r["files"] for r in rep["size_classes"].collect()}
+    assert classes == {"very_small": 1, "empty": 2}
