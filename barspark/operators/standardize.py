@@ -28,17 +28,22 @@ def _stooq_select(df: DataFrame, fmt: str):
     return cols
 
 
-def standardize_stooq(df: DataFrame, fmt: str = "txt", keep: list[str] | None = None) -> DataFrame:
+def standardize_stooq(df: DataFrame, fmt: str = "txt", keep: list[str] | None = None,
+                      require_rows: bool = False) -> DataFrame:
     """Strict Stooq standardisation.
 
     ``<DATE>``‖zero-filled ``<TIME>`` → ``timestamp`` (unparsable → NULL); numeric text →
     DOUBLE (unparsable → NULL); ``ticker`` NULL when ``<TICKER>`` is absent; ``openint``
     optional; ``format`` = ``fmt``. Rows without a timestamp or close are dropped.
     ``keep`` carries extra input columns through (e.g. a source file column).
+    ``require_rows`` raises ``ValueError`` when no row survives (one small job).
     """
     _require(df, STOOQ_STANDARDIZE_REQUIRED, "Stooq standardisation")
     extra = [F.col(c) for c in (keep or [])]
-    return df.select(*_stooq_select(df, fmt), *extra).na.drop(subset=["timestamp", "close"])
+    out = df.select(*_stooq_select(df, fmt), *extra).na.drop(subset=["timestamp", "close"])
+    if require_rows and out.limit(1).count() == 0:
+        raise ValueError("No valid data after standardisation")
+    return out
 
 
 def clean_header_name(name: str) -> str:

@@ -97,3 +97,8 @@ def test_issue_hints(spark):
                                 ("boom",)], "error string")
     kinds = [r["hint_kind"] for r in cl.issue_hints(df).collect()]
     assert kinds == ["not_found", "empty", "format", "permission", "other"]
+
+
+def test_standardize_empty_raises(raw):
+    with pytest.raises(ValueError):
+        st.standardize_stooq(raw.filter(F.col("`<DATE>`") == "nan"), require_rows=True)
