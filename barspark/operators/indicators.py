@@ -105,40 +105,45 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
     b = (with_blocks(df, [key], list(order), block_rows, halo)
          .repartition(key, "_blk")
          .withColumn("_b", F.floor(F.col("_g") / F.lit(RUN)).cast("long")))
+    # Columns are added in four dependency stages (withColumns analyses each stage once).
+    stages: list[dict[str, Column]] = [{}, {}, {}, {}]
     out = []
     if "sma" in which:
         for n in sma_windows:
-            b = b.withColumn(f"sma_{n}", _full(F.avg(x), x, part, n))
+            stages[0][f"sma_{n}"] = _full(F.avg(x), x, part, n)
             out.append(f"sma_{n}")
-    need_ema = bool({"ema", "macd"} & which)
-    if need_ema:
+    if {"ema", "macd"} & which:
         fast, slow = ema_spans
-        b = b.withColumn(f"ema_{fast:g}", _ema(x, fast, part)).withColumn(f"ema_{slow:g}", _ema(x, slow, part))
+        ef, es = f"ema_{fast:g}", f"ema_{slow:g}"
+        stages[0][ef] = _ema(x, fast, part)
+        stages[0][es] = _ema(x, slow, part)
         if "ema" in which:
-            out += [f"ema_{fast:g}", f"ema_{slow:g}"]
+            out += [ef, es]
         if "macd" in which:
-            b = b.withColumn("macd", F.col(f"ema_{fast:g}") - F.col(f"ema_{slow:g}"))
-            b = b.withColumn("macd_signal", _ema(F.col("macd"), signal_span, part))
-            b = b.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+            stages[1]["macd"] = F.col(ef) - F.col(es)
+            stages[2]["macd_signal"] = _ema(F.col("macd"), signal_span, part)
+            stages[3]["macd_histogram"] = F.col("macd") - F.col("macd_signal")
             out += ["macd", "macd_signal", "macd_histogram"]
     if "rsi" in which:
         prev = F.lag(x, 1).over(Window.partitionBy(*part).orderBy("_b", "_g"))
-        b = b.withColumn("_delta", x - prev)
-        b = (b.withColumn("_gain", F.when(F.col("_delta") > 0, F.col("_delta")).otherwise(F.lit(0.0)))
-              .withColumn("_loss", F.when(F.col("_delta") < 0, -F.col("_delta")).otherwise(F.lit(0.0))))
-        g = _full(F.avg("_gain"), F.col("_gain"), part, rsi_window)
-        lo = _full(F.avg("_loss"), F.col("_loss"), part, rsi_window)
-        b = b.withColumn("_ag", g).withColumn("_al", lo)
-        b = b.withColumn("rsi", F.when(F.col("_al") > 0, F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("_ag") / F.col("_al")))
-                                 .when(F.col("_ag") > 0, F.lit(100.0)))
+        stages[0]["_delta"] = x - prev
+        stages[1]["_gain"] = F.when(F.col("_delta") > 0, F.col("_delta")).otherwise(F.lit(0.0))
+        stages[1]["_loss"] = F.when(F.col("_delta") < 0, -F.col("_delta")).otherwise(F.lit(0.0))
+        stages[2]["_ag"] = _full(F.avg("_gain"), F.col("_gain"), part, rsi_window)
+        stages[2]["_al"] = _full(F.avg("_loss"), F.col("_loss"), part, rsi_window)
+        stages[3]["rsi"] = (F.when(F.col("_al") > 0,
+                                   F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("_ag") / F.col("_al")))
+                            .when(F.col("_ag") > 0, F.lit(100.0)))
         out.append("rsi")
     if "bollinger" in which:
-        mid = _full(F.avg(x), x, part, bb_window)
-        sd = _full(F.stddev_samp(x), x, part, bb_window)
-        b = (b.withColumn("bb_middle", mid).withColumn("_sd", sd)
-              .withColumn("bb_upper", F.col("bb_middle") + F.lit(bb_k) * F.col("_sd"))
-              .withColumn("bb_lower", F.col("bb_middle") - F.lit(bb_k) * F.col("_sd")))
+        stages[0]["bb_middle"] = _full(F.avg(x), x, part, bb_window)
+        stages[0]["_sd"] = _full(F.stddev_samp(x), x, part, bb_window)
+        stages[1]["bb_upper"] = F.col("bb_middle") + F.lit(bb_k) * F.col("_sd")
+        stages[1]["bb_lower"] = F.col("bb_middle") - F.lit(bb_k) * F.col("_sd")
         out += ["bb_middle", "bb_upper", "bb_lower"]
+    for stage in stages:
+        if stage:
+            b = b.withColumns(stage)
     return b.filter(~F.col("_halo")).select(*cols, *out)
 
 
