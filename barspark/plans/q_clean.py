@@ -9,9 +9,7 @@ from barspark.operators import standardize as st
 from barspark.operators.sampling import balance_tickers
 from barspark.plans.prepare import prepare_bars
 from barspark.plans.registry import query
-from barspark.plans.sql_fragments import (EVENTS_BARS, EVENTS_STOOQ, num_sql, stooq_bars_sql,
-                                          stooq_ts_sql)
-from barspark.schema import BAR_COLUMNS
+from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, num_sql, stooq_bars_sql
 from barspark.sources.driver_tables import events_bars, events_stooq_text, table
 
 BAR_SQL = 'ticker, "timestamp", open, high, low, close, vol, openint, format, seq'

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barspark.operators import indicators as ind
 from barspark.plans.registry import query
 from barspark.functions.columns import rounded

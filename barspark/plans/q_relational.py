@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barspark.functions.columns import rounded
 from barspark.operators import filters as flt
 from barspark.operators import paging as pg

@@ -1,7 +1,6 @@
 """Row positions and ranks stay exact with many partitions, tiny blocks and one hot key."""
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from barspark.operators.ordering import global_position, with_blocks, with_key_rank
 

@@ -1,10 +1,7 @@
 """Plan shape: filters and column pruning reach the Parquet scan; one range shuffle for positions."""
 
-import datetime as dt
 import os
 
-from pyspark.sql import functions as F
-
 from barspark.operators import filters as flt
 from barspark.operators.ordering import global_position
 from barspark.sources import readers as rd
