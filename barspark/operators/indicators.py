@@ -87,7 +87,8 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
                          price: str = "close", block_rows: int = DEFAULT_BLOCK_ROWS,
                          sma_windows: Sequence[int] = (20, 50), ema_spans: Sequence[float] = (12, 26),
                          signal_span: float = 9, rsi_window: int = 14, bb_window: int = 20,
-                         bb_k: float = 2.0, which: Sequence[str] | None = None) -> DataFrame:
+                         bb_k: float = 2.0, which: Sequence[str] | None = None,
+                         split_copies: bool = False) -> DataFrame:
     """Add indicator columns to ``df`` (all input columns are kept).
 
     ``which`` limits the output to some of ``sma``, ``ema``, ``macd``, ``rsi``, ``bollinger``.
@@ -102,7 +103,7 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
     block_rows = int(math.ceil(block_rows / RUN) * RUN)
     part = [key, "_blk"]
     x = F.col(price)
-    b = (with_blocks(df, [key], list(order), block_rows, halo)
+    b = (with_blocks(df, [key], list(order), block_rows, halo, split_copies)
          .repartition(key, "_blk")
          .withColumn("_b", F.floor(F.col("_g") / F.lit(RUN)).cast("long")))
     # Columns are added in four dependency stages (withColumns analyses each stage once).

@@ -55,7 +55,7 @@ def release_positions() -> None:
         _PERSISTED.pop().unpersist()
 
 
-def _tagged(df: DataFrame, by: list[Column]) -> DataFrame:
+def _tagged(df: DataFrame, by: list[Column], split_copies: bool = False) -> DataFrame:
     """Range-partitioned, sorted rows with ``_pid`` and ``_mid``, materialised once.
 
     Two consumers read these rows: the per-partition counts and the rows themselves.
@@ -63,22 +63,31 @@ def _tagged(df: DataFrame, by: list[Column]) -> DataFrame:
     seeded by RDD id) and so new partition bounds; reading one materialised copy makes
     both agree. Lost blocks are recomputed from the same partitioner, so they come back
     identical. The explicit partition count keeps adaptive execution from coalescing.
+
+    Rows equal on every sort key land in one range partition. ``split_copies`` adds the
+    row's position in its input split as a last key, so a large group of exact copies
+    is spread too; that position is stable on recompute when the input is read straight
+    from files (no shuffle before this point).
     """
+    if split_copies:
+        df = df.withColumn("_copy", F.monotonically_increasing_id())
+        by = [*by, F.col("_copy")]
     ranged = df.repartitionByRange(_partitions(df), *by).sortWithinPartitions(*by)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .persist(StorageLevel.MEMORY_AND_DISK))
     _PERSISTED.append(tagged)
-    return tagged
+    return tagged.drop("_copy") if split_copies else tagged
 
 
-def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_g") -> DataFrame:
+def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_g",
+                    split_copies: bool = False) -> DataFrame:
     """Add ``name``: the dense 0-based position of each row in the total order ``order``.
 
     ``order`` should make rows unique (add a tie-breaker column); rows that tie on
     every column are interchangeable, so ties only matter for exact duplicates.
     """
-    tagged = _tagged(df, _cols(order))
+    tagged = _tagged(df, _cols(order), split_copies)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     return (tagged.join(F.broadcast(_offsets(counts, "_cnt")), "_pid")
             .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_BITS)))
@@ -86,7 +95,7 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "_
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0, split_copies: bool = False) -> DataFrame:
     """Add ``_g`` (global position over ``keys + order``), ``_blk`` and ``_halo``.
 
     Rows whose position is among the last ``halo`` rows of a block are also emitted
@@ -95,7 +104,7 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     """
     if halo > block_rows:
         raise ValueError("halo must not exceed block_rows")
-    g = global_position(df, [*keys, *order])
+    g = global_position(df, [*keys, *order], split_copies=split_copies)
     own = F.floor(F.col("_g") / F.lit(block_rows)).cast("long")
     if halo <= 0:
         return g.withColumn("_blk", own).withColumn("_halo", F.lit(False))
@@ -122,7 +131,7 @@ def key_spans(positioned: DataFrame, keys: Sequence[str], block_rows: int = DEFA
 
 def with_key_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   block_rows: int = DEFAULT_BLOCK_ROWS, halo: int = 0,
-                  rank: str = "_r", count: str = "_n") -> DataFrame:
+                  rank: str = "_r", count: str = "_n", split_copies: bool = False) -> DataFrame:
     """Add the 0-based rank of each row within its key (``rank``) and the key's row count.
 
     Rows with a NULL key get no rank and drop out.
@@ -130,7 +139,7 @@ def with_key_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     keyed = df
     for k in keys:
         keyed = keyed.filter(F.col(f"`{k}`").isNotNull())
-    b = with_blocks(keyed, keys, order, block_rows, halo)
+    b = with_blocks(keyed, keys, order, block_rows, halo, split_copies)
     spans = key_spans(b, keys, block_rows, "_kn", "_kfirst")
     return (b.join(spans, [*keys, "_blk"])
             .withColumn(rank, F.col("_g") - F.col("_kfirst"))

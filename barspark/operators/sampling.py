@@ -27,7 +27,8 @@ def balance_bounds(df: DataFrame, target: int | None = None, minimum: int | None
 
 def balance_tickers(df: DataFrame, target: int | None = None, minimum: int | None = None,
                     order: Sequence[str] = ("timestamp",), ticker: str = "ticker",
-                    block_rows: int = DEFAULT_BLOCK_ROWS, check_empty: bool = True) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS, check_empty: bool = True,
+                    split_copies: bool = False) -> DataFrame:
     """Even out rows per ticker.
 
     Tickers below ``minimum`` rows drop; tickers above ``target`` keep every
@@ -45,7 +46,8 @@ def balance_tickers(df: DataFrame, target: int | None = None, minimum: int | Non
         if enough == 0:
             raise ValueError("No tickers met the minimum record requirement")
     cols = df.columns
-    ranked = with_key_rank(df.filter(F.col(ticker).isNotNull()), [ticker], list(order), block_rows)
+    ranked = with_key_rank(df.filter(F.col(ticker).isNotNull()), [ticker], list(order), block_rows,
+                           split_copies=split_copies)
     n, r = F.col("_n"), F.col("_r")
     step = (n / F.lit(target)).cast("long")
     keep = (n >= minimum) & ((n <= target) | (((r % step) == 0) & (r < step * target)))

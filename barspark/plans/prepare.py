@@ -18,7 +18,7 @@ from barspark.sources.sinks import save
 
 def prepare_bars(bars: DataFrame, start: str | None = None, end: str | None = None,
                  target: int | None = None, minimum: int | None = None, drop_null_rows: bool = False,
-                 order: Sequence[str] = ("timestamp",)) -> tuple[DataFrame, dict]:
+                 order: Sequence[str] = ("timestamp",), split_copies: bool = False) -> tuple[DataFrame, dict]:
     """Date range (both ends given) → balance (a bound given) → dedupe → optional NULL drop.
 
     Balancing runs before dedupe, so duplicates count towards the targets. Returns the
@@ -30,7 +30,7 @@ def prepare_bars(bars: DataFrame, start: str | None = None, end: str | None = No
         df = date_range(df, start, end)
         steps["date_range"] = (start, end)
     if target is not None or minimum is not None:
-        df = balance_tickers(df, target, minimum, order=order)
+        df = balance_tickers(df, target, minimum, order=order, split_copies=split_copies)
         steps["balance"] = (target, minimum)
     df = dedupe(df.select(*BAR_COLUMNS))
     steps["dedupe"] = True

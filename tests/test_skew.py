@@ -35,3 +35,22 @@ def test_hot_ticker_spans_window_blocks(spark):
     out = technical_indicators(df, order=("t",), block_rows=2048, which=("sma",))
     assert out.filter(F.col("ticker") == "HOT").count() == 10000
     release_positions()
+
+
+def test_group_of_copies_is_split(spark, tmp_dir):
+    import os
+
+    import pandas as pd
+
+    from barspark.operators.sampling import balance_tickers
+    rows = [("HOT", 0, 1.0)] * 3000 + [(f"T{i % 30}", i, float(i)) for i in range(6000)]
+    path = os.path.join(tmp_dir, "copies")
+    spark.createDataFrame(pd.DataFrame(rows, columns=["ticker", "t", "close"])).repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    tagged = _tagged(df, _cols(["ticker", "t"]), split_copies=True)
+    hot_parts = tagged.filter(F.col("ticker") == "HOT").select("_pid").distinct().count()
+    assert hot_parts >= 2
+    out = balance_tickers(df, target=100, minimum=10, order=("t",), split_copies=True)
+    counts = {r["ticker"]: r["count"] for r in out.groupBy("ticker").count().collect()}
+    assert counts["HOT"] == 100 and all(v == 100 for v in counts.values()) and len(counts) == 31
+    release_positions()
