@@ -119,25 +119,35 @@ def date_coverage(df: DataFrame, ts: str = "timestamp", ticker: str = "ticker")
 
 # --- A6–A13: per-source quality ------------------------------------------------------------
 
+def _gap_parts(df: DataFrame, source: str, ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(present, span, gaps)``: distinct (source, date), per-source first/last date, missing days.
+
+    Span and gaps derive from ``present``, so the input is aggregated once and the
+    identical exchange is reused by both branches.
+    """
+    present = (df.filter(_c(ts).isNotNull())
+               .select(_c(source).alias("source"), F.to_date(_c(ts)).alias("date")).distinct())
+    span = present.groupBy("source").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    cal = (span.select("source", F.explode(F.sequence("d0", "d1")).alias("date"))
+           .filter(F.weekday("date") < 5))
+    gaps = cal.join(present, ["source", "date"], "left_anti").withColumnRenamed("date", "missing_date")
+    return present, span, gaps
+
+
 def gap_days(df: DataFrame, source: str = "source", ts: str = "timestamp") -> DataFrame:
     """Business days (Mon–Fri) between a source's first and last date that have no row.
 
     The calendar of each source is generated with ``sequence`` and matched with a
     left-anti join on ``(source, date)``, so no source's dates are gathered in one row.
     """
-    days = df.filter(_c(ts).isNotNull()).select(_c(source).alias("source"), F.to_date(_c(ts)).alias("date"))
-    present = days.distinct()
-    span = days.groupBy("source").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
-    cal = (span.select("source", F.explode(F.sequence("d0", "d1")).alias("date"))
-           .filter(F.weekday("date") < 5))
-    return cal.join(present, ["source", "date"], "left_anti").withColumnRenamed("date", "missing_date")
+    return _gap_parts(df, source, ts)[2]
 
 
 def gap_count(df: DataFrame, source: str = "source", ts: str = "timestamp") -> DataFrame:
     """Missing business days per source, zero included, and the gap flag."""
-    sources = df.filter(_c(ts).isNotNull()).select(_c(source).alias("source")).distinct()
-    gaps = gap_days(df, source, ts).groupBy("source").agg(F.count(F.lit(1)).alias("gap_count"))
-    return (sources.join(gaps, "source", "left")
+    _, span, gaps = _gap_parts(df, source, ts)
+    counted = gaps.groupBy("source").agg(F.count(F.lit(1)).alias("gap_count"))
+    return (span.select("source").join(counted, "source", "left")
             .select("source", F.coalesce("gap_count", F.lit(0)).cast("long").alias("gap_count"))
             .withColumn("has_gaps", F.col("gap_count") > 0))
 
