@@ -108,13 +108,22 @@ def missing_names(names: Column, required: Sequence[str]) -> Column:
     return F.array_except(F.array(*[F.lit(r) for r in required]), names)
 
 
-def discover_stooq_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
-    """Stooq text files under ``root`` whose header has the required names."""
+def discover_stooq_files(spark: SparkSession, root: str, pattern: str = "*.txt", rule: str = "header") -> DataFrame:
+    """Stooq text files under ``root``.
+
+    ``rule="header"``: the first line carries every required Stooq name (``missing`` lists
+    the absent ones). ``rule="ticker"``: the simpler test that ``<TICKER>`` appears in the
+    first line.
+    """
     files = list_files(spark, root, pattern).filter(F.col("length") > 0)
     heads = first_lines(spark, root, pattern)
-    return (files.join(heads, "path", "left")
-            .withColumn("missing", missing_names(header_names(F.coalesce("header", F.lit(""))), STOOQ_REQUIRED))
-            .withColumn("is_stooq", F.size("missing") == 0))
+    found = files.join(heads, "path", "left").withColumn(
+        "missing", missing_names(header_names(F.coalesce("header", F.lit(""))), STOOQ_REQUIRED))
+    if rule == "ticker":
+        return found.withColumn("is_stooq", F.coalesce(F.col("header").contains("<TICKER>"), F.lit(False)))
+    if rule != "header":
+        raise ValueError(f"unknown discovery rule {rule!r}")
+    return found.withColumn("is_stooq", F.size("missing") == 0)
 
 
 def _plain(path: Column) -> Column:

@@ -98,6 +98,9 @@ def test_validate_and_skip(spark, tmp_dir):
         rd.load_with_skips(spark, root, "txt", strict=True)
     found = {os.path.basename(r["path"]): r["is_stooq"] for r in fl.discover_stooq_files(spark, root).collect()}
     assert found == {"good.txt": True, "noclose.txt": False, "header_only.txt": True}
+    loose = {os.path.basename(r["path"]): r["is_stooq"]
+             for r in fl.discover_stooq_files(spark, root, rule="ticker").collect()}
+    assert loose == {"good.txt": True, "noclose.txt": True, "header_only.txt": True}
 
 
 def test_table_sinks(spark, tmp_dir):
