@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.functions.columns import base_name, file_extension, parent_dir, stooq_timestamp
-from barspark.operators.ordering import global_position, with_key_rank
+from barspark.operators.ordering import DEFAULT_BLOCK_ROWS, global_position, with_key_rank
 from barspark.operators.stats import exact_percentiles, exact_percentiles_many
 from barspark.schema import SIZE_CLASS_BOUNDS
 
@@ -244,12 +244,13 @@ def feed_issues(raw: DataFrame, source: str = "source", as_of: str | None = None
 
 
 def timestamp_analysis(raw: DataFrame, source: str = "source", order: Sequence[str] = ("seq",),
-                       as_of: str | None = None, first_n: int = 5) -> DataFrame:
+                       as_of: str | None = None, first_n: int = 5,
+                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per source (A13): rows, invalid count with the first ``first_n`` invalid row numbers
     (0-based, file order), future count and latest future time, valid time range.
 
-    Row numbers come from a skew-safe rank; only invalid rows are ranked a second time,
-    so at most ``first_n`` numbers per source are ever gathered.
+    Row numbers come from a skew-safe rank; the first invalid ones are picked per
+    ``(source, block)`` and then per source, keeping at most ``first_n`` per block.
     """
     t = raw_timestamps(raw, source)
     fut = F.col("timestamp") > _as_of(as_of)
@@ -259,12 +260,15 @@ def timestamp_analysis(raw: DataFrame, source: str = "source", order: Sequence[s
         F.count_if(fut).alias("future_dates"),
         F.max(F.when(fut, F.col("timestamp"))).alias("max_future_date"),
         F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
-    ranked = with_key_rank(t, ["source"], list(order), rank="_row")
-    bad = ranked.filter(F.col("timestamp").isNull()).select("source", "_row")
-    bad_ranked = with_key_rank(bad, ["source"], ["_row"], rank="_k").filter(F.col("_k") < first_n)
-    firsts = bad_ranked.groupBy("source").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda x: x.cast("string")), ",")
-        .alias("first_invalid_rows"))
+    ranked = with_key_rank(t, ["source"], list(order), block_rows, rank="_row")
+    bad = ranked.filter(F.col("timestamp").isNull())
+    # the first_n smallest row numbers per (source, block), then per source: each step
+    # keeps at most first_n numbers per block, so no group grows with the data
+    in_block = Window.partitionBy("source", "_blk").orderBy("_row")
+    block_firsts = bad.withColumn("_k", F.row_number().over(in_block)).filter(F.col("_k") <= first_n)
+    firsts = block_firsts.groupBy("source").agg(
+        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("_row")), 1, first_n),
+                                 lambda x: x.cast("string")), ",").alias("first_invalid_rows"))
     return per.join(firsts, "source", "left")
 
 

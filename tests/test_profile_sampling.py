@@ -47,6 +47,9 @@ def test_timestamp_analysis_first_rows(spark):
     raw = spark.createDataFrame(rows, "source string, seq long, `<DATE>` string, `<TIME>` string")
     out = pf.timestamp_analysis(raw, "source", ("seq",), as_of="2030-01-01").first()
     assert out["invalid_dates"] == 7 and out["first_invalid_rows"] == "2,5,6,7,8"
+    # tiny blocks: the first invalid rows come from several blocks and are merged per source
+    tiny = pf.timestamp_analysis(raw, "source", ("seq",), as_of="2030-01-01", block_rows=3).first()
+    assert tiny["first_invalid_rows"] == "2,5,6,7,8"
 
 
 def _random_bars(spark, n=20000, seed=42):
