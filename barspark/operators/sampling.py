@@ -13,10 +13,13 @@ from barspark.operators.stats import exact_median
 
 
 def balance_bounds(df: DataFrame, target: int | None = None, minimum: int | None = None,
-                   ticker: str = "ticker") -> tuple[int, int]:
-    """Default target = int(median of per-ticker counts); default minimum = target // 2."""
+                   ticker: str = "ticker", counted: bool = False) -> tuple[int, int]:
+    """Default target = int(median of per-ticker counts); default minimum = target // 2.
+
+    ``counted``: ``df`` already holds one ``ticker, records`` row per ticker.
+    """
     if target is None:
-        med = exact_median(ticker_counts(df, ticker), "records")
+        med = exact_median(df if counted else ticker_counts(df, ticker), "records")
         if med is None:
             raise ValueError("no tickers to balance")
         target = int(med)
@@ -38,13 +41,16 @@ def balance_tickers(df: DataFrame, target: int | None = None, minimum: int | Non
     Row ranks come from :func:`with_key_rank`, so a ticker with a third of all rows is
     ranked by many tasks, not one.
     """
-    target, minimum = balance_bounds(df, target, minimum, ticker)
-    if target <= 0:
-        raise ValueError("target must be positive")
-    if check_empty:
-        enough = ticker_counts(df, ticker).filter(F.col("records") >= minimum).limit(1).count()
-        if enough == 0:
+    # one row per ticker, aggregated once and reused by the median and the empty check
+    counts = ticker_counts(df, ticker).cache()
+    try:
+        target, minimum = balance_bounds(counts, target, minimum, "ticker", counted=True)
+        if target <= 0:
+            raise ValueError("target must be positive")
+        if check_empty and counts.filter(F.col("records") >= minimum).limit(1).count() == 0:
             raise ValueError("No tickers met the minimum record requirement")
+    finally:
+        counts.unpersist()
     cols = df.columns
     ranked = with_key_rank(df.filter(F.col(ticker).isNotNull()), [ticker], list(order), block_rows,
                            split_copies=split_copies)

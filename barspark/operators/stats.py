@@ -4,7 +4,8 @@ Spark's exact ``percentile`` keeps a map of every distinct value of a group in m
 Here the values of all requested columns are unpivoted to ``(column, value)``, sorted
 once by a range-partitioned sort, numbered, and only the one or two rows around each
 requested rank are fetched (linear interpolation as pandas and ``quantile_cont``).
-Three jobs in all, whatever the number of columns: counts, the sort's sample, the fetch.
+A fixed number of jobs, whatever the number of columns: the sort's sample, the counts
+(which materialise the sorted rows) and the fetch.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ def exact_percentiles_many(df: DataFrame, columns: Sequence[str], probs: Sequenc
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("v"))
                                 for i, c in enumerate(cols)]))
     long = df.select(pairs.alias("p")).select("p.k", "p.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = {r["k"]: r["n"] for r in long.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # positions first: the sorted rows are materialised once and the counts read them
+    pos = global_position(long, ["k", "v"], "_i")
+    counts = {r["k"]: r["n"] for r in pos.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     start, offset = {}, 0
     for k in range(len(cols)):
         start[k] = offset
@@ -46,7 +49,6 @@ def exact_percentiles_many(df: DataFrame, columns: Sequence[str], probs: Sequenc
                 wanted.update({start[k] + lo, start[k] + hi})
     got = {}
     if wanted:
-        pos = global_position(long, ["k", "v"], "_i")
         got = {r["_i"]: r["v"] for r in pos.filter(F.col("_i").isin(sorted(wanted))).select("_i", "v").collect()}
     out = {}
     for k, c in enumerate(cols):
