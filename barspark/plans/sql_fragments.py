@@ -4,7 +4,7 @@ EVENTS_BARS = """
 SELECT 'U' || CAST(user_id AS VARCHAR) AS ticker, ts AS "timestamp", value AS open,
        value * 1.05 AS high, value * 0.95 AS low, value AS close,
        CAST(event_id % 1000 AS DOUBLE) AS vol,
-       CASE WHEN event_id % 10 = 0 THEN NULL ELSE 0.0 END AS openint,
+       CASE WHEN event_id % 10 = 0 THEN NULL ELSE 0.0::DOUBLE END AS openint,
        event_type AS format, event_id AS seq
 FROM events
 """
@@ -13,7 +13,7 @@ ORDERS_BARS = """
 SELECT 'C' || CAST(o_custkey AS VARCHAR) AS ticker, o_orderdate AS "timestamp", o_totalprice AS open,
        o_totalprice * 1.05 AS high, o_totalprice * 0.95 AS low, o_totalprice AS close,
        CAST(o_orderkey % 1000 AS DOUBLE) AS vol,
-       CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 0.0 END AS openint,
+       CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 0.0::DOUBLE END AS openint,
        o_orderstatus AS format, o_orderkey AS seq
 FROM orders
 """
