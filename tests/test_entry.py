@@ -47,3 +47,18 @@ def test_query_matches_oracle(spark, name):
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert cols == sorted(names)
     assert got == exp
+
+
+def test_oracle_column_types_match(spark):
+    from scripts.check_types import MAP, TABLES as T2
+    con = duckdb.connect()
+    for t in T2:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
+    qs, orc = entry.queries(), entry.oracle_sql()
+    bad = {}
+    for name in sorted(orc):
+        s = {f.name: MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in qs[name](spark, SF0001).schema}
+        d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {orc[name]}").fetchall()}
+        if s != d:
+            bad[name] = (s, d)
+    assert not bad
