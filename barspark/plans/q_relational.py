@@ -154,7 +154,15 @@ def q_bottom_tickers(spark, sf_dir):
     return pg.bottom_tickers(_bars(spark, sf_dir))
 
 
-@query("table_info")
+_INFO = [("ticker", "string"), ("timestamp", "timestamp_ntz"), ("open", "double"), ("high", "double"),
+         ("low", "double"), ("close", "double"), ("vol", "double"), ("openint", "double"), ("format", "string"),
+         ("seq", "bigint")]
+
+
+@query("table_info", "SELECT column_name, data_type, CAST(ordinal AS INTEGER) AS ordinal, "
+                     "(SELECT count(*) FROM events) AS row_count FROM (VALUES "
+                     + ", ".join(f"('{c}', '{t}', {i})" for i, (c, t) in enumerate(_INFO))
+                     + ") AS t(column_name, data_type, ordinal)")
 def q_table_info(spark, sf_dir):
     return pg.table_info(_bars(spark, sf_dir))
 
