@@ -92,6 +92,13 @@ for _fmt in ("csv", "txt", "json", "parquet", "feather"):
     query(f"roundtrip_{_fmt}", BARS9)(_mk())
 
 
+@query("roundtrip_json_array", BARS9)
+def q_roundtrip_json_array(spark, sf_dir):
+    out = scratch_path(spark, "roundtrip-json-array")
+    sk.save(_bars9(spark, sf_dir), out, "json_array")
+    return rd.read_json(spark, out)
+
+
 @query("convert_csv_to_parquet", BARS9)
 def q_convert(spark, sf_dir):
     src, dst = scratch_path(spark, "convert-src"), scratch_path(spark, "convert-dst")

@@ -142,7 +142,7 @@ def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool =
     fmt = fmt or detect_format(ps[0])
     if fmt == "csv":
         return read_csv(spark, ps, with_source, recursive=recursive, glob=glob)
-    if fmt == "json":
+    if fmt in ("json", "json_array"):
         return read_json(spark, ps, with_source, recursive=recursive, glob=glob)
     if fmt == "txt":
         return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob)

@@ -13,8 +13,9 @@ from barspark.sources.readers import TIMESTAMP_FORMAT, detect_format, load
 
 def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
          partition_by: Sequence[str] | None = None) -> None:
-    """Write ``df`` as csv (K1), txt = tab-separated (K2), json lines (K3), parquet (K4)
-    or feather (K5). ``partition_by`` (e.g. ``["ticker"]``) lays out one folder per value."""
+    """Write ``df`` as csv (K1), txt = tab-separated (K2), json lines (K3), json_array (K3's
+    export form: one array document per output file), parquet (K4) or feather (K5).
+    ``partition_by`` (e.g. ``["ticker"]``) lays out one folder per value."""
     fmt = fmt or detect_format(path)
     w = df.write.mode(mode)
     if partition_by:
@@ -25,6 +26,8 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
         w.option("header", True).option("sep", "\t").option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(path)
     elif fmt == "json":
         w.option("timestampNTZFormat", TIMESTAMP_FORMAT).option("ignoreNullFields", False).json(path)
+    elif fmt == "json_array":
+        _json_array_lines(df).write.mode(mode).text(path)
     elif fmt in ("parquet", "polars", "pyarrow"):
         w.parquet(path)
     elif fmt == "feather":
@@ -35,6 +38,34 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
         raise ValueError(f"Unsupported format: {fmt}")
 
 
+def _json_array_lines(df: DataFrame) -> DataFrame:
+    """Each partition as one JSON array document: ``[`` first, commas between, ``]`` last.
+
+    Records are rendered by ``to_json`` in the JVM; the per-partition framing streams
+    Arrow batches, so no partition is held whole in memory.
+    """
+    from pyspark.sql import functions as F
+    rendered = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                                   {"timestampNTZFormat": TIMESTAMP_FORMAT, "ignoreNullFields": "false"})
+                         .alias("value"))
+
+    def frame(batches):
+        import pandas as pd
+        first = True
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            vals = pdf["value"].tolist()
+            vals[0] = ("[" if first else ",") + vals[0]
+            vals[1:] = ["," + v for v in vals[1:]]
+            first = False
+            yield pd.DataFrame({"value": vals})
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
+
+    return rendered.mapInPandas(frame, "value string")
+
+
 def save_table(df: DataFrame, name: str, fmt: str | None = None, path: str | None = None,
                if_absent: bool = False) -> None:
     """Replace catalog table ``name`` with the conformed bars (K6); ``if_absent`` keeps an
@@ -47,8 +78,8 @@ def save_table(df: DataFrame, name: str, fmt: str | None = None, path: str | Non
 
 
 def export_view(df: DataFrame, path: str, fmt: str, conditions: Sequence[dict] = ()) -> None:
-    """Write the rows that pass the conditions (K9); only csv, json and parquet."""
-    if fmt not in ("csv", "json", "parquet"):
+    """Write the rows that pass the conditions (K9); csv, json (lines or array) and parquet."""
+    if fmt not in ("csv", "json", "json_array", "parquet"):
         raise ValueError(f"Unsupported export format: {fmt}")
     save(apply_conditions(df, conditions), path, fmt)
 

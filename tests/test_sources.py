@@ -41,7 +41,7 @@ def test_detect_format():
         rd.detect_format("a.xlsx")
 
 
-@pytest.mark.parametrize("fmt", ["csv", "txt", "json", "parquet", "feather"])
+@pytest.mark.parametrize("fmt", ["csv", "txt", "json", "json_array", "parquet", "feather"])
 def test_roundtrip(spark, tmp_dir, fmt):
     rows = [("T", d, o, h, lo, c, float(v), 0.0, "test") for d, o, h, lo, c, v in _conversion_rows()]
     df = spark.createDataFrame(rows, "ticker string, timestamp timestamp_ntz, open double, high double, low double, "
