@@ -50,8 +50,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (a test on one machine) is a temporary folder
-    registered as the checkpoint directory.
+    Only when the session has none and runs in local mode (a test on one machine) is a
+    temporary folder registered; on a cluster a missing setting is an error, as a
+    machine-local folder is not visible to the executors.
     """
     try:
         sc = spark.sparkContext
@@ -61,6 +62,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if sc is not None and not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
             base = tempfile.mkdtemp(prefix="barspark-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(base)
