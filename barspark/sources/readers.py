@@ -103,11 +103,21 @@ def read_stooq_raw(spark: SparkSession, paths, sep: str | None = None, with_sour
 
 
 def read_stooq(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False,
-               recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Stooq text → standard bars (S4 + T1)."""
+               recursive: bool = False, glob: str | None = None, ticker_from_file: bool = False) -> DataFrame:
+    """Stooq text → standard bars (S4 + T1).
+
+    ``ticker_from_file`` fills a missing ``<TICKER>`` with the file's base name up to the
+    first dot (T6), as files named ``aapl.us.txt`` carry their ticker in the name.
+    """
     configure(spark)
-    raw = read_stooq_raw(spark, paths, sep, with_source, recursive, glob)
-    return standardize_stooq(raw, keep=["_source"] if with_source else None)
+    raw = read_stooq_raw(spark, paths, sep, with_source or ticker_from_file, recursive, glob)
+    bars = standardize_stooq(raw, keep=["_source"] if (with_source or ticker_from_file) else None)
+    if ticker_from_file:
+        from barspark.functions.columns import file_stem
+        bars = bars.withColumn("ticker", F.coalesce(F.col("ticker"), file_stem(F.col("_source"))))
+        if not with_source:
+            bars = bars.drop("_source")
+    return bars
 
 
 def read_parquet(spark: SparkSession, paths, with_source: bool = False) -> DataFrame:

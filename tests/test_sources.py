@@ -187,3 +187,14 @@ def test_quality_report(spark, tmp_dir):
     assert kinds == {"bad.txt": "invalid_file"}
     classes = {r["size_class"]: r["files"] for r in rep["size_classes"].collect()}
     assert classes == {"very_small": 1, "empty": 2}
+
+
+def test_ticker_from_file_name(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "msft.us.txt")
+    _stooq_file(p, 2)
+    with open(p) as fh:
+        lines = fh.read().splitlines()
+    with open(p, "w") as fh:  # blank the <TICKER> values
+        fh.write("\n".join([lines[0]] + ["," + ln.split(",", 1)[1] for ln in lines[1:]]) + "\n")
+    assert {r["ticker"] for r in rd.read_stooq(spark, p).collect()} == {None}
+    assert {r["ticker"] for r in rd.read_stooq(spark, p, ticker_from_file=True).collect()} == {"msft"}
