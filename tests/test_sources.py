@@ -198,3 +198,20 @@ def test_ticker_from_file_name(spark, tmp_dir):
         fh.write("\n".join([lines[0]] + ["," + ln.split(",", 1)[1] for ln in lines[1:]]) + "\n")
     assert {r["ticker"] for r in rd.read_stooq(spark, p).collect()} == {None}
     assert {r["ticker"] for r in rd.read_stooq(spark, p, ticker_from_file=True).collect()} == {"msft"}
+
+
+def test_cli_prepare_and_report(spark, tmp_dir, capsys):
+    from barspark.__main__ import main
+    root = os.path.join(tmp_dir, "cli2")
+    os.makedirs(root)
+    _stooq_file(os.path.join(root, "aaa.txt"), 5)
+    _stooq_file(os.path.join(root, "bbb.txt"), 3)
+    with open(os.path.join(root, "bbb.txt")) as fh:
+        text = fh.read().replace("AAA,", "BBB,")
+    with open(os.path.join(root, "bbb.txt"), "w") as fh:
+        fh.write(text)
+    out = os.path.join(tmp_dir, "prepared")
+    assert main(["prepare", root, out, "--from", "txt", "--target", "4", "--min", "2"]) == 0
+    assert rd.read_parquet(spark, out).count() == 7  # aaa balanced to 4, bbb kept whole
+    assert main(["report", root, "--as-of", "2030-01-01"]) == 0
+    assert '"total_files": 2' in capsys.readouterr().out
