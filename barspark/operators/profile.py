@@ -68,7 +68,8 @@ def suggested_targets(df: DataFrame, ticker: str = "ticker") -> DataFrame:
 # --- A4, A5: describe and coverage ------------------------------------------------------
 
 DESCRIBE_SCHEMA = ("column_name string, count long, unique long, top string, freq long, mean double, "
-                   "std double, min double, p25 double, p50 double, p75 double, max double")
+                   "std double, min double, p25 double, p50 double, p75 double, max double, "
+                   "min_time timestamp_ntz, max_time timestamp_ntz")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,12 +77,17 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     Text columns: count, unique, top (most frequent; ties → smallest value), freq.
     Numeric columns: count, mean, sample std, min, exact 25/50/75 % (linear), max.
+    Timestamp columns: count and the first and last time (``min_time``, ``max_time``).
     Means and counts come from one aggregate; the percentiles from distributed sorts.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     num = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
     txt = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    tms = [f.name for f in fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     aggs = []
+    for c in tms:
+        x = F.col(f"`{c}`").cast("timestamp_ntz")
+        aggs += [F.count(x).alias(f"n_{c}"), F.min(x).alias(f"t0_{c}"), F.max(x).alias(f"t1_{c}")]
     for c in num:
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_samp(x).alias(f"std_{c}"),
@@ -101,12 +107,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     for c in txt:
         top = tops.get(c)
         rows.append((c, base[f"n_{c}"], base[f"u_{c}"], top["v"] if top else None,
-                     -top["nf"] if top else None, None, None, None, None, None, None, None))
+                     -top["nf"] if top else None, None, None, None, None, None, None, None, None, None))
     quart = exact_percentiles_many(df, num, [0.25, 0.5, 0.75])
     for c in num:
         p25, p50, p75 = quart[c]
         rows.append((c, base[f"n_{c}"], None, None, None, base[f"mean_{c}"], base[f"std_{c}"],
-                     base[f"min_{c}"], p25, p50, p75, base[f"max_{c}"]))
+                     base[f"min_{c}"], p25, p50, p75, base[f"max_{c}"], None, None))
+    for c in tms:
+        rows.append((c, base[f"n_{c}"], None, None, None, None, None, None, None, None, None, None,
+                     base[f"t0_{c}"], base[f"t1_{c}"]))
     return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
 
 

@@ -201,6 +201,7 @@ def q_suggested_targets(spark, sf_dir):
 
 _NUM = ["open", "high", "low", "close", "vol", "openint", "seq"]
 _TXT = ["ticker", "format"]
+_TMS = ["timestamp"]
 
 
 def _describe_sql() -> str:
@@ -210,19 +211,25 @@ def _describe_sql() -> str:
  (SELECT {c} FROM bars WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top,
  (SELECT count(*) FROM bars WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS freq,
  NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS p25, NULL::DOUBLE AS p50,
- NULL::DOUBLE AS p75, NULL::DOUBLE AS max FROM bars""")
+ NULL::DOUBLE AS p75, NULL::DOUBLE AS max, NULL::TIMESTAMP AS min_time, NULL::TIMESTAMP AS max_time FROM bars""")
     for c in _NUM:
         x = f"CAST({c} AS DOUBLE)"
         parts.append(f"""SELECT '{c}' AS column_name, count({c}) AS count, NULL::BIGINT AS "unique",
  NULL::VARCHAR AS top, NULL::BIGINT AS freq, {rnd(f'avg({x})')} AS mean, {rnd(f'stddev_samp({x})')} AS std,
  {rnd(f'min({x})')} AS min, {rnd(f'quantile_cont({x}, 0.25)')} AS p25, {rnd(f'quantile_cont({x}, 0.5)')} AS p50,
- {rnd(f'quantile_cont({x}, 0.75)')} AS p75, {rnd(f'max({x})')} AS max FROM bars""")
+ {rnd(f'quantile_cont({x}, 0.75)')} AS p75, {rnd(f'max({x})')} AS max, NULL::TIMESTAMP AS min_time,
+ NULL::TIMESTAMP AS max_time FROM bars""")
+    for c in _TMS:
+        parts.append(f"""SELECT '{c}' AS column_name, count("{c}") AS count, NULL::BIGINT AS "unique",
+ NULL::VARCHAR AS top, NULL::BIGINT AS freq, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min,
+ NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, NULL::DOUBLE AS max,
+ min("{c}") AS min_time, max("{c}") AS max_time FROM bars""")
     return f"{W} " + " UNION ALL ".join(parts)
 
 
 @query("describe", _describe_sql())
 def q_describe(spark, sf_dir):
-    d = pf.describe(_bars(spark, sf_dir), _TXT + _NUM)
+    d = pf.describe(_bars(spark, sf_dir), _TXT + _NUM + _TMS)
     for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]:
         d = d.withColumn(c, rounded(c))
     return d

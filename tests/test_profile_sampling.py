@@ -118,8 +118,11 @@ def test_sequences(spark):
 
 
 def test_describe_quartiles(spark):
-    df = spark.createDataFrame([(float(v), t) for v, t in [(1, "x"), (2, "x"), (3, "y"), (10, "y")]],
-                               "v double, t string")
+    df = spark.createDataFrame([(float(v), t, dt.datetime(2024, 1, v)) for v, t in [(1, "x"), (2, "x"), (3, "y"),
+                                                                                   (10, "y")]],
+                               "v double, t string, ts timestamp")
     d = {r["column_name"]: r for r in pf.describe(df).collect()}
+    assert d["ts"]["count"] == 4 and d["ts"]["min_time"] == dt.datetime(2024, 1, 1)
+    assert d["ts"]["max_time"] == dt.datetime(2024, 1, 10)
     assert d["v"]["p25"] == pytest.approx(1.75) and d["v"]["p50"] == pytest.approx(2.5)
     assert d["t"]["top"] == "x" and d["t"]["freq"] == 2 and d["t"]["unique"] == 2
