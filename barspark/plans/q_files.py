@@ -109,13 +109,22 @@ def q_convert(spark, sf_dir):
 
 # --- S8, S9, V1, V2: a folder of good and broken Stooq files ---------------------------------
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def _stooq_folder(spark, sf_dir) -> str:
-    """``good/`` holds one Stooq file per ticker; ``bad/`` the same rows without ``<CLOSE>``."""
-    root = scratch_path(spark, "stooq-folder")
-    raw = events_stooq_text(spark, sf_dir)
-    write_stooq_text(raw, f"{root}/good")
-    write_stooq_text(raw, f"{root}/bad", columns=[c for c in raw.columns if c not in ("<CLOSE>", "seq")])
-    return root
+    """``good/`` holds one Stooq file per ticker; ``bad/`` the same rows without ``<CLOSE>``.
+
+    Written once per session and input folder; the file queries below share it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        root = scratch_path(spark, "stooq-folder")
+        raw = events_stooq_text(spark, sf_dir)
+        write_stooq_text(raw, f"{root}/good")
+        write_stooq_text(raw, f"{root}/bad", columns=[c for c in raw.columns if c not in ("<CLOSE>", "seq")])
+        _FOLDERS[key] = root
+    return _FOLDERS[key]
 
 
 def _kind_ticker(path_col: str = "path"):
