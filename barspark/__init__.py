@@ -12,3 +12,10 @@ shuffles the work. Sub-packages:
 
 from barspark.schema import BAR_COLUMNS, BAR_SCHEMA, NUMERIC_COLUMNS  # noqa: F401
 from barspark.session import get_spark, scratch_path  # noqa: F401
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# functions that tasks run are sent by value, so executors need no copy of this package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
