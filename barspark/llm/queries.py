@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op6_token_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.tokens import new_shards, tokenizer_path
+    read = new_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.substrings import remove_repeats
