@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.jaccard import ngram_jaccard
+    return ngram_jaccard(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query("op6_token_ids")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.tokens import new_shards, tokenizer_path
