@@ -32,7 +32,16 @@ def _lower_table() -> np.ndarray:
     return t
 
 
+def _punctuation_table() -> np.ndarray:
+    t = np.ones(256, dtype=bool)
+    t[128:] = False
+    t[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+    return t
+
+
 SPACE = _space_table()
+#: All ASCII bytes but letters and digits.
+PUNCTUATION = _punctuation_table()
 LOWER = _lower_table()
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -102,12 +111,12 @@ def slices(text: Text, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Tex
         i = j
 
 
-def words(text: Text, lower: bool = False) -> Words:
-    """Every word of every document, with its name."""
+def words(text: Text, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
+    """Every word of every document, with its name. ``breaks``: the bytes that no word holds."""
     data, off = text
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~breaks[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -35,6 +35,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.decontaminate import leaks
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_token_ids")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.tokens import new_shards, tokenizer_path
