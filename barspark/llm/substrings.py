@@ -224,8 +224,7 @@ def _mark_rows(ids: np.ndarray, th: np.ndarray, pos: np.ndarray) -> pa.RecordBat
     """A row for each document: its marked starts as packed (first, length) pairs."""
     order = np.lexsort((pos, th, ids))
     ids, th, pos = ids[order], th[order].astype(np.int64), pos[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])
+    new = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))
     head, doc = np.flatnonzero(new), np.cumsum(new) - 1
     first, size = _spans(doc, pos)
     n = np.diff(np.append(np.searchsorted(first, head), len(first)))
@@ -233,21 +232,42 @@ def _mark_rows(ids: np.ndarray, th: np.ndarray, pos: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(th[head]), A.binaries(pairs, n * 2)], ["doc_id", "th", "spans"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of a bucket to marks (doc_id, th, spans)."""
+def _settle(routes: np.ndarray):
+    """The records of a bucket to records of marks, one for each place that documents are gathered at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in A.groups(batches, "bucket"):
+            marks, held, keys = [], [], []
+            for row in table.to_pylist():
+                if row["kind"]:
+                    marks.append(_opened(row))
+                else:
+                    held.append(_opened(row))
+                    keys.append(np.frombuffer(row["keys"], U64))
+            if held:
+                found = tuple(np.concatenate(x) for x in zip(*held))
+                late = _later(np.concatenate(keys), found[0])
+                marks.append(tuple(x[late] for x in found))
+            ids, th, pos = (np.concatenate(x) for x in zip(*marks))
+            place = (A.mix(ids.view(U64)) % U64(len(routes))).astype(np.int64)
+            order = np.lexsort((pos, th, ids, place))
+            ids, th, pos, place = ids[order], th[order], pos[order], place[order]
+            doc = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))[:len(ids)]) - 1
+            head = np.searchsorted(doc, np.arange(doc[-1] + 1)) if len(doc) else doc
+            cuts = np.searchsorted(place, np.arange(len(routes) + 1))
+            rows = [_record(int(routes[k]), 1, ids[head], th[head], doc[a:b], pos[a:b], np.zeros(0, U64))
+                    for k in np.flatnonzero(np.diff(cuts)).tolist() for a, b in [cuts[k:k + 2]]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i in range(len(_NAMES))], _NAMES)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All marks of a place's documents, a row for each document."""
     for _, table in A.groups(batches, "bucket"):
-        held, keys = [], []
-        for row in table.to_pylist():
-            if row["kind"]:
-                yield _mark_rows(*_opened(row))
-            else:
-                held.append(_opened(row))
-                keys.append(np.frombuffer(row["keys"], U64))
-        if held:
-            ids, th, pos = (np.concatenate(x) for x in zip(*held))
-            late = _later(np.concatenate(keys), ids)
-            if late.any():
-                yield _mark_rows(ids[late], th[late], pos[late])
+        ids, th, pos = (np.concatenate(x) for x in zip(*map(_opened, table.to_pylist())))
+        yield _mark_rows(ids, th, pos)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -263,8 +283,8 @@ def default_rounds(size: int) -> int:
 def repeated_windows(docs: DataFrame, size: int = 13, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where windows of ``size`` words start that also start in a document with a smaller id.
 
-    Returns ``doc_id, th, spans``: ``th`` is 32 bits of the text's hash, ``spans`` an array of packed
-    (first window start, number of consecutive starts) pairs of unsigned 32-bit integers. Rows
+    Returns ``doc_id, th, spans``, a row for each document that has any: ``th`` is 32 bits of the text's
+    hash, ``spans`` packed (first window start, number of consecutive starts) pairs of unsigned 32-bit integers. Rows
     without an id are left out; null and empty texts have no windows; rows that share an id never
     mark each other.
     """
@@ -272,17 +292,16 @@ def repeated_windows(docs: DataFrame, size: int = 13, rounds: int | None = None,
     routes = route_values(spark, partitions(spark))
     rounds = default_rounds(size) if rounds is None else rounds
     sent = _source(docs, id_col, text_col).mapInArrow(_send(size, rounds, routes), _SENT)
-    marks = sent.repartition(len(routes), "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, _MARKS)
-    return marks.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))
+    settled = sent.repartition(len(routes), "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(routes), _SENT)
+    return settled.repartition(len(routes), "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _MARKS)
 
 
-def _covered(spans: list[bytes] | None, n: int, size: int) -> np.ndarray:
+def _covered(spans: bytes, n: int, size: int) -> np.ndarray:
     """Which of n words a marked window covers."""
     step = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        pairs = np.frombuffer(s, np.uint32).reshape(-1, 2).astype(np.int64)
-        np.add.at(step, pairs[:, 0], 1)
-        np.add.at(step, np.minimum(pairs[:, 0] + pairs[:, 1] - 1 + size, n), -1)
+    pairs = np.frombuffer(spans, np.uint32).reshape(-1, 2).astype(np.int64)
+    np.add.at(step, pairs[:, 0], 1)
+    np.add.at(step, np.minimum(pairs[:, 0] + pairs[:, 1] - 1 + size, n), -1)
     return np.cumsum(step[:-1]) > 0
 
 
