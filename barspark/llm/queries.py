@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barspark.llm import urls
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,6 +43,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op4_url_filter", urls.oracle([urls.Rule(*r) for r in URL_RULES]))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), [urls.Rule(*r) for r in URL_RULES])
+
+
 @query("op6_token_ids")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.tokens import new_shards, tokenizer_path
@@ -53,3 +64,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.substrings import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"), size=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.secrets import secret_report
+    return secret_report(table(spark, sf_dir, "documents"))
