@@ -70,3 +70,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.secrets import secret_report
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+#: The key of the query's replacements; a production job passes its own.
+SURROGATE_KEY = "corpus"
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.pii import surrogate_report
+    return surrogate_report(table(spark, sf_dir, "documents"), SURROGATE_KEY)
