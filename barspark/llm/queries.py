@@ -52,6 +52,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), [urls.Rule(*r) for r in URL_RULES])
 
 
+@query("op5_near_vectors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.vectors import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_token_ids")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.tokens import new_shards, tokenizer_path
