@@ -29,7 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back, so that its lineage
     ends there and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,7 @@ from a table of 256 rows, and offsets are the running sums of those lengths.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from barspark.session import scratch_path
 #: Codes of a block (a longer document is a block of its own).
 BLOCK_CODES = 1 << 19
 #: Entries of the memo of pieces a worker keeps.
-MEMO = 1 << 18
+MEMO = 1_200_000
 
 #: Length of each of the four codes of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -65,28 +66,42 @@ def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _shown() -> dict[int, int]:
+    """Byte-level tokenizers write every byte as a visible character: bytes that Latin-1 shows as themselves,
+    the others, in order, as the characters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+SHOWN = _shown()
+
+
 class Pieces:
     """Encodes texts piece by piece with a memo.
 
     The byte-level tokenizer cuts a text at white space before it applies merges, and a single
     space between two other characters belongs to the piece after it. So the text falls apart
-    at such spaces, and equal pieces have equal ids. Texts with other white space go whole to
-    the tokenizer, unless only line ends adjoin words: these are kept inside a piece.
+    at such spaces, and equal pieces have equal ids. A mark at the end of a piece is cut off likewise
+    where a letter stands before it. Texts with other doubled, leading or closing white space go whole
+    to the tokenizer; line ends between words stay inside a piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        #: Bytes of an id.
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.memo = _Memo(self)
+        self.marks = {m: self.ids(m) for m in ".,"}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        out = self.memo[piece] = self.ids(" " + piece)
-        return out
+    def word(self, letters: str) -> bytes:
+        """Ids of a space and letters, which the tokenizer never cuts before merging: its merges alone."""
+        return array(self.code, [t.id for t in self.tok.model.tokenize(" ".translate(SHOWN) + letters.encode().decode("latin-1").translate(SHOWN))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -94,24 +109,45 @@ class Pieces:
         if _DOUBLE.search(text):
             return self.ids(text)
         first, *rest = text.split(" ")
-        memo, make = self.memo, self._piece
-        return self.ids(first) + b"".join([memo.get(p) or make(p) for p in rest])
+        return self.ids(first) + b"".join(map(self.memo.__getitem__, rest))
+
+
+class _Memo(dict):
+    """Ids of pieces with a space before them."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalpha():
+            return self[piece[:-1]] + self.pieces.marks[piece[-1]]
+        out = self[piece] = self.pieces.word(piece) if piece.isalpha() else self.pieces.ids(" " + piece)
+        return out
+
+
+def worker_pieces(path: str) -> Pieces:
+    """The tokenizer and memo that this Python worker keeps from task to task."""
+    import sys
+    import types
+    kept = sys.modules.setdefault("_barspark_kept", types.ModuleType("_barspark_kept"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.pieces = path, Pieces(path)
+    return kept.pieces
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces = Pieces(path)
-        end = np.array([end_id], "<u4").tobytes()
+        pieces = worker_pieces(path)
+        # the last byte tells the width of an id
+        end = np.array([end_id], pieces.kind).tobytes() + pieces.kind[-1:].encode()
         for b in batches:
             texts = b.column(2).to_pylist()
             for i in range(0, len(texts), 500):
-                # ids below 2**16 are stored in two byte planes, others in four
-                out = []
-                for t in texts[i:i + 500]:
-                    ids = np.frombuffer(pieces.encode(t) + end, "<u4") if t else np.array([end_id], "<u4")
-                    out.append(ids.astype("<u2").tobytes() + b"\2" if ids.max() < 1 << 16 else ids.tobytes() + b"\4")
+                out = [pieces.encode(t) + end for t in texts[i:i + 500]]
                 n = len(out)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(out, pa.binary())], ["place", "doc_id", "ids"])
 
@@ -119,7 +155,8 @@ def _tokenize(path: str, end_id: int):
 
 
 def _ids_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[-1] == 2 else "<u4", count=(len(raw) - 1) // raw[-1]).astype(np.uint32)
+    wide = raw[-1:] == b"4"
+    return np.frombuffer(raw, "<u4" if wide else "<u2", count=len(raw) // (4 if wide else 2)).astype(np.uint32)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +229,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, or
     rank[[t for _, t in rows]] = np.arange(len(rows))
     n = partitions(spark)
     placed = ids.repartitionByRange(n, "place", "doc_id").sortWithinPartitions("place", "doc_id")
-    placed.mapInArrow(_blocks(rank), _BLOCK).write.parquet(f"{path}/blocks")
+    placed.mapInArrow(_blocks(rank), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(t), i) for i, (_, t) in enumerate(rows)], "token long, rank long").coalesce(1).write.parquet(f"{path}/vocabulary")
 
 
