@@ -7,9 +7,10 @@ sets are one point. Points are split into regions by pivots, in levels:
    a pivot for them; single shingles can. The distance to {s} is 1 - 1/|A| if s is in A, else 1,
    so a document's nearest pivots are its own shingles. Ties go by one order of all shingles
    (shingles of very many documents last, then by hash). Linked documents differ in few shingles, so
-   the first shingle they share is among the first |A| - ceil(t|A|) + 1 of each. A document is therefore
-   copied to the regions of that many pivots and no more. Sizes in a region that jump by more than
-   1/t cut it, since sizes are distances to the empty set.
+   the first p = |A| - ceil(t|A|) + 1 of each hold one that they share, and the first 2p - 1 of each hold at
+   least the p of the smaller linked size. A document is copied to the regions of its first 2p - 1
+   shingles and no more, and leaves the join if too few of these have another point. Sizes in a
+   region that jump by more than 1/t cut it, since sizes are distances to the empty set.
 2. *Document pivots.* Each shingle region elects its smallest point as pivot; regions of one pivot
    merge. A region whose points all meet in another region is dropped.
 3. *Recursion.* A region is joined in one task: pivots are picked farthest first, points go to the
@@ -100,9 +101,14 @@ def _name_sets(n: int):
     return run
 
 
+def reach(n, percent: int):
+    """Shingles that a set of n may hold beyond those of any linked set, and one more."""
+    return n - (percent * n + 99) // 100 + 1
+
+
 def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set, of which a linked document must have one among its own."""
-    m = len(s) - (percent * len(s) + 99) // 100 + 1
+    """The first 2 reach - 1 shingles of a sorted set in the order of all shingles."""
+    m = 2 * reach(len(s), percent) - 1
     if len(common):
         late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
         s = np.concatenate([s[~late], s[late]]) if late.any() else s
@@ -132,8 +138,13 @@ def _postings(n: int, percent: int, common: np.ndarray, routes: np.ndarray):
     return run
 
 
-def _elect(percent: int):
-    """A bucket's shingle regions to (k, c): point k meets others in the region of pivot c."""
+def _regions(s: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where regions begin in rows sorted by shingle and size: at a new shingle or a jump of the size."""
+    return np.append(True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:]))
+
+
+def _shared(percent: int):
+    """A bucket's postings to those (s, k, n) whose shingle region has two points or more."""
 
     def run(batches):
         for _, t in A.groups(batches, "bucket"):
@@ -143,16 +154,38 @@ def _elect(percent: int):
             n = np.concatenate([A.unplanes(r["size"], np.uint32) for r in rows]).astype(np.int64)
             order = np.lexsort((k, n, s))
             s, k, n = s[order], k[order], n[order]
-            same = (s[1:] == s[:-1]) & (k[1:] == k[:-1])
-            keep = np.append(True, ~same)
+            keep = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))
             s, k, n = s[keep], k[keep], n[keep]
-            new = np.append(True, (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:]))
-            head = np.flatnonzero(new)
+            head = np.flatnonzero(_regions(s, n, percent))
             count = np.diff(np.append(head, len(s)))
-            least = np.repeat(np.minimum.reduceat(k, head), count)
-            shared = np.repeat(count, count) > 1
-            pairs = np.unique(np.stack([k[shared], least[shared]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["k", "c"])
+            many = np.repeat(count, count) > 1
+            yield pa.RecordBatch.from_arrays([pa.array(s[many].view(np.int64)), pa.array(k[many]), pa.array(n[many])], ["s", "k", "n"])
+
+    return run
+
+
+def _elect(percent: int):
+    """Postings sorted by shingle and size to (k, c): point k meets others in the region of pivot c."""
+
+    def pairs(s, k, n):
+        head = np.flatnonzero(_regions(s, n, percent))
+        count = np.diff(np.append(head, len(s)))
+        least = np.repeat(np.minimum.reduceat(k, head), count)
+        many = np.repeat(count, count) > 1
+        found = np.unique(np.stack([k[many], least[many]], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["k", "c"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
+            # the last shingle may go on in the next batch
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole:
+                yield pairs(*[h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if len(held[0]):
+            yield pairs(*held)
 
     return run
 
@@ -292,7 +325,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, max_region: in
 
     routes = route_values(spark, partitions(spark))
     posted = src.select("doc_id", "text").mapInArrow(_postings(n, percent, common, routes), "bucket int, s binary, k binary, size binary")
-    met = stored(posted.repartition(len(routes), "bucket").sortWithinPartitions("bucket").mapInArrow(_elect(percent), "k long, c long").distinct(), "regions")
+    shared = stored(posted.repartition(len(routes), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), "s long, k long, n long"), "shared")
+    smaller = F.expr(f"({percent} * n + 99) div 100")
+    alive = shared.groupBy("k", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= smaller - F.floor((smaller * percent + 99) / 100) + 1).select("k")
+    met = (shared.join(alive, "k", "left_semi").select("s", "k", "n").repartition(len(routes), "s").sortWithinPartitions("s", "n", "k")
+           .mapInArrow(_elect(percent), "k long, c long").distinct())
+    met = stored(met, "regions")
 
     # a region all of whose points have their first region in common is part of that region
     home = met.groupBy("k").agg(F.min("c").alias("home"))
