@@ -28,9 +28,19 @@ def route_values(spark: SparkSession, n: int) -> np.ndarray:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back, so that its lineage
     ends there and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -57,6 +67,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct()
         after = stored(small, "small")
+        discard(large, e)
         # at the fixed point every node has one smaller neighbour, and no node is both a root and a leaf
         leaves = after.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         open_leaf = leaves.where("n > 1").limit(1).count()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barspark.llm import arrays as A
-from barspark.llm.frames import components, partitions, route_values, stored
+from barspark.llm.frames import components, discard, partitions, route_values, stored
 
 U64 = np.uint64
 CHUNK_WORDS = 1 << 19
@@ -331,6 +331,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, max_region: in
     met = (shared.join(alive, "k", "left_semi").select("s", "k", "n").repartition(len(routes), "s").sortWithinPartitions("s", "n", "k")
            .mapInArrow(_elect(percent), "k long, c long").distinct())
     met = stored(met, "regions")
+    discard(shared)
 
     # a region all of whose points have their first region in common is part of that region
     home = met.groupBy("k").agg(F.min("c").alias("home"))
@@ -345,8 +346,17 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, max_region: in
     points = routed.mapInArrow(_route(n), "region long, k long, points binary")
     edges = points.repartition(partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_join(percent), "a long, b long")
 
-    found = members.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    joined = components(edges)
+    discard(met)
+    found = members.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least_id = found.where("k is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     same = members.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("same"))
     return (found.join(least_id, "root", "left").join(same, "k", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("same", F.lit(0)).alias("n_same"), F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a smaller id in their component. Rows that share
+    an id are one document, and rows without an id stay."""
+    lost = ngram_jaccard(docs, n, percent, id_col=id_col, text_col=text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__op_id")).distinct()
+    return docs.join(lost, docs[id_col] == F.col("__op_id"), "left_anti")

@@ -78,6 +78,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+@query("op9_source_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.mixing import mix_report
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 #: The key of the query's replacements; a production job passes its own.
 SURROGATE_KEY = "corpus"
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barspark.llm.frames import partitions, stored
+from barspark.llm.frames import discard, partitions, stored
 from barspark.session import scratch_path
 
 #: Codes of a block (a longer document is a block of its own).
@@ -230,6 +230,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, or
     n = partitions(spark)
     placed = ids.repartitionByRange(n, "place", "doc_id").sortWithinPartitions("place", "doc_id")
     placed.mapInArrow(_blocks(rank), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    discard(ids)
     spark.createDataFrame([(int(t), i) for i, (_, t) in enumerate(rows)], "token long, rank long").coalesce(1).write.parquet(f"{path}/vocabulary")
 
 
@@ -264,6 +265,12 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_read(token, base), "doc_id long, start long, n_tokens long, ids binary")
 
 
+def stored_order(docs: DataFrame) -> list:
+    """Columns that order the rows of a frame read from files as they stand in them (part number, file, row)."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-([0-9]+)", 1).cast("long"), name, F.col("_metadata.row_index")]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

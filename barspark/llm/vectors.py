@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barspark.llm import arrays as A
-from barspark.llm.frames import components, partitions, stored
+from barspark.llm.frames import components, discard, partitions, stored
 
 TABLES, PROBES, MAX_BUCKET = 6, 4, 4096
 ROWS = 2048
@@ -180,6 +180,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES,
     found = stored(placed.repartition(partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_compare(least), "k long, other long, n long"), "links")
     linked = found.groupBy("k").agg(F.sum("n").alias("n"))
     member = components(found.select(F.col("k").alias("a"), F.col("other").alias("b")))
+    discard(hashed)
     point = weights.join(linked, "k", "left").join(member.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least_id = point.groupBy("root").agg(F.min("first").alias("component"))
     point = point.join(least_id, "root").select("k", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), "component")
