@@ -54,7 +54,7 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: Any text that holds an entity matches this cheap pattern too.
-_HINT = rf"[0-9]{{2}}|@|(?:{_TITLES})\.? "
+_HINT = rf"[0-9][0-9.]|@|(?:{_TITLES})\.? "
 MAX_ATTEMPTS = 64
 
 ENTITY = "(?:" + "|".join(PATTERNS.values()) + ")"
