@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barspark.llm import urls
+from barspark.llm import oracles, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", oracles.jaccard(4, 85))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.jaccard import ngram_jaccard
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -52,7 +52,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), [urls.Rule(*r) for r in URL_RULES])
 
 
-@query("op5_near_vectors")
+@query("op5_near_vectors", oracles.near_vectors(0.98))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.vectors import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))
@@ -65,7 +65,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", oracles.repeats(13))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.substrings import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"), size=13)
