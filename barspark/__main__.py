@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
     rp = sub.add_parser("report")
     rp.add_argument("root")
     rp.add_argument("--as-of")
+    for q in (ld, rp):
+        q.add_argument("--out", help="folder for the whole tables as JSON lines")
     ap.add_argument("--master")
     args = ap.parse_args(argv)
 
@@ -48,7 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.task == "load":
         from barspark.sources.readers import load_with_skips
         bars, skipped = load_with_skips(spark, args.root, args.format)
-        print(json.dumps({"rows": bars.count(), "skipped": [r.asDict() for r in skipped.limit(100).collect()]}))
+        if args.out:
+            skipped.write.mode("overwrite").json(f"{args.out}/skipped")
+        print(json.dumps({"rows": bars.count(), "skipped": [r.asDict() for r in skipped.collect()]}))
     elif args.task == "convert":
         from barspark.sources.sinks import convert
         convert(spark, args.src, args.dst, args.src_fmt, args.dst_fmt)
@@ -63,7 +67,12 @@ def main(argv: list[str] | None = None) -> int:
         from barspark.plans.report import quality_report
         rep = quality_report(spark, args.root, args.as_of)
         print(json.dumps({k: v for k, v in rep["summary"].first().asDict().items()}, default=str))
-        rep["issues"].show(50, truncate=False)
+        if args.out:
+            for name, table in rep.items():
+                table.write.mode("overwrite").json(f"{args.out}/{name}")
+        else:
+            for r in rep["issues"].toLocalIterator():
+                print(json.dumps(r.asDict(), default=str))
     return 0
 
 

@@ -24,7 +24,7 @@ def normalize(df: DataFrame, method: str = "minmax", columns: Sequence[str] | No
 
     minmax: (x − min) / (max − min); standard: (x − mean) / population std;
     robust: (x − median) / (p75 − p25) with exact linear percentiles. A zero scale
-    counts as 1. NULLs stay NULL and are ignored when fitting. The fitted
+    counts as 1. NULLs stay NULL and are ignored when fitting; NaN counts as NULL. The fitted
     statistics are one small row; the scaling is a projection.
     """
     if method not in METHODS:
@@ -32,7 +32,7 @@ def normalize(df: DataFrame, method: str = "minmax", columns: Sequence[str] | No
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
         return df
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
     center, scale = {}, {}
     if method in ("minmax", "standard"):
         aggs = []
@@ -48,7 +48,7 @@ def normalize(df: DataFrame, method: str = "minmax", columns: Sequence[str] | No
             s = (b - a) if (method == "minmax" and a is not None and b is not None) else b
             scale[c] = s if s else 1.0
     else:
-        quart = exact_percentiles_many(df, cols, [0.25, 0.5, 0.75])
+        quart = exact_percentiles_many(df.select(*[x[c].alias(c) for c in cols]), cols, [0.25, 0.5, 0.75])
         for c in cols:
             q25, q50, q75 = quart[c]
             center[c] = q50

@@ -54,7 +54,8 @@ def condition(df: DataFrame, column: str, operator: str, value=None) -> Column:
         return c != _typed(value, dt)
     if operator in ("contains", "not_contains"):
         # LIKE with the value inside %…%; % and _ in the value stay wildcards.
-        like = c.cast("string").like(f"%{value}%")
+        # A backslash is an ordinary character.
+        like = c.cast("string").like("%" + str(value).replace("\\", "\\\\") + "%")
         return like if operator == "contains" else ~like
     if operator == "greater_than":
         return c > _typed(value, dt)

@@ -16,7 +16,11 @@ them into bounded ``(ticker, _blk)`` partitions with a halo of preceding rows, s
 ticker, however large, lands in one task. The EMA is built from native window sums:
 rows are grouped in runs of 64 (``_b``); inside a run the prefix sums of ``x·q^-p`` give
 the local part, and the K previous runs' end values (read with ``rangeBetween(-k,-k)``
-frames on ``_b``) give the carry, truncated once ``q^(64K)`` is below 1e-17.
+frames on ``_b``) give the carry, truncated once ``q^(64K)`` is below 1e-17. A NULL price
+repeats the average of the last row that has one, however far back: within a block by a
+window, across blocks by a table of one row per (ticker, block) (:func:`_filled`). That step
+runs only if some price is NULL.
+NaN prices count as NULL.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.operators.ordering import DEFAULT_BLOCK_ROWS, with_blocks
+from barspark.operators.ordering import DEFAULT_BLOCK_ROWS, into_blocks, with_blocks
 
 RUN = 64  # rows per EMA run; keeps q^-p within double range for spans >= 3
 
@@ -71,7 +75,21 @@ def _ema(x: Column, span: float, part: Sequence[str]) -> Column:
         den_carry = den_carry + F.coalesce(F.first(den_end).over(back), F.lit(0.0)) * F.lit(w)
     num = num_local + F.lit(q) * num_carry
     den = den_local + F.lit(q) * den_carry
-    return F.when(den > 0, num / den)
+    return F.when(x.isNotNull(), num / den)
+
+
+def _filled(own: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """NULLs of ``columns`` take the ticker's last value before them: within the block by a window, else the last
+    value of the nearest earlier block that has one. ``own`` holds each row once (no halo)."""
+    ends = own.groupBy(key, "_blk").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_g"))).alias(f"_end{i}") for i, c in enumerate(columns)])
+    older = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col(key).alias("_ck"), F.col("_blk").alias("_cb"), *[
+        F.last(f"_end{i}", True).over(older).alias(f"_carry{i}") for i in range(len(columns))])
+    seen = Window.partitionBy(key, "_blk").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    out = own.join(carry, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_blk") == F.col("_cb")), "left")
+    return (out.withColumns({c: F.coalesce(F.last(c, True).over(seen), F.col(f"_carry{i}")) for i, c in enumerate(columns)})
+            .drop("_ck", "_cb", *[f"_carry{i}" for i in range(len(columns))]))
 
 
 def _rolling(part: Sequence[str], n: int) -> Window:
@@ -102,7 +120,8 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
     block_rows = max(block_rows, halo)
     block_rows = int(math.ceil(block_rows / RUN) * RUN)
     part = [key, "_blk"]
-    x = F.col(price)
+    x = F.nanvl(F.col(price).cast("double"), F.lit(None).cast("double"))
+    gaps = bool({"ema", "macd"} & which) and df.filter(x.isNull()).limit(1).count() > 0
     b = (with_blocks(df, [key], list(order), block_rows, halo, split_copies)
          .repartition(key, "_blk")
          .withColumn("_b", F.floor(F.col("_g") / F.lit(RUN)).cast("long")))
@@ -121,10 +140,11 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
         if "ema" in which:
             out += [ef, es]
         if "macd" in which:
-            stages[1]["macd"] = F.col(ef) - F.col(es)
-            stages[2]["macd_signal"] = _ema(F.col("macd"), signal_span, part)
-            stages[3]["macd_histogram"] = F.col("macd") - F.col("macd_signal")
             out += ["macd", "macd_signal", "macd_histogram"]
+            if not gaps:
+                stages[1]["macd"] = F.col(ef) - F.col(es)
+                stages[2]["macd_signal"] = _ema(F.col("macd"), signal_span, part)
+                stages[3]["macd_histogram"] = F.col("macd") - F.col("macd_signal")
     if "rsi" in which:
         prev = F.lag(x, 1).over(Window.partitionBy(*part).orderBy("_b", "_g"))
         stages[0]["_delta"] = x - prev
@@ -145,7 +165,15 @@ def technical_indicators(df: DataFrame, key: str = "ticker", order: Sequence[str
     for stage in stages:
         if stage:
             b = b.withColumns(stage)
-    return b.filter(~F.col("_halo")).select(*cols, *out)
+    b = b.filter(~F.col("_halo"))
+    if gaps:
+        b = _filled(b, [ef, es], key)
+        if "macd" in which:
+            # the signal looks back over filled values, so blocks get their halo anew
+            b = into_blocks(b.withColumn("macd", F.col(ef) - F.col(es)).drop("_blk", "_halo"), block_rows, halo).repartition(key, "_blk")
+            b = b.withColumn("macd_signal", _ema(F.col("macd"), signal_span, part)).filter(~F.col("_halo"))
+            b = b.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return b.select(*cols, *out)
 
 
 def sma(df: DataFrame, **kw) -> DataFrame:

@@ -105,6 +105,11 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     if halo > block_rows:
         raise ValueError("halo must not exceed block_rows")
     g = global_position(df, [*keys, *order], split_copies=split_copies)
+    return into_blocks(g, block_rows, halo)
+
+
+def into_blocks(g: DataFrame, block_rows: int, halo: int = 0) -> DataFrame:
+    """Add ``_blk`` and ``_halo`` to rows that have their position ``_g``."""
     own = F.floor(F.col("_g") / F.lit(block_rows)).cast("long")
     if halo <= 0:
         return g.withColumn("_blk", own).withColumn("_halo", F.lit(False))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspark.functions.columns import numeric
 from barspark.operators.ordering import global_position
@@ -25,7 +26,10 @@ def is_numeric_column(df: DataFrame, column: str) -> bool:
 
 
 def sort_key(df: DataFrame, column: str, numeric_sort: bool | None = None) -> Column:
-    """Numeric order when every value parses, else lower-cased text order."""
+    """Typed columns by their own order; text in numeric order when every value parses,
+    else in lower-cased order."""
+    if not isinstance(df.select(_c(column)).schema[0].dataType, T.StringType):
+        return _c(column)
     if numeric_sort is None:
         numeric_sort = is_numeric_column(df, column)
     return numeric(_c(column)) if numeric_sort else F.lower(_c(column).cast("string"))
@@ -114,12 +118,11 @@ def ticker_neighbors(df: DataFrame, column: str = "ticker") -> DataFrame:
 def next_ticker(df: DataFrame, current: str | None, column: str = "ticker", step: int = 1) -> str | None:
     """Next (``step=1``) or previous (``-1``) ticker; unknown → first / last."""
     t = ticker_list(df, column)
-    if current is not None:
-        nb = ticker_neighbors(df, column).filter(F.col("ticker") == current).first()
-        if nb is not None:
-            return nb["next_ticker"] if step > 0 else nb["prev_ticker"]
-    row = t.agg(F.min("ticker").alias("lo"), F.max("ticker").alias("hi")).first()
-    return row["lo"] if step > 0 else row["hi"]
+    c = F.col("ticker")
+    row = t.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.max(c == F.lit(current)).alias("known"),
+                F.min(F.when(c > F.lit(current), c)).alias("next"), F.max(F.when(c < F.lit(current), c)).alias("prev")).first()
+    near = (row["next"] if step > 0 else row["prev"]) if row["known"] else None
+    return near if near is not None else (row["lo"] if step > 0 else row["hi"])
 
 
 def ticker_counts(df: DataFrame, column: str = "ticker") -> DataFrame:
@@ -143,3 +146,8 @@ def table_info(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(
         [(f.name, f.dataType.simpleString(), i, n) for i, f in enumerate(df.schema.fields)],
         "column_name string, data_type string, ordinal int, row_count long")
+
+
+def files_by_records(df: DataFrame, source: str = "_source") -> DataFrame:
+    """Files by their number of rows, most first (P10); ties by name."""
+    return df.groupBy(_c(source).alias("source")).agg(F.count(F.lit(1)).alias("records")).orderBy(F.desc("records"), F.asc("source"))

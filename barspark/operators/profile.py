@@ -52,7 +52,9 @@ def ticker_count_stats(df: DataFrame, ticker: str = "ticker", ts: str = "timesta
                      F.avg("records").alias("mean_records"),
                      F.min("first_timestamp").alias("first_timestamp"),
                      F.max("last_timestamp").alias("last_timestamp"))
+    # one row, taken while the counts are still kept
     out = row.withColumn("median_records", F.lit(median).cast("double"))
+    out = df.sparkSession.createDataFrame(out.collect(), out.schema)
     counts.unpersist()
     return out
 
@@ -75,40 +77,42 @@ DESCRIBE_SCHEMA = ("column_name string, count long, unique long, top string, fre
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Column statistics like pandas ``describe(include='all')`` (A4), one row per column.
 
-    Text columns: count, unique, top (most frequent; ties → smallest value), freq.
+    Text and boolean columns: count, unique, top (most frequent; ties → smallest value), freq,
+    all from one count per value. NaN counts as NULL.
     Numeric columns: count, mean, sample std, min, exact 25/50/75 % (linear), max.
-    Timestamp columns: count and the first and last time (``min_time``, ``max_time``).
+    Timestamp and date columns: count and the first and last time (``min_time``, ``max_time``).
     Means and counts come from one aggregate; the percentiles from distributed sorts.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     num = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-    txt = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    tms = [f.name for f in fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    flags = [f.name for f in fields if isinstance(f.dataType, T.BooleanType)]
+    txt = [f.name for f in fields if isinstance(f.dataType, T.StringType)] + flags
+    tms = [f.name for f in fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
     aggs = []
     for c in tms:
         x = F.col(f"`{c}`").cast("timestamp_ntz")
         aggs += [F.count(x).alias(f"n_{c}"), F.min(x).alias(f"t0_{c}"), F.max(x).alias(f"t1_{c}")]
+    clean = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in num}
     for c in num:
-        x = F.col(f"`{c}`").cast("double")
+        x = clean[c]
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_samp(x).alias(f"std_{c}"),
                  F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}")]
-    for c in txt:
-        aggs += [F.count(_c(c)).alias(f"n_{c}"), F.count_distinct(_c(c)).alias(f"u_{c}")]
     base = df.agg(*aggs).first() if aggs else None
     tops = {}
     if txt:
         # every text column's most frequent value in one job: unpivot, count, keep the max
-        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), _c(c).alias("v")) for i, c in enumerate(txt)]))
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), _c(c).cast("string").alias("v")) for i, c in enumerate(txt)]))
         freq = (df.select(pairs.alias("p")).select("p.k", "p.v").filter(F.col("v").isNotNull())
                 .groupBy("k", "v").agg(F.count(F.lit(1)).alias("f")))
-        best = freq.groupBy("k").agg(F.min(F.struct((-F.col("f")).alias("nf"), F.col("v").alias("v"))).alias("m"))
-        tops = {txt[r["k"]]: r["m"] for r in best.collect()}
+        best = freq.groupBy("k").agg(F.min(F.struct((-F.col("f")).alias("nf"), F.col("v").alias("v"))).alias("m"),
+                                     F.sum("f").alias("n"), F.count(F.lit(1)).alias("u"))
+        tops = {txt[r["k"]]: r for r in best.collect()}
     rows = []
     for c in txt:
         top = tops.get(c)
-        rows.append((c, base[f"n_{c}"], base[f"u_{c}"], top["v"] if top else None,
-                     -top["nf"] if top else None, None, None, None, None, None, None, None, None, None))
-    quart = exact_percentiles_many(df, num, [0.25, 0.5, 0.75])
+        rows.append((c, top["n"] if top else 0, top["u"] if top else 0, top["m"]["v"] if top else None,
+                     -top["m"]["nf"] if top else None, None, None, None, None, None, None, None, None, None))
+    quart = exact_percentiles_many(df.select(*[clean[c].alias(c) for c in num]), num, [0.25, 0.5, 0.75])
     for c in num:
         p25, p50, p75 = quart[c]
         rows.append((c, base[f"n_{c}"], None, None, None, base[f"mean_{c}"], base[f"std_{c}"],

@@ -39,7 +39,7 @@ def balance_tickers(df: DataFrame, target: int | None = None, minimum: int | Non
     NULL tickers drop. Raises when no ticker reaches the minimum (``check_empty``).
 
     Row ranks come from :func:`with_key_rank`, so a ticker with a third of all rows is
-    ranked by many tasks, not one.
+    ranked by many tasks, not one; the per-ticker counts decide which rows need a rank.
     """
     # one row per ticker, aggregated once and reused by the median and the empty check
     counts = ticker_counts(df, ticker).cache()
@@ -51,10 +51,13 @@ def balance_tickers(df: DataFrame, target: int | None = None, minimum: int | Non
             raise ValueError("No tickers met the minimum record requirement")
     finally:
         counts.unpersist()
-    cols = df.columns
-    ranked = with_key_rank(df.filter(F.col(ticker).isNotNull()), [ticker], list(order), block_rows,
-                           split_copies=split_copies)
+    # tickers at or below the target stay whole; only the rows of larger ones are ranked
+    cols, records = df.columns, F.col("records")
+    of = lambda keep: ticker_counts(df, ticker).where(keep).select(F.col("ticker").alias(ticker))
+    whole = df.join(of((records >= minimum) & (records <= target)), ticker, "left_semi")
+    large = df.join(of((records >= minimum) & (records > target)), ticker, "left_semi")
+    ranked = with_key_rank(large, [ticker], list(order), block_rows, split_copies=split_copies)
     n, r = F.col("_n"), F.col("_r")
     step = (n / F.lit(target)).cast("long")
-    keep = (n >= minimum) & ((n <= target) | (((r % step) == 0) & (r < step * target)))
-    return ranked.filter(keep).select(*cols)
+    keep = ((r % step) == 0) & (r < step * target)
+    return whole.select(*cols).unionByName(ranked.filter(keep).select(*cols))

@@ -72,7 +72,7 @@ def conform_schema(df: DataFrame, fmt: str | None = None, keep: list[str] | None
     """Conform any frame to the bar schema.
 
     Missing columns become NULL, extra columns are dropped, columns come in schema
-    order; numerics are coerced to DOUBLE (bad or nested → NULL); timestamps are coerced
+    order; numerics are coerced to DOUBLE (bad, NaN or nested → NULL); timestamps are coerced
     (text parsed, bad → NULL). ``fmt`` stamps the ``format`` column; ``keep`` carries
     extra columns (such as ``_source``) through.
     """
@@ -88,7 +88,7 @@ def conform_schema(df: DataFrame, fmt: str | None = None, keep: list[str] | None
             continue
         dtype = types[name]
         c = F.col(f"`{name}`")
-        if dtype == BAR_SCHEMA[name].dataType:
+        if dtype == BAR_SCHEMA[name].dataType and name not in NUMERIC_COLUMNS:
             # already the bar type: pass through untouched so filters still reach the scan
             out.append(c)
         elif name in NUMERIC_COLUMNS:

@@ -86,7 +86,7 @@ for _fmt in ("csv", "txt", "json", "parquet", "feather"):
             out = scratch_path(spark, f"roundtrip-{fmt}")
             sk.save(_bars9(spark, sf_dir), out, fmt)
             if fmt == "txt":
-                return rd.read_csv(spark, out, sep="\t")
+                return rd.read_csv(spark, out)
             return rd.load(spark, out, fmt)
         return run
     query(f"roundtrip_{_fmt}", BARS9)(_mk())
@@ -171,22 +171,32 @@ def q_validate_files(spark, sf_dir):
     return v.select(*_kind_ticker(), "format", "valid", "error")
 
 
-# --- S10, A16, A18: listings (sizes depend on the writer, so no oracle) -----------------------
+# --- S10, A16, A18: listings (byte sizes depend on the writer; unit tests have them) -------------
 
-@query("list_files")
+_FOLDER_FILES = f"""WITH raw AS ({EVENTS_STOOQ}), t AS (SELECT DISTINCT "<TICKER>" AS ticker FROM raw),
+f AS (SELECT kind, ticker FROM t, (VALUES ('good'), ('bad')) k(kind))"""
+
+
+@query("list_files", f"""{_FOLDER_FILES} SELECT kind, ticker, '.txt' AS extension, 'txt' AS format, true AS has_bytes FROM f""")
 def q_list_files(spark, sf_dir):
-    return fl.list_files(spark, _stooq_folder(spark, sf_dir)).select("path", "length", "extension", "format")
+    listed = fl.list_files(spark, _stooq_folder(spark, sf_dir), "*.txt")
+    return listed.select(*_kind_ticker(), "extension", "format", (F.col("length") > 0).alias("has_bytes"))
 
 
-@query("directory_rollup")
+@query("directory_rollup", f"""{_FOLDER_FILES} SELECT 'extension' AS group_kind, '.txt' AS "group", count(*) AS files FROM f
+UNION ALL SELECT 'directory', kind || '/_part=' || ticker, count(*) FROM f GROUP BY ALL
+UNION ALL SELECT 'total', '', count(*) FROM f""")
 def q_directory_rollup(spark, sf_dir):
     root = _stooq_folder(spark, sf_dir)
-    return pf.directory_rollup(fl.list_files(spark, root), root)
+    listed = fl.list_files(spark, root, "*.txt").withColumn("path", fl._plain(F.col("path")))
+    return pf.directory_rollup(listed, root.removeprefix("file:").replace("///", "/")).select("group_kind", "group", "files")
 
 
-@query("processing_estimate")
+@query("processing_estimate", f"""{_FOLDER_FILES} SELECT count(*) AS total_files, round(count(*) / 10.0, 2)::DOUBLE AS estimated_seconds,
+round(count(*) / 600.0, 2)::DOUBLE AS estimated_minutes FROM f""")
 def q_processing_estimate(spark, sf_dir):
-    return pf.processing_estimate(fl.list_files(spark, _stooq_folder(spark, sf_dir), "*.txt"))
+    est = pf.processing_estimate(fl.list_files(spark, _stooq_folder(spark, sf_dir), "*.txt"))
+    return est.select("total_files", "estimated_seconds", "estimated_minutes")
 
 
 # --- S11, S12: incremental ingest ---------------------------------------------------------------
@@ -194,7 +204,11 @@ def q_processing_estimate(spark, sf_dir):
 def _ingest(spark, sf_dir):
     src = scratch_path(spark, "ingest-src")
     table, ckpt, log = (scratch_path(spark, n) for n in ("ingest-table", "ingest-ckpt", "ingest-log"))
-    sk.save(_bars9(spark, sf_dir).repartition(8, "ticker"), src, "csv")
+    # eight good files by number, and one without the close column, which is skipped and logged
+    bars = events_bars(spark, sf_dir)
+    for k in range(8):
+        sk.save(bars.where(F.col("seq") % 8 == k).select(*BAR_COLUMNS).coalesce(1), f"{src}/{k}", "csv")
+    sk.save(bars.select("ticker", "timestamp", "open").coalesce(1), f"{src}/bad", "csv")
     ingest_files(spark, src, table, ckpt, fmt="csv", batch_size=2, log_path=log)
     return table, log
 
@@ -205,10 +219,10 @@ def q_ingest_stream(spark, sf_dir):
     return spark.read.parquet(table).select(*BAR_COLUMNS)
 
 
-@query("ingest_log")
+@query("ingest_log", """SELECT 5::BIGINT AS batches, 9::BIGINT AS files, 8::BIGINT AS loaded, 1::BIGINT AS failed, count(*) AS rows FROM events""")
 def q_ingest_log(spark, sf_dir):
     _, log = _ingest(spark, sf_dir)
-    return ingest_summary(spark, log).select("batches", "files", "rows")
+    return ingest_summary(spark, log).select("batches", "files", "loaded", "failed", "rows")
 
 
 # --- K9, V6, §3 C, §3 D -------------------------------------------------------------------------

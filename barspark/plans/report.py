@@ -19,12 +19,12 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     Returns ``files`` (per-file profile with size), ``issues`` (invalid / future dates,
     no valid rows, files failing the header check), ``skipped`` (zero-byte and
     header-only files), ``summary`` (one row) and ``size_classes`` (files per class). ``source_key`` maps the file path column to the report key
-    (default: the path itself). One scan of the data, plus a metadata listing.
+    (default: the path itself). A file needs the columns ``<DATE>``, ``<TIME>`` and ``<CLOSE>``. The tables
+    are separate plans, each of which scans the files it needs.
     """
     key = source_key or (lambda c: c)
     listing = fl.list_files(spark, root, "*.txt").withColumn("source", key(F.col("path")))
-    verdict = fl.validate_files(spark, listing.select("path", F.lit("txt").alias("format")), root) \
-        .withColumn("source", key(F.col("path")))
+    verdict = fl.analysis_verdict(spark, root, "*.txt").withColumn("source", key(F.col("path")))
     raw = read_stooq_raw(spark, root, with_source=True, recursive=True, glob="*.txt") \
         .withColumn("source", key(F.col("_source")))
     bars = raw.select("source", stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"),

@@ -25,7 +25,7 @@ BAR_SCHEMA = T.StructType([
 STOOQ_COLUMNS = ["<TICKER>", "<PER>", "<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>",
                  "<CLOSE>", "<VOL>", "<OPENINT>"]
 # Columns a Stooq text file must carry to be accepted.
-STOOQ_REQUIRED = ["<TICKER>", "<PER>", "<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>", "<CLOSE>"]
+STOOQ_REQUIRED = ["<TICKER>", "<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>", "<CLOSE>", "<VOL>"]
 # Columns the strict standardiser needs.
 STOOQ_STANDARDIZE_REQUIRED = ["<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>", "<CLOSE>", "<VOL>"]
 # Columns the cleaners need.

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     WriterCommitMessage)
 
 FORMAT_NAME = "arrow_ipc"
+PENDING = "_pending"
 
 
 def _fs(path: str):
@@ -41,7 +42,7 @@ def _files(path: str) -> list[str]:
     if info.type == fs.FileType.Directory:
         found = filesystem.get_file_info(fs.FileSelector(p, recursive=True))
         return sorted(_uri(path, f.path) for f in found
-                      if f.type == fs.FileType.File and f.path.endswith((".feather", ".arrow", ".ipc")))
+                      if f.type == fs.FileType.File and f.path.endswith((".feather", ".arrow", ".ipc")) and f"/{PENDING}/" not in f.path)
     if info.type == fs.FileType.File:
         return [path]
     return sorted(glob.glob(p))
@@ -66,12 +67,14 @@ class _Reader(DataSourceReader):
         with filesystem.open_input_file(p) as fh:
             try:
                 reader = ipc.open_file(fh)
-                for i in range(reader.num_record_batches):
-                    yield reader.get_batch(i)
             except Exception:  # noqa: BLE001 - stream format instead of file format
+                reader = None
+            if reader is None:
                 fh.seek(0)
-                for batch in ipc.open_stream(fh):
-                    yield batch
+                yield from ipc.open_stream(fh)
+            else:
+                for i in range(reader.num_record_batches):
+                    yield reader.get_batch(i)
 
 
 class _Commit(WriterCommitMessage):
@@ -94,7 +97,10 @@ class _Writer(DataSourceArrowWriter):
         filesystem.create_dir(out_dir, recursive=True)
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        name = f"{out_dir.rstrip('/')}/part-{pid:05d}-{uuid.uuid4().hex}.feather"
+        # hidden until the job commits, so that a failed or repeated task leaves nothing to be read
+        part = f"part-{pid:05d}-{uuid.uuid4().hex}.feather"
+        filesystem.create_dir(f"{out_dir.rstrip('/')}/{PENDING}", recursive=True)
+        name = f"{out_dir.rstrip('/')}/{PENDING}/{part}"
         rows = 0
         writer = sink = None
         try:
@@ -108,17 +114,29 @@ class _Writer(DataSourceArrowWriter):
             if writer is not None:
                 writer.close()
                 sink.close()
-        return _Commit(_uri(self.path, name) if rows else None, rows)
+        return _Commit(part if rows else None, rows)
 
     def commit(self, messages):
-        # Overwrite: drop files of earlier writes that this write did not produce.
-        if not self.overwrite:
-            return
-        keep = {m.file for m in messages if m is not None and m.file}
-        filesystem, _ = _fs(self.path)
-        for f in _files(self.path):
-            if f not in keep:
+        """Publish the files of the tasks that count; with overwrite, first drop those of earlier writes."""
+        filesystem, out_dir = _fs(self.path)
+        out_dir = out_dir.rstrip("/")
+        if self.overwrite:
+            for f in _files(self.path):
                 filesystem.delete_file(_fs(f)[1])
+        for m in messages:
+            if m is not None and m.file:
+                filesystem.move(f"{out_dir}/{PENDING}/{m.file}", f"{out_dir}/{m.file}")
+        self._drop_pending()
+
+    def abort(self, messages):
+        self._drop_pending()
+
+    def _drop_pending(self):
+        from pyarrow import fs
+        filesystem, out_dir = _fs(self.path)
+        pending = f"{out_dir.rstrip('/')}/{PENDING}"
+        if filesystem.get_file_info(pending).type == fs.FileType.Directory:
+            filesystem.delete_dir(pending)
 
 
 class ArrowIpcDataSource(DataSource):

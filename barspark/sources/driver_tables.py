@@ -15,28 +15,9 @@ from barspark.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a scan of only a few splits is spread round-robin (:func:`spread`)."""
+    """A driver table."""
     configure(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df)
-
-
-SMALL_SPLITS = 16  # below this many splits (a few GB at most) a round-robin spread is cheap
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input (fewer than ``SMALL_SPLITS`` splits and fewer than the
-    task slots) over the slots, so CPU-heavy expressions do not run in one or two tasks.
-
-    Anything larger is left as scanned: its splits already spread the work, and a
-    shuffle of a large table to gain parallelism would cost more than it saves.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
-        return df
-    return df.repartition(min(slots, SMALL_SPLITS)) if parts < min(slots, SMALL_SPLITS) else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _bars(ticker: Column, ts: Column, price: Column, key: Column, fmt: Column) -> list[Column]:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.functions.columns import file_extension
-from barspark.schema import EXTENSION_FORMATS, STOOQ_REQUIRED
+from barspark.schema import ANALYSIS_REQUIRED, EXTENSION_FORMATS, STOOQ_REQUIRED
+from barspark.sources.headers import BOM, first_lines, header_names
 
 
 def _hidden(name: str) -> bool:
@@ -29,10 +30,9 @@ def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> D
     from barspark.sources.arrow_ipc import _fs, _uri
     filesystem, base = _fs(root)
     rows = []
-    try:
-        infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-    except (FileNotFoundError, OSError):
-        infos = []
+    if filesystem.get_file_info(base).type == pafs.FileType.File:
+        return spark.createDataFrame([], "path string, length long, modification_time timestamp")
+    infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
     for info in infos:
         rel = info.path[len(base):].strip("/").split("/")
         if any(_hidden(part) for part in rel):
@@ -65,45 +65,6 @@ def supported_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).filter(F.col("format").isNotNull())
 
 
-HEAD_BYTES = 1 << 16  # a header line longer than this is cut
-
-
-def _read_heads(batches):
-    """mapInPandas body: the first line of each listed file, reading at most HEAD_BYTES."""
-    import pandas as pd
-
-    from barspark.sources.arrow_ipc import _fs
-    for pdf in batches:
-        heads = []
-        for path in pdf["path"]:
-            try:
-                filesystem, inner = _fs(path)
-                with filesystem.open_input_stream(inner) as fh:
-                    data = fh.read(HEAD_BYTES)
-                heads.append(data.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace"))
-            except (FileNotFoundError, OSError):
-                heads.append(None)
-        yield pd.DataFrame({"path": pdf["path"], "header": heads})
-
-
-def first_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``path, header``: the first line of every non-empty file under ``root``.
-
-    Each task opens its share of the listed files and reads only their first bytes, so
-    the cost follows the number of files, not their size.
-    """
-    from barspark.sources.driver_tables import spread
-    files = list_files(spark, root, glob).filter(F.col("length") > 0).select("path")
-    return spread(files).mapInPandas(_read_heads, "path string, header string")
-
-
-def header_names(header: Column, sep_auto: bool = True) -> Column:
-    """Header text → trimmed names (tab when present, else comma), BOM removed."""
-    h = F.regexp_replace(header, "^﻿", "")
-    sep = F.when(h.contains("\t"), F.lit("\t")).otherwise(F.lit(","))
-    return F.transform(F.split(h, sep), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-
-
 def missing_names(names: Column, required: Sequence[str]) -> Column:
     return F.array_except(F.array(*[F.lit(r) for r in required]), names)
 
@@ -116,8 +77,8 @@ def discover_stooq_files(spark: SparkSession, root: str, pattern: str = "*.txt",
     first line.
     """
     files = list_files(spark, root, pattern).filter(F.col("length") > 0)
-    heads = first_lines(spark, root, pattern)
-    found = files.join(heads, "path", "left").withColumn(
+    heads = first_lines(spark, [root], recursive=True, glob=pattern).select(_plain(F.col("path")).alias("_p"), "header")
+    found = files.withColumn("_p", _plain(F.col("path"))).join(heads, "_p", "left").drop("_p").withColumn(
         "missing", missing_names(header_names(F.coalesce("header", F.lit(""))), STOOQ_REQUIRED))
     if rule == "ticker":
         return found.withColumn("is_stooq", F.coalesce(F.col("header").contains("<TICKER>"), F.lit(False)))
@@ -140,13 +101,15 @@ def validate_files(spark: SparkSession, candidates: DataFrame, root: str) -> Dat
     """
     from barspark.sources.readers import required_columns
     listing = list_files(spark, root).select(_plain(F.col("path")).alias("_p"), "length", "extension")
-    heads = first_lines(spark, root).select(_plain(F.col("path")).alias("_p"), "header")
+    # only text files have a line to look at
+    heads = first_lines(spark, [root], recursive=True, glob="*.{txt,csv,json}").select(_plain(F.col("path")).alias("_p"), "header")
     cand = candidates.select(F.col("path"), F.col("format"), _plain(F.col("path")).alias("_p"))
-    joined = cand.join(listing, "_p", "left").join(heads, "_p", "left")
+    joined = cand.join(listing, "_p", "left").join(heads, "_p", "left").join(_array_keys(spark, root), "_p", "left")
     fmt_ext = F.create_map(*[x for k, v in EXTENSION_FORMATS.items() for x in (F.lit(k), F.lit(v))])
-    names = F.when(F.col("format") == "json",
-                   F.when(F.trim(F.col("header")).startswith("{"), F.json_object_keys(F.col("header"))))
-    names = names.otherwise(header_names(F.coalesce(F.col("header"), F.lit(""))))
+    head = F.coalesce(F.trim(F.regexp_replace("header", "^" + BOM, "")), F.lit(""))
+    # the keys of the first record; text that is no JSON object has none
+    names = F.when(F.col("format") == "json", F.when(head.startswith("["), F.col("keys")).otherwise(F.json_object_keys(head)))
+    names = names.otherwise(header_names(head))
     req = F.when(F.col("format") == "txt", F.array(*[F.lit(c) for c in required_columns("txt")])) \
         .when(F.col("format").isin("csv", "json"), F.array(*[F.lit(c) for c in required_columns("csv")])) \
         .otherwise(F.array().cast("array<string>"))
@@ -156,6 +119,55 @@ def validate_files(spark: SparkSession, candidates: DataFrame, root: str) -> Dat
              .when(F.element_at(fmt_ext, F.col("extension")) != F.col("format"),
                    F.format_string("Invalid file format: extension %s does not match %s",
                                    F.col("extension"), F.col("format")))
-             .when((F.col("format") == "json") & names.isNull(), F.lit(None))
+             .when((F.col("format") == "json") & names.isNull(), F.lit("Invalid JSON"))
              .when(F.size(miss) > 0, F.concat(F.lit("Missing required columns: "), F.array_join(miss, ", "))))
     return joined.select("path", "format", error.isNull().alias("valid"), error.alias("error"))
+
+
+def _array_keys(spark: SparkSession, root: str) -> DataFrame:
+    """``_p, keys``: the required names that records of each JSON array file hold; NULL keys where the text is no JSON."""
+    from barspark.sources.headers import json_shapes
+    from barspark.sources.readers import required_columns
+    need = required_columns("json")
+    files = json_shapes(spark, [root], recursive=True, glob="*.json").get(True) if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path").limit(1).count() else None
+    if not files:
+        return spark.createDataFrame([], "_p string, keys array<string>")
+    rows = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(
+        ", ".join(f"`{c}` string" for c in need) + ", _bad string").json(files)
+    from barspark.sources.headers import plain_path
+    seen = rows.groupBy(_plain(plain_path(F.col("_metadata.file_path"))).alias("_p")).agg(
+        *[F.max(F.col(f"`{c}`").isNotNull()).alias(f"has{i}") for i, c in enumerate(need)], F.max(F.col("_bad").isNotNull()).alias("bad"))
+    keys = F.filter(F.array(*[F.when(F.col(f"has{i}"), F.lit(c)) for i, c in enumerate(need)]), lambda x: x.isNotNull())
+    return seen.select("_p", F.when(~F.col("bad"), keys).alias("keys"))
+
+
+def analysis_verdict(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``path, valid, error`` for the quality analysis (A12), which needs fewer columns than loading."""
+    listing = list_files(spark, root, pattern).select("path", "length", _plain(F.col("path")).alias("_p"))
+    heads = first_lines(spark, [root], recursive=True, glob=pattern).select(_plain(F.col("path")).alias("_p"), "header")
+    miss = missing_names(header_names(F.coalesce("header", F.lit(""))), ANALYSIS_REQUIRED)
+    error = (F.when(F.col("length") == 0, F.lit("File is empty"))
+             .when(F.size(miss) > 0, F.concat(F.lit("Missing columns: "), F.array_join(miss, ", "))))
+    return listing.join(heads, "_p", "left").select("path", error.isNull().alias("valid"), error.alias("error"))
+
+
+def check_files(spark: SparkSession, paths: Sequence[str], fmt: str) -> dict[str, str]:
+    """Reasons against the files of a batch that do not carry the required names, by path (V1 for known paths)."""
+    from barspark.sources.readers import required_columns
+    need = required_columns(fmt)
+    if not need or not paths:
+        return {}
+    head = F.trim(F.regexp_replace("header", "^" + BOM, ""))
+    names = F.when(head.startswith("["), F.array(*[F.lit(c) for c in need])).otherwise(F.json_object_keys(head)) if fmt == "json" else header_names(head)
+    rows = first_lines(spark, paths).select(_plain(F.col("path")).alias("p"), names.alias("names")).collect()
+    found = {r["p"]: r["names"] for r in rows}
+    bad = {}
+    for path in paths:
+        p = path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
+        if p not in found:
+            bad[path] = "File is empty"
+        elif found[p] is None:
+            bad[path] = "Invalid JSON"
+        elif missing := [c for c in need if c not in found[p]]:
+            bad[path] = "Missing required columns: " + ", ".join(missing)
+    return bad

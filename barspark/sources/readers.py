@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.operators.standardize import conform_schema, standardize_stooq
+from barspark.functions.columns import file_stem
+from barspark.operators.standardize import clean_header_name, conform_schema, standardize_stooq
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
 from barspark.session import configure
+from barspark.sources.headers import json_shapes, read_layouts, reader
 
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -37,93 +39,89 @@ def detect_format(path: str) -> str:
     return EXTENSION_FORMATS[ext]
 
 
-def _reader(spark: SparkSession, recursive: bool = False, glob: str | None = None):
-    r = spark.read
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r
-
-
 def _with_source(df: DataFrame, with_source: bool) -> DataFrame:
     return df.withColumn("_source", F.col("_metadata.file_path")) if with_source else df
 
 
-def read_csv(spark: SparkSession, paths, with_source: bool = False, sep: str = ",",
-             recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Bar CSV with a header (S2): read as text columns, then conformed."""
-    configure(spark)
-    raw = (_reader(spark, recursive, glob).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-           .schema(STRING_BARS).csv(_paths(paths)))
-    raw = _with_source(raw, with_source)
-    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")),
-                          keep=["_source"] if with_source else None)
-
-
-def _json_is_array(spark: SparkSession, paths: list[str]) -> bool:
-    first = (spark.read.option("recursiveFileLookup", True).text(paths).filter(F.trim("value") != "").limit(1).collect())
-    return bool(first) and first[0]["value"].lstrip().startswith("[")
+def _empty(spark: SparkSession, columns: list[str]) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
-def read_json(spark: SparkSession, paths, with_source: bool = False, multiline: bool | None = None,
-              recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Bar JSON (S3): one record per line, or one array of records (``multiline``).
+def read_csv(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
+             glob: str | None = None) -> DataFrame:
+    """Bar CSV (S2), comma or tab: columns are taken by each file's own header, then conformed.
 
-    The form is picked from the first non-blank character, not by trying and failing.
+    Columns that a file lacks are NULL, those that bars do not have are dropped.
     """
     configure(spark)
-    ps = _paths(paths)
-    if multiline is None:
-        multiline = _json_is_array(spark, ps)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
-    raw = _reader(spark, recursive, glob).option("multiLine", multiline).schema(schema).json(ps)
-    raw = _with_source(raw, with_source)
-    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")),
-                          keep=["_source"] if with_source else None)
+    keep = ["_source"] if with_source else []
 
+    def select(df, columns):
+        df = _with_source(df, with_source)
+        return df.select(*[(F.col(columns[c]) if c in columns else F.lit(None).cast("string")).alias(c) for c in BAR_COLUMNS], *keep)
 
-def stooq_separator(spark: SparkSession, paths: list[str], recursive: bool = False,
-                    glob: str | None = None) -> str:
-    """Tab when the header line holds a tab, else comma."""
-    head = _reader(spark, recursive, glob).text(paths).limit(1).collect()
-    return "\t" if head and "\t" in head[0]["value"] else ","
+    raw = read_layouts(spark, _paths(paths), select, recursive, glob)
+    raw = _empty(spark, BAR_COLUMNS + keep) if raw is None else raw
+    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")), keep=keep)
 
 
-def read_stooq_raw(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False,
-                   recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Stooq text as all-string columns in header order."""
-    ps = _paths(paths)
-    sep = sep or stooq_separator(spark, ps, recursive, glob)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in STOOQ_COLUMNS])
-    raw = (_reader(spark, recursive, glob).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .schema(schema).csv(ps))
-    return _with_source(raw, with_source)
+def read_json(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
+              glob: str | None = None) -> DataFrame:
+    """Bar JSON (S3): one record per line, or one array of records. Each file's first character decides."""
+    configure(spark)
+    ps, keep = _paths(paths), ["_source"] if with_source else []
+    shapes = json_shapes(spark, ps, recursive, glob)
+    raw = None
+    for array, files in sorted(shapes.items()):
+        r = reader(spark, recursive, glob) if len(shapes) == 1 else spark.read
+        part = _with_source(r.option("multiLine", array).schema(STRING_BARS).json(ps if len(shapes) == 1 else files), with_source)
+        raw = part if raw is None else raw.unionByName(part)
+    raw = _empty(spark, BAR_COLUMNS + keep) if raw is None else raw
+    return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")), keep=keep)
+
+
+def read_stooq_raw(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
+                   glob: str | None = None) -> DataFrame:
+    """Stooq text as the ten all-string Stooq columns, by each file's own header and separator.
+
+    Header names match loosely (BOM, blanks, angle brackets and case do not count); columns that
+    a file lacks are NULL.
+    """
+    keep = ["_source"] if with_source else []
+
+    def select(df, columns):
+        loose = {}
+        for name, c in columns.items():
+            loose.setdefault(clean_header_name(name), c)
+        df = _with_source(df, with_source)
+        return df.select(*[(F.col(loose[c.strip("<>")]) if c.strip("<>") in loose else F.lit(None).cast("string")).alias(c) for c in STOOQ_COLUMNS], *keep)
+
+    raw = read_layouts(spark, _paths(paths), select, recursive, glob, trim=True)
+    return _empty(spark, STOOQ_COLUMNS + keep) if raw is None else raw
 
 
-def read_stooq(spark: SparkSession, paths, sep: str | None = None, with_source: bool = False,
-               recursive: bool = False, glob: str | None = None, ticker_from_file: bool = False) -> DataFrame:
+def read_stooq(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
+               glob: str | None = None, ticker_from_file: bool = False) -> DataFrame:
     """Stooq text → standard bars (S4 + T1).
 
     ``ticker_from_file`` fills a missing ``<TICKER>`` with the file's base name up to the
     first dot (T6), as files named ``aapl.us.txt`` carry their ticker in the name.
     """
     configure(spark)
-    raw = read_stooq_raw(spark, paths, sep, with_source or ticker_from_file, recursive, glob)
+    raw = read_stooq_raw(spark, paths, with_source or ticker_from_file, recursive, glob)
     bars = standardize_stooq(raw, keep=["_source"] if (with_source or ticker_from_file) else None)
     if ticker_from_file:
-        from barspark.functions.columns import file_stem
         bars = bars.withColumn("ticker", F.coalesce(F.col("ticker"), file_stem(F.col("_source"))))
         if not with_source:
             bars = bars.drop("_source")
     return bars
 
 
-def read_parquet(spark: SparkSession, paths, with_source: bool = False) -> DataFrame:
+def read_parquet(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
+                 glob: str | None = None) -> DataFrame:
     """Parquet (S5); column pruning and filters reach the scan."""
     configure(spark)
-    raw = _with_source(spark.read.parquet(*_paths(paths)), with_source)
+    raw = _with_source(reader(spark, recursive, glob).parquet(*_paths(paths)), with_source)
     return conform_schema(raw, keep=["_source"] if with_source else None)
 
 
@@ -133,10 +131,12 @@ def read_feather(spark: SparkSession, paths, with_source: bool = False) -> DataF
     configure(spark)
     register(spark)
     frames = [spark.read.format(FORMAT_NAME).load(p) for p in _paths(paths)]
+    if with_source:  # the source of a folder is the folder
+        frames = [f.withColumn("_source", F.lit(p)) for f, p in zip(frames, _paths(paths))]
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f, allowMissingColumns=True)
-    return conform_schema(df)
+    return conform_schema(df, keep=["_source"] if with_source else None)
 
 
 def read_table(spark: SparkSession, name: str, preview: bool = False) -> DataFrame:
@@ -157,9 +157,9 @@ def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool =
     if fmt == "txt":
         return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob)
     if fmt in ("parquet", "polars", "pyarrow"):
-        return read_parquet(spark, ps, with_source)
+        return read_parquet(spark, ps, with_source, recursive, glob)
     if fmt == "feather":
-        return read_feather(spark, ps)
+        return read_feather(spark, ps, with_source)
     if fmt == "duckdb":
         raise ValueError("database files are not read; register the table in the catalog and use read_table")
     raise ValueError(f"Unsupported format: {fmt}")
@@ -178,23 +178,19 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
                     pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Load every ``fmt`` file under ``root``, skipping files that fail validation.
 
-    Returns ``(bars, skipped)``; ``skipped`` lists ``path, error``. Files are read in one
-    scan and bad ones removed by a semi-join on the source path, so no file list goes
-    through the driver. ``strict`` raises on the first bad file; no good file raises.
+    Returns ``(bars, skipped)``; ``skipped`` lists ``path, error``. Only the good files are read; their
+    paths pass through the driver, as in Spark's own file index. ``strict`` raises on the first
+    bad file; no good file raises.
     """
-    from barspark.sources.files import _plain, list_files, validate_files
-    ext = {"txt": "*.txt", "csv": "*.csv", "json": "*.json", "parquet": "*.parquet"}.get(fmt, "*")
+    from barspark.sources.files import list_files, validate_files
+    ext = {"txt": "*.txt", "csv": "*.csv", "json": "*.json", "parquet": "*.parquet", "feather": "*.feather"}.get(fmt, "*")
     listing = list_files(spark, root, pattern or ext).select("path", F.lit(fmt).alias("format"))
-    # one row per file, read by the checks below and by the semi-join: computed once
-    verdict = validate_files(spark, listing, root).cache()
-    skipped = verdict.filter(~F.col("valid")).select("path", "error")
-    good = verdict.filter(F.col("valid")).select(_plain(F.col("path")).alias("_good"))
-    if strict and skipped.limit(1).count() > 0:
-        first = skipped.first()
-        raise ValueError(f"{first['path']}: {first['error']}")
-    if good.limit(1).count() == 0:
+    verdict = validate_files(spark, listing, root).orderBy("path").collect()
+    skipped = [(r["path"], r["error"]) for r in verdict if not r["valid"]]
+    if strict and skipped:
+        raise ValueError(f"{skipped[0][0]}: {skipped[0][1]}")
+    good = [r["path"] for r in verdict if r["valid"]]
+    if not good:
         raise ValueError("No valid files could be loaded")
-    data = load(spark, root, fmt, with_source=True, recursive=True, glob=pattern or ext)
-    bars = (data.withColumn("_p", _plain(F.col("_source")))
-            .join(good, F.col("_p") == F.col("_good"), "left_semi").drop("_p"))
-    return bars, skipped
+    bars = load(spark, good, fmt, with_source=True)
+    return bars, spark.createDataFrame(skipped, "path string, error string")

@@ -17,6 +17,8 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
     export form: one array document per output file), parquet (K4) or feather (K5).
     ``partition_by`` (e.g. ``["ticker"]``) lays out one folder per value."""
     fmt = fmt or detect_format(path)
+    if partition_by and fmt in ("feather", "json_array"):
+        raise ValueError(f"{fmt} has no folder per value")
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

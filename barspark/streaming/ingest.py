@@ -1,77 +1,68 @@
 """Incremental file ingest with Structured Streaming.
 
-New files in a folder are picked up ``batch_size`` at a time
-(``maxFilesPerTrigger``); each micro-batch is conformed to the bar schema and written
-to ``<table>/epoch=<id>`` with overwrite, so a retried batch replaces its own output
-instead of duplicating it. The checkpoint remembers which files were taken, so a
-later run only reads new files. Every batch also appends one row to a log table.
+New files in a folder are picked up ``batch_size`` at a time (``maxFilesPerTrigger``). The stream carries
+file names only; each micro-batch checks its files, reads the good ones by their own headers,
+and writes bars to ``<table>/epoch=<id>`` with overwrite, so a retried batch replaces its own
+output instead of duplicating it. The checkpoint remembers which files were taken, so a
+later run only reads new files. Every batch also writes one row to a log table.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barspark.operators.standardize import conform_schema, standardize_stooq
-from barspark.schema import STOOQ_COLUMNS
-from barspark.sources.readers import STRING_BARS
+from barspark.schema import BAR_SCHEMA
+from barspark.sources.files import check_files
+from barspark.sources.readers import load
 
-LOG_SCHEMA = "epoch long, files long, rows long, seconds double, finished_at timestamp"
-
-
-def _stream(spark: SparkSession, src: str, fmt: str, batch_size: int) -> DataFrame:
-    r = spark.readStream.option("maxFilesPerTrigger", batch_size).option("recursiveFileLookup", True)
-    if fmt == "txt":
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in STOOQ_COLUMNS])
-        return r.option("header", True).option("sep", "\t").schema(schema).csv(src)
-    if fmt == "csv":
-        return r.option("header", True).schema(STRING_BARS).csv(src)
-    if fmt == "json":
-        return r.schema(STRING_BARS).json(src)
-    if fmt == "parquet":
-        return r.schema(spark.read.parquet(src).schema).parquet(src)
-    raise ValueError(f"Unsupported stream format: {fmt}")
-
-
-def _to_bars(batch: DataFrame, fmt: str) -> DataFrame:
-    if fmt == "txt":
-        return standardize_stooq(batch, keep=["_source"])
-    if fmt in ("csv", "json"):
-        batch = batch.withColumn("timestamp", F.try_to_timestamp("timestamp"))
-    return conform_schema(batch, keep=["_source"])
+LOG_SCHEMA = "epoch long, files long, loaded long, failed long, errors array<string>, rows long, seconds double, finished_at timestamp"
+FORMATS = ("txt", "csv", "json", "parquet")
 
 
 def ingest_files(spark: SparkSession, src: str, table_path: str, checkpoint: str, fmt: str = "csv",
                  batch_size: int = 100, log_path: str | None = None) -> int:
-    """Ingest every file not yet taken from ``src``; returns the number of batches run."""
-    stream = _stream(spark, src, fmt, batch_size).withColumn("_source", F.col("_metadata.file_path"))
+    """Ingest every file not yet taken from ``src``; returns the number of files loaded.
+
+    Files that fail the header check are skipped and named in the log with the reason.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"Unsupported stream format: {fmt}")
+    files = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", batch_size)
+             .option("recursiveFileLookup", True).load(src).select("path", "length"))
+    total = 0
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
+        nonlocal total
         t0 = time.time()
-        bars = _to_bars(batch, fmt)
-        (bars.drop("_source").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/epoch={epoch}"))
+        taken = batch.select("path", "length").collect()  # at most batch_size names
+        bad = check_files(spark, [r["path"] for r in taken], fmt)
+        good = sorted(r["path"] for r in taken if r["path"] not in bad)
+        bars = load(spark, good, fmt) if good else spark.createDataFrame([], BAR_SCHEMA)
+        seen = Observation()
+        (bars.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+         .parquet(f"{table_path.rstrip('/')}/epoch={epoch}"))
+        total += len(good)
         if log_path:
-            files = batch.select("_source").distinct().count()
-            written = spark.read.parquet(f"{table_path.rstrip('/')}/epoch={epoch}").count()
-            row = [(int(epoch), int(files), int(written), float(time.time() - t0), None)]
+            row = [(int(epoch), len(taken), len(good), len(bad), [f"{p}: {e}" for p, e in sorted(bad.items())],
+                    int(seen.get["rows"]), float(time.time() - t0), None)]
             (spark.createDataFrame(row, LOG_SCHEMA).withColumn("finished_at", F.current_timestamp())
              .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/epoch={epoch}"))
 
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    q = (files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return len(q.recentProgress)
+    return total
 
 
 def ingest_summary(spark: SparkSession, log_path: str, total_files: int | None = None) -> DataFrame:
-    """Totals over the batch log (S12): batches, files, rows, seconds, file rate,
+    """Totals over the batch log (S12): batches, files taken, loaded and failed, rows, seconds, file rate,
     percent done and the remaining time at that rate when ``total_files`` is known."""
     log = spark.read.parquet(log_path)
-    s = log.agg(F.count(F.lit(1)).alias("batches"), F.sum("files").alias("files"),
-                F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds"))
+    s = log.agg(F.count(F.lit(1)).alias("batches"), F.sum("files").alias("files"), F.sum("loaded").alias("loaded"),
+                F.sum("failed").alias("failed"), F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds"))
     s = s.withColumn("files_per_second", F.when(F.col("seconds") > 0, F.col("files") / F.col("seconds")))
     if total_files:
         s = (s.withColumn("percent", F.round(F.col("files") * 100.0 / F.lit(total_files), 2))

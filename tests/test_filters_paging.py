@@ -1,4 +1,4 @@
-"""Filter, search and paging cases taken from the reference's own test scripts."""
+"""Filter, search and paging cases."""
 
 import datetime as dt
 
@@ -79,3 +79,21 @@ def test_sort_and_neighbours(spark):
     assert nb == {"a": ("c", "b"), "b": ("a", "c"), "c": ("b", "a")}
     assert pg.next_ticker(df, "zzz", "t") == "a" and pg.next_ticker(df, "zzz", "t", -1) == "c"
     assert [r["ticker"] for r in pg.top_tickers(df, 2, "t").collect()] == ["a", "b"]
+
+
+def test_big_integers_sort_by_value(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740992,), (-5,), (None,)], "n long")
+    assert [r["n"] for r in pg.sort_column(df, "n").collect()] == [None, -5, 9007199254740992, 9007199254740993]
+
+
+def test_backslash_is_an_ordinary_character(spark):
+    df = spark.createDataFrame([("a\\b",), ("ab",), ("a%b",)], "s string")
+    got = flt.apply_conditions(df, [{"column": "s", "operator": "contains", "value": "a\\b"}]).collect()
+    assert [r["s"] for r in got] == ["a\\b"]
+
+
+def test_next_ticker_and_files_by_records(spark):
+    df = spark.createDataFrame([("B", "y"), ("A", "x"), ("C", "x"), (None, "z")], "ticker string, _source string")
+    assert [pg.next_ticker(df, t) for t in ("A", "B", "C", "Z", None)] == ["B", "C", "A", "A", "A"]
+    assert [pg.next_ticker(df, t, step=-1) for t in ("A", "B", "C", None)] == ["C", "A", "B", "C"]
+    assert [tuple(r) for r in pg.files_by_records(df).collect()] == [("x", 2), ("y", 1), ("z", 1)]

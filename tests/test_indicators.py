@@ -71,3 +71,15 @@ def test_rsi_edges(spark):
     assert flat["rsi"].isna().all()  # no gain, no loss
     up = got[got.ticker == "UP"].sort_values("t")
     assert up["rsi"].iloc[:13].isna().all() and (up["rsi"].iloc[13:] == 100.0).all()
+
+
+@pytest.mark.parametrize("gap", [900, 100_000])
+def test_averages_over_long_gaps(spark, gap):
+    """NULL and NaN prices repeat the last average, however long the gap; blocks of the smallest size."""
+    rng = np.random.default_rng(1)
+    rows = [float(v) for v in 50 + rng.normal(size=300).cumsum()] + [None] * (gap // 2) + [float("nan")] * (gap - gap // 2) + [float(v) for v in 80 + rng.normal(size=200).cumsum()]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(rows)] + [("B", 0, 5.0)], "ticker string, t long, close double")
+    got = technical_indicators(df, order=("t",), which=("ema", "macd"), block_rows=1).where("ticker = 'A'").orderBy("t").toPandas()
+    exp = pandas_indicators(pd.DataFrame({"t": range(len(rows)), "close": pd.Series(rows, dtype=float)}))
+    for c in ("ema_12", "ema_26", "macd", "macd_signal", "macd_histogram"):
+        np.testing.assert_allclose(got[c], exp[c], rtol=1e-9, atol=1e-9, err_msg=c)

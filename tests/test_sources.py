@@ -48,7 +48,7 @@ def test_roundtrip(spark, tmp_dir, fmt):
                                      "close double, vol double, openint double, format string")
     out = os.path.join(tmp_dir, fmt)
     sk.save(df, out, fmt)
-    back = rd.read_csv(spark, out, sep="\t") if fmt == "txt" else rd.load(spark, out, fmt)
+    back = rd.read_csv(spark, out) if fmt == "txt" else rd.load(spark, out, fmt)
     assert sorted(back.collect()) == sorted(df.collect())
 
 
@@ -123,13 +123,20 @@ def test_ingest_only_new_files(spark, tmp_dir):
 
     for i in range(5):
         write(i)
-    ingest_files(spark, src, table, ckpt, "csv", batch_size=2, log_path=log)
+    assert ingest_files(spark, src, table, ckpt, "csv", batch_size=2, log_path=log) == 5
     assert spark.read.parquet(table).count() == 5
     write(5)
-    ingest_files(spark, src, table, ckpt, "csv", batch_size=2, log_path=log)
-    assert spark.read.parquet(table).count() == 6
-    s = ingest_summary(spark, log, total_files=6).first()
-    assert (s["batches"], s["files"], s["rows"], s["percent"]) == (4, 6, 6, 100.0)
+    with open(os.path.join(src, "bad.csv"), "w") as fh:
+        fh.write("ticker,timestamp,open\nB,2024-01-01,1\n")
+    with open(os.path.join(src, "turned.csv"), "w") as fh:
+        fh.write("close\ttimestamp\tticker\n9.5\t2024-01-09 00:00:00\tT9\n")
+    assert ingest_files(spark, src, table, ckpt, "csv", batch_size=2, log_path=log) == 2
+    got = {r["ticker"]: r["close"] for r in spark.read.parquet(table).collect()}
+    assert got == {**{f"T{i}": i + 0.5 for i in range(6)}, "T9": 9.5}
+    s = ingest_summary(spark, log, total_files=8).first()
+    assert (s["batches"], s["files"], s["loaded"], s["failed"], s["rows"], s["percent"]) == (5, 8, 7, 1, 7, 100.0)
+    errors = [e for r in spark.read.parquet(log).collect() for e in r["errors"]]
+    assert len(errors) == 1 and errors[0].endswith("bad.csv: Missing required columns: close")
 
 
 def test_cli_load_and_convert(spark, tmp_dir):
@@ -215,3 +222,57 @@ def test_cli_prepare_and_report(spark, tmp_dir, capsys):
     assert rd.read_parquet(spark, out).count() == 7  # aaa balanced to 4, bbb kept whole
     assert main(["report", root, "--as-of", "2030-01-01"]) == 0
     assert '"total_files": 2' in capsys.readouterr().out
+
+
+def test_files_of_several_layouts(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed dir+1")  # a name that is percent-encoded in file paths
+    os.makedirs(d)
+    files = {
+        "a.txt": "<TICKER>\t<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<VOL>\nAAA\t20240102\t0\t1\t2\t0.5\t1.5\t10\n",
+        "b.txt": "<CLOSE>,<HIGH>,<LOW>,<OPEN>,<VOL>,<TIME>,<DATE>,<TICKER>\n1.5,2,0.5,1,10,0,20240102,BBB\n",
+        "c.txt": "\ufeffticker, date ,time,Open,HIGH,low,close,vol,per\nCCC,20240102,0,1,2,0.5,1.5,10,D\n",
+    }
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    rows = rd.read_stooq(spark, d, with_source=True, glob="*.txt").collect()
+    assert sorted((r["ticker"], r["open"], r["high"], r["low"], r["close"], r["vol"], r["openint"]) for r in rows) == [
+        (t, 1.0, 2.0, 0.5, 1.5, 10.0, None) for t in ("AAA", "BBB", "CCC")]
+    bars, skipped = rd.load_with_skips(spark, d, "txt")
+    assert {r["ticker"] for r in bars.collect()} == {"AAA", "BBB"}
+    assert [os.path.basename(r["path"]) for r in skipped.collect()] == ["c.txt"]  # loading wants the names as they are
+
+
+def test_json_checks(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "json")
+    os.makedirs(d)
+    pad = "x" * 70_000
+    files = {
+        "long.json": json.dumps({"pad": pad, "ticker": "A"}) + "\n",
+        "good.json": "\n" + json.dumps({"pad": pad, "ticker": "A", "timestamp": "2024-01-02", "close": 1.5}) + "\n" + json.dumps({"ticker": "A", "timestamp": "2024-01-03", "close": 2.5}) + "\n",
+        "array.json": json.dumps([{"ticker": "B", "timestamp": "2024-01-02", "close": 3.5}], indent=1),
+        "few.json": json.dumps([{"ticker": "B"}]),
+        "text.json": "this is not json\n",
+        "broken.json": "[{\"ticker\": \"B\",\n",
+    }
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write(text)
+    bars, skipped = rd.load_with_skips(spark, d, "json")
+    assert sorted((r["ticker"], r["close"]) for r in bars.collect()) == [("A", 1.5), ("A", 2.5), ("B", 3.5)]
+    why = {os.path.basename(r["path"]): r["error"] for r in skipped.collect()}
+    assert why == {"long.json": "Missing required columns: timestamp, close", "few.json": "Missing required columns: timestamp, close",
+                   "text.json": "Invalid JSON", "broken.json": "Invalid JSON"}
+
+
+def test_feather_write_that_fails_leaves_nothing(spark, tmp_dir):
+    from barspark.sources.arrow_ipc import FORMAT_NAME, PENDING, register
+    register(spark)
+    out = os.path.join(tmp_dir, "f")
+    df = spark.range(100).repartition(4)
+    df.write.format(FORMAT_NAME).mode("overwrite").save(out)
+    with pytest.raises(Exception):
+        df.select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).alias("id")).write.format(FORMAT_NAME).mode("append").save(out)
+    assert spark.read.format(FORMAT_NAME).load(out).count() == 100 and not os.path.exists(os.path.join(out, PENDING))
+    with pytest.raises(ValueError):
+        sk.save(df, out, "feather", partition_by=["id"])
