@@ -45,13 +45,18 @@ def _offsets(counts: DataFrame, total: str) -> DataFrame:
 _PERSISTED: list[DataFrame] = []
 
 
-def release_positions() -> None:
-    """Unpersist every positioned frame this module materialised.
+def positions_kept() -> int:
+    """How many positioned frames are materialised now; :func:`release_positions` takes it back."""
+    return len(_PERSISTED)
+
+
+def release_positions(since: int = 0) -> None:
+    """Unpersist the positioned frames that were materialised after ``since`` others.
 
     Call it once no DataFrame built on those positions will run again: a positioned
     frame evaluated after its release would recompute the range shuffle per branch.
     """
-    while _PERSISTED:
+    while len(_PERSISTED) > since:
         _PERSISTED.pop().unpersist()
 
 

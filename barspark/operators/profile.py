@@ -132,53 +132,63 @@ def date_coverage(df: DataFrame, ts: str = "timestamp", ticker: str = "ticker")
 
 # --- A6–A13: per-source quality ------------------------------------------------------------
 
-def _gap_parts(df: DataFrame, source: str, ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(present, span, gaps)``: distinct (source, date), per-source first/last date, missing days.
+def _per_day(df: DataFrame, source: str, ts: str, *more: Column) -> DataFrame:
+    """One row per (source, date) of the rows with a time: the table that the quality figures derive from."""
+    return (df.filter(_c(ts).isNotNull()).groupBy(_c(source).alias("source"), F.to_date(_c(ts)).alias("date"))
+            .agg(F.count(F.lit(1)).alias("n"), *more))
+
+
+def _business_days(first: Column, last: Column) -> Column:
+    """Mondays to Fridays from ``first`` to ``last``, both included."""
+    days = F.date_diff(last, first) + 1
+    rest = days % 7
+    odd = sum((F.when((F.lit(i) < rest) & ((F.weekday(first) + i) % 7 < 5), 1).otherwise(0) for i in range(6)), F.lit(0))
+    return F.floor(days / 7) * 5 + odd
+
+
+def _missing() -> list[Column]:
+    d = F.col("date")
+    return [F.min(d).alias("_d0"), F.max(d).alias("_d1"), F.count_if(F.weekday(d) < 5).alias("_there")]
 
-    Span and gaps derive from ``present``, so the input is aggregated once and the
-    identical exchange is reused by both branches.
-    """
-    present = (df.filter(_c(ts).isNotNull())
-               .select(_c(source).alias("source"), F.to_date(_c(ts)).alias("date")).distinct())
-    span = present.groupBy("source").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
-    cal = (span.select("source", F.explode(F.sequence("d0", "d1")).alias("date"))
-           .filter(F.weekday("date") < 5))
-    gaps = cal.join(present, ["source", "date"], "left_anti").withColumnRenamed("date", "missing_date")
-    return present, span, gaps
+
+def _gap_columns(df: DataFrame) -> DataFrame:
+    """``gap_count, has_gaps`` from first and last date and the business days that have a row."""
+    return (df.withColumn("gap_count", (_business_days(F.col("_d0"), F.col("_d1")) - F.col("_there")).cast("long"))
+            .withColumn("has_gaps", F.col("gap_count") > 0).drop("_d0", "_d1", "_there"))
 
 
 def gap_days(df: DataFrame, source: str = "source", ts: str = "timestamp") -> DataFrame:
     """Business days (Mon–Fri) between a source's first and last date that have no row.
 
-    The calendar of each source is generated with ``sequence`` and matched with a
-    left-anti join on ``(source, date)``, so no source's dates are gathered in one row.
+    The days between a date and the one before it are generated with ``sequence``; a window partition
+    holds one row per day of a source, however many rows the source has.
     """
-    return _gap_parts(df, source, ts)[2]
+    before = F.lag("date").over(Window.partitionBy("source").orderBy("date"))
+    holes = _per_day(df, source, ts).select("source", "date", before.alias("_before")).where(F.date_diff("date", "_before") > 1)
+    return (holes.select("source", F.explode(F.sequence(F.date_add("_before", 1), F.date_sub("date", 1))).alias("missing_date"))
+            .where(F.weekday("missing_date") < 5))
 
 
 def gap_count(df: DataFrame, source: str = "source", ts: str = "timestamp") -> DataFrame:
-    """Missing business days per source, zero included, and the gap flag."""
-    _, span, gaps = _gap_parts(df, source, ts)
-    counted = gaps.groupBy("source").agg(F.count(F.lit(1)).alias("gap_count"))
-    return (span.select("source").join(counted, "source", "left")
-            .select("source", F.coalesce("gap_count", F.lit(0)).cast("long").alias("gap_count"))
-            .withColumn("has_gaps", F.col("gap_count") > 0))
+    """Missing business days per source, zero included, and the gap flag (A7): the business days of its
+    span less those that have a row, so no calendar is built."""
+    return _gap_columns(_per_day(df, source, ts).groupBy("source").agg(*_missing()))
 
 
 def file_quality(df: DataFrame, source: str = "source", ts: str = "timestamp", close: str = "close",
                  as_of: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Per-source profile (A6): records, trading days, first/last time, close min/max/avg,
-    future-date flag, gap count; ``sizes`` (``source, file_size``) adds the file size."""
-    valid = df.filter(_c(ts).isNotNull())
-    stats = (valid.groupBy(_c(source).alias("source"))
-             .agg(F.count(F.lit(1)).alias("records"),
-                  F.count_distinct(F.to_date(_c(ts))).alias("trading_days"),
-                  F.min(ts).alias("start_date"), F.max(ts).alias("end_date"),
-                  F.min(close).alias("close_min"), F.max(close).alias("close_max"),
-                  F.avg(close).alias("close_avg"),
-                  F.max(F.when(_c(ts) > _as_of(as_of), 1).otherwise(0)).alias("_future")))
-    out = (stats.join(gap_count(valid, source, ts), "source", "left")
-           .withColumn("has_future_dates", F.col("_future") == 1).drop("_future"))
+    future-date flag, gap count; ``sizes`` (``source, file_size``) adds the file size.
+
+    One scan: rows are aggregated to (source, date), and these to sources.
+    """
+    days = _per_day(df, source, ts, F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.min(close).alias("lo"),
+                    F.max(close).alias("hi"), F.sum(close).alias("total"), F.count(close).alias("closes"))
+    out = days.groupBy("source").agg(
+        F.sum("n").alias("records"), F.count(F.lit(1)).alias("trading_days"), F.min("t0").alias("start_date"),
+        F.max("t1").alias("end_date"), F.min("lo").alias("close_min"), F.max("hi").alias("close_max"),
+        (F.sum("total") / F.sum("closes")).alias("close_avg"), *_missing())
+    out = _gap_columns(out).withColumn("has_future_dates", F.col("end_date") > _as_of(as_of))
     if sizes is not None:
         out = out.join(sizes.select("source", "file_size"), "source", "left")
     return out

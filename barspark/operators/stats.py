@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.operators.ordering import global_position
+from barspark.operators.ordering import global_position, positions_kept, release_positions
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -33,6 +33,7 @@ def exact_percentiles_many(df: DataFrame, columns: Sequence[str], probs: Sequenc
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("v"))
                                 for i, c in enumerate(cols)]))
     long = df.select(pairs.alias("p")).select("p.k", "p.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    kept = positions_kept()
     # positions first: the sorted rows are materialised once and the counts read them
     pos = global_position(long, ["k", "v"], "_i")
     counts = {r["k"]: r["n"] for r in pos.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -50,6 +51,7 @@ def exact_percentiles_many(df: DataFrame, columns: Sequence[str], probs: Sequenc
     got = {}
     if wanted:
         got = {r["_i"]: r["v"] for r in pos.filter(F.col("_i").isin(sorted(wanted))).select("_i", "v").collect()}
+    release_positions(kept)  # nothing lazy is left
     out = {}
     for k, c in enumerate(cols):
         n = counts.get(k, 0)

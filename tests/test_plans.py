@@ -37,3 +37,24 @@ def test_positions_use_one_range_shuffle(spark):
     assert "REPARTITION_BY_NUM" in final
     pos = sorted(r["_g"] for r in g.select("_g").collect())
     assert pos == list(range(len(pos)))
+
+
+def test_quality_figures_scan_once(spark):
+    from barspark.operators import profile as pf
+    bars = events_bars(spark, SF001)
+    for out in (pf.file_quality(bars, "ticker", as_of="2024-01-15"), pf.gap_count(bars, "ticker"), pf.gap_days(bars, "ticker")):
+        out.collect()
+        final = _plan(out).split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") == 1
+
+
+def test_business_days_match_a_calendar(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from barspark.operators.profile import _business_days
+    start = dt.date(2024, 1, 1)
+    pairs = [(start + dt.timedelta(a), start + dt.timedelta(a + n)) for a in range(9) for n in range(25)]
+    got = spark.createDataFrame(pairs, "a date, b date").select("a", "b", _business_days(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in got:
+        days = [r["a"] + dt.timedelta(k) for k in range((r["b"] - r["a"]).days + 1)]
+        assert r["n"] == sum(d.weekday() < 5 for d in days)
