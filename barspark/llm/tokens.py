@@ -32,8 +32,8 @@ from barspark.session import scratch_path
 
 #: Codes of a block (a longer document is a block of its own).
 BLOCK_CODES = 1 << 19
-#: Entries of the memo of pieces a worker keeps.
-MEMO = 1_200_000
+#: Entries of each of the two generations of the memo of pieces that a worker keeps.
+MEMO = 700_000
 
 #: Length of each of the four codes of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -75,16 +75,21 @@ def _shown() -> dict[int, int]:
 
 
 SHOWN = _shown()
+SPACE_SHOWN = chr(SHOWN[32])
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Pieces:
     """Encodes texts piece by piece with a memo.
 
-    The byte-level tokenizer cuts a text at white space before it applies merges, and a single
-    space between two other characters belongs to the piece after it. So the text falls apart
-    at such spaces, and equal pieces have equal ids. A mark at the end of a piece is cut off likewise
-    where a letter stands before it. Texts with other doubled, leading or closing white space go whole
-    to the tokenizer; line ends between words stay inside a piece.
+    The byte-level tokenizer cuts a text at white space and between letters and marks before it applies
+    merges. So a text falls apart, with equal ids for equal pieces,
+
+    * at single spaces between two other characters; the space belongs to the piece after it,
+    * at single line ends between two other characters, which stand alone,
+    * between a letter and the ASCII marks that end a piece.
+
+    Texts with doubled, leading or closing white space or with an added token go whole to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -94,38 +99,64 @@ class Pieces:
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.memo = _Memo(self)
-        self.marks = {m: self.ids(m) for m in ".,"}
+        #: Strings that the tokenizer takes out of a text before anything else.
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, letters: str) -> bytes:
-        """Ids of a space and letters, which the tokenizer never cuts before merging: its merges alone."""
-        return array(self.code, [t.id for t in self.tok.model.tokenize(" ".translate(SHOWN) + letters.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+        """Ids of letters, perhaps after a space, which the tokenizer never cuts before merging: its merges alone."""
+        shown = letters.replace(" ", SPACE_SHOWN) if letters.isascii() else letters.encode().decode("latin-1").translate(SHOWN)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _DOUBLE.search(text):
+        if _DOUBLE.search(text) or any(a in text for a in self.added):
             return self.ids(text)
         first, *rest = text.split(" ")
-        return self.ids(first) + b"".join(map(self.memo.__getitem__, rest))
+        return self.memo["\n" + first] + b"".join(map(self.memo.__getitem__, rest))
 
 
 class _Memo(dict):
-    """Ids of pieces with a space before them."""
+    """Ids of pieces with a space before them; a piece without one is kept after a line end. Two generations:
+    when the young one is full it becomes the old one, from which pieces in use come back."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.old = pieces, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalpha():
-            return self[piece[:-1]] + self.pieces.marks[piece[-1]]
-        out = self[piece] = self.pieces.word(piece) if piece.isalpha() else self.pieces.ids(" " + piece)
+        self[piece] = out
         return out
 
+    def make(self, piece: str) -> bytes:
+        bare = piece[:1] == "\n"
+        body, lead = (piece[1:], "") if bare else (piece, " ")
+        if "\n" in body:
+            first, *lines = body.split("\n")
+            if not first or not all(lines):  # white space that is not single
+                return self.pieces.ids(lead + body)
+            end = self.line_end()
+            return b"".join([self["\n" + first if bare else first], *[end + self["\n" + x] for x in lines]])
+        if body.isalpha():
+            return self.pieces.word(lead + body)
+        stem = body.rstrip(MARKS)
+        if stem != body and stem and stem[-1].isalpha():
+            return self["\n" + stem if bare else stem] + self["\n" + body[len(stem):]]
+        return self.pieces.ids(lead + body)
+
+    def line_end(self) -> bytes:
+        if not hasattr(self, "end"):
+            self.end = self.pieces.ids("\n")
+        return self.end
+
 
 def worker_pieces(path: str) -> Pieces:
     """The tokenizer and memo that this Python worker keeps from task to task."""

@@ -236,9 +236,21 @@ def test_shards_match_the_tokenizer(docs, docs_rows, no_docs):
 
 
 def test_pieces_are_exact():
+    import random
+    pieces = T.Pieces(T.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a b", " a", "a ", "a  b", "a \n b", "don't, it's. U.S., 3.5, x1, -- a", "été naïve, ñandú.", "a b c", "<|endoftext|> x <|endoftext|>", "x<|endoftext|>",
+             "日本 語, a", "a.\nb, c.", "a\n\nb c", "\na", "a'\n's b's' dogs' \"x\"", "the%%% a*** b### !!! ?? a!b! 1%% é%%", "a\r\nb c", "a\tb c, d", "x\x85y z", "a\u0301, b\u0301, c"]
+    rng, alphabet = random.Random(1), list("ab'st .,\n!%é1 日")
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    for t in texts:
+        assert pieces.encode(t) == pieces.ids(t), repr(t)
+
+
+def test_memo_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(T, "MEMO", 3)
     pieces = T.Pieces(T.tokenizer_path("byte_bpe_50k.json"))
-    for t in ["a b", " a", "a ", "a  b", "a \n b", "don't, it's. U.S., 3.5, x1, -- a", "été naïve, ñandú.", "a b c", "<|endoftext|> x <|endoftext|>", "日本 語, a", "a.\nb, c.", "́a, b́, c"]:
-        assert pieces.encode(t) == pieces.ids(t), t
+    t = " ".join(f"w{i % 7} word{'x' * (i % 5)}, y." for i in range(50))
+    assert pieces.encode(t) == pieces.ids(t) and len(pieces.memo) <= 3
 
 
 # ---- quality
