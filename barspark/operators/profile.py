@@ -275,7 +275,12 @@ def timestamp_analysis(raw: DataFrame, source: str = "source", order: Sequence[s
     Row numbers come from a skew-safe rank; the first invalid ones are picked per
     ``(source, block)`` and then per source, keeping at most ``first_n`` per block.
     """
-    t = raw_timestamps(raw, source)
+    return timestamp_figures(raw_timestamps(raw, source), order, as_of, first_n, block_rows)
+
+
+def timestamp_figures(t: DataFrame, order: Sequence[str], as_of: str | None = None, first_n: int = 5,
+                      block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """:func:`timestamp_analysis` of rows that have ``source`` and a parsed ``timestamp`` (NULL: invalid)."""
     fut = F.col("timestamp") > _as_of(as_of)
     per = t.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows"),

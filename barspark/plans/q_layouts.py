@@ -12,7 +12,7 @@ from barspark.operators import profile as pf
 from barspark.operators.standardize import conform_schema
 from barspark.plans.q_files import BAR9_SQL, BARS9, STOOQ9
 from barspark.plans.registry import query
-from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, ema_sql, rnd
+from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, ema_sql, rnd, stooq_ts_sql
 from barspark.schema import BAR_COLUMNS
 from barspark.session import scratch_path
 from barspark.sources import files as fl
@@ -95,6 +95,18 @@ def q_files_by_records(spark, sf_dir):
     return ranked.select(F.regexp_extract("source", r"_part=([^/]+)/", 1).alias("ticker"), "records")
 
 
+@query("timestamp_report", f"""WITH raw AS ({EVENTS_STOOQ}), t AS (SELECT "<TICKER>" AS ticker, {stooq_ts_sql()} AS ts FROM raw)
+SELECT 2 * count(DISTINCT ticker) AS total_files, count(DISTINCT ticker) AS processed_files, count(DISTINCT ticker) AS files_with_errors,
+min(ts) AS earliest_date, max(ts) AS latest_date FROM t""")
+def q_timestamp_report(spark, sf_dir):
+    from barspark.plans.report import timestamp_report
+    root = scratch_path(spark, "timestamp-report")
+    raw = events_stooq_text(spark, sf_dir)
+    write_stooq_text(raw, f"{root}/good")
+    write_stooq_text(raw, f"{root}/nodate", columns=[c for c in raw.columns if c not in ("<DATE>", "seq")])
+    return timestamp_report(spark, root, as_of="2025-01-01")["summary"]
+
+
 # --- NaN is a missing value -----------------------------------------------------------------------
 
 def _nan_bars(spark, sf_dir):

@@ -9,7 +9,7 @@ from barspark.functions.columns import file_stem, stooq_timestamp
 from barspark.operators import clean as cl
 from barspark.operators import profile as pf
 from barspark.sources import files as fl
-from barspark.sources.readers import read_stooq_raw
+from barspark.sources.readers import read_csv, read_stooq_raw
 
 
 def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
@@ -52,6 +52,32 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     return {"files": files, "issues": issues, "skipped": skipped, "summary": summary, "size_classes": classes}
 
 
+def timestamp_report(spark: SparkSession, root: str, stooq: bool = True, as_of: str | None = None,
+                     pattern: str | None = None) -> dict[str, DataFrame]:
+    """Timestamps of the files under ``root`` before loading (A13): Stooq text, or text with a ``timestamp`` column.
+
+    Returns ``files`` (per file: rows, invalid dates with the first five row numbers, future dates, time
+    range), ``errors`` (``path, error``: empty files and missing columns) and ``summary`` (one row: files, processed
+    files, files with errors, earliest and latest time).
+    """
+    pattern = pattern or ("*.txt" if stooq else "*.csv")
+    need = ["<DATE>", "<TIME>"] if stooq else ["timestamp"]
+    verdict = fl.columns_verdict(spark, root, pattern, need, "Empty file").orderBy("path").collect()
+    good = [r["path"] for r in verdict if r["valid"]]
+    errors = spark.createDataFrame([(r["path"], r["error"]) for r in verdict if not r["valid"]], "path string, error string")
+    if stooq:
+        raw = read_stooq_raw(spark, good, with_source=True) if good else spark.createDataFrame([], "`<DATE>` string, `<TIME>` string, _source string")
+        rows = raw.select(F.col("_source").alias("source"), stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"))
+    else:
+        rows = (read_csv(spark, good, with_source=True) if good else spark.createDataFrame([], "_source string, timestamp timestamp_ntz")).select(F.col("_source").alias("source"), "timestamp")
+    # the id grows with a row's place in its file: the splits of a scan are numbered in file order
+    figures = pf.timestamp_figures(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], as_of)
+    summary = figures.agg(F.count(F.lit(1)).alias("with_rows"), F.min("first_timestamp").alias("earliest_date"), F.max("last_timestamp").alias("latest_date"))
+    summary = summary.select(F.lit(len(verdict)).cast("long").alias("total_files"), F.lit(len(good)).cast("long").alias("processed_files"),
+                             F.lit(len(verdict) - len(good)).cast("long").alias("files_with_errors"), "earliest_date", "latest_date")
+    return {"files": figures, "errors": errors, "summary": summary}
+
+
 def clean_folder(spark: SparkSession, root: str, out: str, mode: str = "v2", as_of: str | None = None,
                  partition_key=None) -> DataFrame:
     """Clean every Stooq file under ``root`` in one job (V6) and write them partitioned by file.

@@ -141,16 +141,21 @@ def _array_keys(spark: SparkSession, root: str) -> DataFrame:
     return seen.select("_p", F.when(~F.col("bad"), keys).alias("keys"))
 
 
-def analysis_verdict(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``path, valid, error`` for the quality analysis (A12), which needs fewer columns than loading."""
+def columns_verdict(spark: SparkSession, root: str, pattern: str, need: Sequence[str], empty: str = "File is empty") -> DataFrame:
+    """``path, valid, error`` of the files that match ``pattern``: empty ones and those without the ``need`` columns."""
     listing = list_files(spark, root, pattern).select("path", "length", _plain(F.col("path")).alias("_p"))
     heads = first_lines(spark, [root], recursive=True, glob=pattern).select(_plain(F.col("path")).alias("_p"), "header")
-    miss = missing_names(header_names(F.coalesce("header", F.lit(""))), ANALYSIS_REQUIRED)
-    error = (F.when(F.col("length") == 0, F.lit("File is empty"))
+    miss = missing_names(header_names(F.coalesce("header", F.lit(""))), need)
+    error = (F.when(F.col("length") == 0, F.lit(empty))
              .when(F.size(miss) > 0, F.concat(F.lit("Missing columns: "), F.array_join(miss, ", "))))
     return listing.join(heads, "_p", "left").select("path", error.isNull().alias("valid"), error.alias("error"))
 
 
+def analysis_verdict(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """:func:`columns_verdict` for the quality analysis (A12), which needs fewer columns than loading."""
+    return columns_verdict(spark, root, pattern, ANALYSIS_REQUIRED)
+
+
 def check_files(spark: SparkSession, paths: Sequence[str], fmt: str) -> dict[str, str]:
     """Reasons against the files of a batch that do not carry the required names, by path (V1 for known paths)."""
     from barspark.sources.readers import required_columns

@@ -276,3 +276,23 @@ def test_feather_write_that_fails_leaves_nothing(spark, tmp_dir):
     assert spark.read.format(FORMAT_NAME).load(out).count() == 100 and not os.path.exists(os.path.join(out, PENDING))
     with pytest.raises(ValueError):
         sk.save(df, out, "feather", partition_by=["id"])
+
+
+def test_timestamp_report(spark, tmp_dir):
+    from barspark.plans.report import timestamp_report
+    d = os.path.join(tmp_dir, "ts")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w") as fh:
+        fh.write("ticker,timestamp,close\n" + "".join(f"A,{t},1\n" for t in ("2024-01-01", "bad", "2030-01-01", "", "x", "y", "z", "w")))
+    with open(os.path.join(d, "b.csv"), "w") as fh:
+        fh.write("close\ttimestamp\n1\t2023-05-05 10:00:00\n")
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write("ticker,close\nA,1\n")
+    open(os.path.join(d, "d.csv"), "w").close()
+    rep = timestamp_report(spark, d, stooq=False, as_of="2025-01-01")
+    files = {os.path.basename(r["source"]): r for r in rep["files"].collect()}
+    assert (files["a.csv"]["rows"], files["a.csv"]["invalid_dates"], files["a.csv"]["first_invalid_rows"], files["a.csv"]["future_dates"]) == (8, 6, "1,3,4,5,6", 1)
+    assert files["b.csv"]["invalid_dates"] == 0 and files["b.csv"]["first_invalid_rows"] is None
+    assert {os.path.basename(r["path"]): r["error"] for r in rep["errors"].collect()} == {"c.csv": "Missing columns: timestamp", "d.csv": "Empty file"}
+    s = rep["summary"].first()
+    assert (s["total_files"], s["processed_files"], s["files_with_errors"], s["earliest_date"]) == (4, 2, 2, dt.datetime(2023, 5, 5, 10))
