@@ -12,7 +12,7 @@ from barspark.operators import clean as cl
 from barspark.operators import profile as pf
 from barspark.plans.registry import query
 from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, rnd, stooq_ts_sql
-from barspark.sources.driver_tables import events_bars, events_stooq_text
+from barspark.sources.driver_tables import events_bars, events_stooq_text, table
 
 AS_OF = "2024-01-29 12:00:00"
 W = f"WITH bars AS ({EVENTS_BARS})"
@@ -112,6 +112,31 @@ def q_issue_hints(spark, sf_dir):
     return cl.issue_hints(issues).withColumn("hints_text", F.array_join("hints", " | ")).drop("hints")
 
 
+_ERRORS = ["File not found", "File is empty", "Invalid file format", "Permission denied", "Contains 3 invalid dates"]
+
+
+@query("issue_hints_all", f"""WITH iss AS (SELECT event_id, CASE event_id % 5 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ERRORS))} END AS error FROM events)
+{_hint_sql()}""")
+def q_issue_hints_all(spark, sf_dir):
+    """All five kinds of hints, a message for each event."""
+    text = F.element_at(F.array(*[F.lit(e) for e in _ERRORS]), (F.col("event_id") % 5 + 1).cast("int"))
+    issues = table(spark, sf_dir, "events").select("event_id", text.alias("error"))
+    return cl.issue_hints(issues).withColumn("hints_text", F.array_join("hints", " | ")).drop("hints")
+
+
+@query("size_classes_all", """WITH b AS (SELECT CASE WHEN event_id < 30 THEN 'a' WHEN event_id < 130 THEN 'b' WHEN event_id < 140 THEN 'e' WHEN event_id % 8 = 0 THEN 'c' ELSE 'd' END AS source,
+CASE WHEN event_id < 130 OR event_id >= 140 THEN ts END AS t FROM events),
+per AS (SELECT source, count(t) AS records FROM b GROUP BY source)
+SELECT CASE WHEN records = 0 THEN 'empty' WHEN records < 50 THEN 'very_small' WHEN records < 500 THEN 'small'
+WHEN records < 2000 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS files FROM per GROUP BY ALL""")
+def q_size_classes_all(spark, sf_dir):
+    """Sources of every class at 10,000 events, one of them without a valid time."""
+    e = F.col("event_id")
+    source = F.when(e < 30, "a").when(e < 130, "b").when(e < 140, "e").when(e % 8 == 0, "c").otherwise("d")
+    rows = table(spark, sf_dir, "events").select(source.alias("source"), F.when((e < 130) | (e >= 140), F.col("ts")).alias("timestamp"))
+    return pf.size_classes(rows)
+
+
 @query("timestamp_analysis", f"""{WR},
 per AS (SELECT source, count(*) AS rows, count(*) FILTER (WHERE ts IS NULL) AS invalid_dates,
         count(*) FILTER (WHERE {FUT}) AS future_dates, max(ts) FILTER (WHERE {FUT}) AS max_future_date,

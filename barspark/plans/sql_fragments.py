@@ -47,6 +47,7 @@ SELECT 'U' || CAST(user_id AS VARCHAR) AS "<TICKER>", '5' AS "<PER>",
   CASE event_id % 97 WHEN 1 THEN strftime(ts, '%Y') || '13' || strftime(ts, '%d')
                      WHEN 2 THEN '1850' || strftime(ts, '%m%d')
                      WHEN 3 THEN '2999' || strftime(ts, '%m%d')
+                     WHEN 9 THEN '2026' || strftime(ts, '%m%d')
                      WHEN 5 THEN '' WHEN 6 THEN 'nan' ELSE strftime(ts, '%Y%m%d') END AS "<DATE>",
   CAST(CAST(strftime(ts, '%H%M%S') AS INTEGER) AS VARCHAR) AS "<TIME>",
   CASE WHEN event_id % 97 = 8 THEN 'nan' ELSE CAST(value AS VARCHAR) END AS "<OPEN>",

@@ -55,7 +55,8 @@ def events_stooq_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` rendered as raw Stooq text columns (all strings), with damaged rows.
 
     Damage follows ``event_id % 97``: 1 month 13, 2 year 1850, 3 year 2999, 4 close
-    ``N/A``, 5 empty date, 6 date ``nan``, 7 close with a trailing ``d``, 8 open ``nan``.
+    ``N/A``, 5 empty date, 6 date ``nan``, 7 close with a trailing ``d``, 8 open ``nan``, 9 year 2026
+    (which only the first cleaner keeps as of 2025).
     ``<TIME>`` carries no leading zeros, as in the raw files. ``seq`` is the row order.
     """
     ev = table(spark, sf_dir, "events")
@@ -65,6 +66,7 @@ def events_stooq_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = (F.when(k == 1, F.concat(F.date_format("ts", "yyyy"), F.lit("13"), F.date_format("ts", "dd")))
             .when(k == 2, F.concat(F.lit("1850"), mmdd))
             .when(k == 3, F.concat(F.lit("2999"), mmdd))
+            .when(k == 9, F.concat(F.lit("2026"), mmdd))
             .when(k == 5, F.lit(""))
             .when(k == 6, F.lit("nan"))
             .otherwise(ymd))
