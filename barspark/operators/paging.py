@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from barspark.functions.columns import numeric
 from barspark.operators.ordering import global_position
 
-SHALLOW_ROWS = 100_000  # pages ending before this row use top-k; deeper ones a row index
+SHALLOW_ROWS = 10_000  # each task of a top-k keeps up to this many rows, and one merges them all
 
 
 def _c(c: str | Column) -> Column:

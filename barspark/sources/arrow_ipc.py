@@ -1,6 +1,6 @@
 """Arrow IPC (Feather v2) files as a Spark Python Data Source.
 
-Reading plans one partition per file and yields Arrow record batches, so Spark
+Reading plans one partition per file, or per range of record batches of a large one, and yields Arrow record batches, so Spark
 receives columnar batches without per-row conversion. Writing has each task write its
 partition as one ``part-<task>-<uuid>.feather`` file.
 """
@@ -16,6 +16,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 FORMAT_NAME = "arrow_ipc"
 PENDING = "_pending"
+#: Larger files are read by several tasks.
+SPLIT_BYTES = 128 << 20
 
 
 def _fs(path: str):
@@ -49,9 +51,11 @@ def _files(path: str) -> list[str]:
 
 
 class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+    """Record batches ``first`` to ``last`` (exclusive; None: to the end) of a file."""
+
+    def __init__(self, path: str, first: int = 0, last: int | None = None):
+        super().__init__((path, first, last))
+        self.path, self.first, self.last = path, first, last
 
 
 class _Reader(DataSourceReader):
@@ -59,7 +63,25 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_FilePartition(f) for f in _files(self.path)]
+        """One per file; a file of more than SPLIT_BYTES is split at its record batches, which its footer counts."""
+        import pyarrow.ipc as ipc
+        out = []
+        for f in _files(self.path):
+            filesystem, p = _fs(f)
+            parts = -(-filesystem.get_file_info(p).size // SPLIT_BYTES)
+            batches = 0
+            if parts > 1:
+                with filesystem.open_input_file(p) as fh:
+                    try:
+                        batches = ipc.open_file(fh).num_record_batches
+                    except Exception:  # noqa: BLE001 - a stream has no footer and is read whole
+                        batches = 0
+            if batches > 1:
+                step = -(-batches // parts)
+                out += [_FilePartition(f, i, min(i + step, batches)) for i in range(0, batches, step)]
+            else:
+                out.append(_FilePartition(f))
+        return out
 
     def read(self, partition):
         import pyarrow.ipc as ipc
@@ -73,7 +95,8 @@ class _Reader(DataSourceReader):
                 fh.seek(0)
                 yield from ipc.open_stream(fh)
             else:
-                for i in range(reader.num_record_batches):
+                last = reader.num_record_batches if partition.last is None else partition.last
+                for i in range(partition.first, last):
                     yield reader.get_batch(i)
 
 

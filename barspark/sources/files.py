@@ -22,25 +22,46 @@ def _hidden(name: str) -> bool:
     return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
-def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Zero-byte files under ``root`` (Spark's file scans skip them), from a metadata listing."""
-    import fnmatch
+def _walk(spark: SparkSession, root: str):
+    """``(path, size, mtime, path below root)`` of every file under ``root``: through pyarrow where it knows the
+    store, else through the Hadoop file system that Spark itself uses."""
+    import datetime as dt
+
+    import pyarrow as pa
     from pyarrow import fs as pafs
 
     from barspark.sources.arrow_ipc import _fs, _uri
-    filesystem, base = _fs(root)
-    rows = []
+    try:
+        filesystem, base = _fs(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # no driver for this store
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        top = store.getFileStatus(at).getPath().toString()
+        found = store.listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            path = f.getPath().toString()
+            yield path, f.getLen(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000), path[len(top):]
+        return
     if filesystem.get_file_info(base).type == pafs.FileType.File:
-        return spark.createDataFrame([], "path string, length long, modification_time timestamp")
-    infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-    for info in infos:
-        rel = info.path[len(base):].strip("/").split("/")
-        if any(_hidden(part) for part in rel):
-            continue
-        if info.type == pafs.FileType.File and info.size == 0 and \
-                (pattern is None or fnmatch.fnmatch(info.base_name, pattern)):
+        return
+    for info in filesystem.get_file_info(pafs.FileSelector(base, recursive=True)):
+        if info.type == pafs.FileType.File:
             path = _uri(root, info.path)
-            rows.append(("file:" + path if "://" not in path else path, 0, info.mtime))
+            yield ("file:" + path if "://" not in path else path), info.size, info.mtime, info.path[len(base):]
+
+
+def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """Zero-byte files under ``root`` (Spark's file scans skip them), from a metadata listing.
+
+    Only their names are kept. A listing that fails is an error.
+    """
+    import fnmatch
+    rows = []
+    for path, size, mtime, below in _walk(spark, root):
+        parts = below.strip("/").split("/")
+        if size == 0 and not any(_hidden(part) for part in parts) and (pattern is None or fnmatch.fnmatch(parts[-1], pattern)):
+            rows.append((path, 0, mtime))
     return spark.createDataFrame(rows, "path string, length long, modification_time timestamp")
 
 

@@ -296,3 +296,30 @@ def test_timestamp_report(spark, tmp_dir):
     assert {os.path.basename(r["path"]): r["error"] for r in rep["errors"].collect()} == {"c.csv": "Missing columns: timestamp", "d.csv": "Empty file"}
     s = rep["summary"].first()
     assert (s["total_files"], s["processed_files"], s["files_with_errors"], s["earliest_date"]) == (4, 2, 2, dt.datetime(2023, 5, 5, 10))
+
+
+def test_large_arrow_files_are_split(spark, tmp_dir, monkeypatch):
+    import pyarrow as pa
+    from barspark.sources import arrow_ipc
+    path = os.path.join(tmp_dir, "a.feather")
+    t = pa.table({"ticker": [f"T{i}" for i in range(1000)], "close": [float(i) for i in range(1000)]})
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, t.schema) as w:
+        w.write_table(t, max_chunksize=100)
+    monkeypatch.setattr(arrow_ipc, "SPLIT_BYTES", os.path.getsize(path) // 4)
+    parts = arrow_ipc._Reader(path).partitions()
+    assert len(parts) > 2 and [(p.first, p.last) for p in parts][0] == (0, parts[0].last) and parts[-1].last == 10
+    rows = [b for p in parts for b in arrow_ipc._Reader(path).read(p)]
+    assert pa.Table.from_batches(rows).equals(t)
+
+
+def test_listing_on_a_store_that_only_spark_reads(spark, tmp_dir):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.feed.link./in", f"file://{tmp_dir}")
+    os.makedirs(os.path.join(tmp_dir, "feed", "_hidden"))
+    _stooq_file(os.path.join(tmp_dir, "feed", "good.txt"), 3)
+    for name in ("empty.txt", "_hidden/x.txt", ".y.txt"):
+        open(os.path.join(tmp_dir, "feed", name), "w").close()
+    root = "viewfs://feed/in/feed"
+    listed = {os.path.basename(r["path"]): r["length"] for r in fl.list_files(spark, root, "*.txt").collect()}
+    assert set(listed) == {"good.txt", "empty.txt"} and listed["empty.txt"] == 0 < listed["good.txt"]
+    bars, skipped = rd.load_with_skips(spark, root, "txt")
+    assert bars.count() == 3 and [(os.path.basename(r["path"]), r["error"]) for r in skipped.collect()] == [("empty.txt", "File is empty")]
