@@ -24,8 +24,8 @@ from barspark.llm.frames import stored
 MAX_SOURCES = 1000
 PERIOD = 1000
 BLOCK_WORDS = 4096
-#: Documents whose places are counted together.
-RUN_ROWS = 50_000
+#: About how many rows are numbered together.
+RUN_ROWS = 4096
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: i
     given weight are an error. Repeated rows stay next to each other. Rows without an id are kept.
 
     Places in a source come from two levels: rows are dealt into runs by the leading bits of their hash, each run is
-    numbered by itself, and the runs' totals (one row for about 50 000 documents) are summed up, so a
+    numbered by itself, and the runs' totals (one row for about 4096 documents) are summed up, so a
     source of any size is split.
     """
     spark = docs.sparkSession
