@@ -108,13 +108,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: i
     Within a source, rows stand in the order of a hash of id and text; a block is ``block_words`` words,
     and a row belongs to the block in which it starts. A null source counts as the source "". Null and empty texts have
     no words and go with the row before them. Weights default to the square root of the words of each source; sources without a
-    given weight are an error. Repeated rows stay next to each other. Rows without an id are kept.
+    given weight are an error, and so are new columns that ``docs`` has already. Repeated rows stay next to each other. Rows without an id are kept.
 
     Places in a source come from two levels: rows are dealt into runs by the leading bits of their hash, each run is
     numbered by itself, and the runs' totals (one row for about 4096 documents) are summed up, so a
     source of any size is split.
     """
     spark = docs.sparkSession
+    if clash := {slot_col, block_col, rank_col} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already; choose other names")
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     base = docs.withColumns({"__op_source": source_name(F.col(source_col)), "__op_key": key, "__op_words": F.size(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")})
     slim = stored(base.select("__op_source", "__op_key", "__op_words"), "places")
@@ -155,7 +157,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: i
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, source, block, slot, rank`` of every row."""
-    return mix(docs, **kw).select("doc_id", "source", "block", "slot", "rank")
+    return mix(docs.select("doc_id", "source", "text"), **kw).select("doc_id", "source", "block", "slot", "rank")
 
 
 def mixed(docs: DataFrame, partitions: int, **kw) -> DataFrame:

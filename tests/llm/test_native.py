@@ -251,4 +251,7 @@ def test_mix_places_every_row_once(spark, docs, docs_rows, no_docs):
     assert M.mix_report(no_docs).collect() == []
     assert M.mixed(docs, 3).columns == docs.columns and M.mixed(docs, 3).count() == docs.count()
     with pytest.raises(ValueError):
-        M.mix(docs, {"s0": 1.0})
+        M.mix(docs, {"s0": 1.0}, slot_col="__s")
+    with pytest.raises(ValueError):
+        M.mix(docs)  # it has a column slot
+    assert M.mix_report(docs).count() == docs.count()
