@@ -6,6 +6,8 @@ hashes, which are the same in every task, so tasks need no shared dictionary.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +19,6 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
 
 
 def _space_table() -> np.ndarray:
@@ -57,13 +58,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
+    """base**0 .. base**(n-1) modulo 2**64. The process keeps them in a module of their own: tasks get this
+    package's functions by value, and a table among their globals would travel with them."""
+    kept = sys.modules.setdefault("_barspark_powers", types.ModuleType("_barspark_powers")).__dict__
+    have = kept.get(str(base))
     if have is None or len(have) < n:
         have = np.full(max(n, SLICE_BYTES + 64), base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        kept[str(base)] = have
     return have[:n]
 
 
