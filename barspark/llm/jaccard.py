@@ -262,7 +262,9 @@ class Region:
         """Compare every pair of different components that the distances ``d`` to pivots leave possible."""
         comp = self.roots()[points]
         _, comp, n = np.unique(comp, return_inverse=True, return_counts=True)
-        for x in np.argsort(n[comp], kind="stable")[:len(points) - int(n.max())].tolist():
+        # all but the points of one largest component, of which there may be several
+        rest = np.flatnonzero(comp != n.argmax())
+        for x in rest[np.argsort(n[comp[rest]], kind="stable")].tolist():
             roots = self.roots()[points]
             ok = roots != roots[x]
             ok &= (100 * np.minimum(self.size[points], self.size[points[x]]) >= self.percent * np.maximum(self.size[points], self.size[points[x]]))

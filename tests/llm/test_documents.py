@@ -150,6 +150,30 @@ def test_region_join_is_exact():
     assert all((got[a] == got[b]) == (root(a) == root(b)) for a in range(len(ss)) for b in range(a))
 
 
+def test_region_join_links_largest_components_of_one_size():
+    # revisions: sets of 100 shingles of which each step replaces 8, so only neighbours link
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        chains, length = 4 + seed % 5, 8
+        sets, chain = [], []
+        for c in range(chains):
+            own = np.arange(60 + 8 * length) + 1000 * (c + 1)
+            sets += [np.concatenate([np.arange(40), own[8 * k:8 * k + 60]]).astype(np.uint64) for k in range(length)]
+            chain += [c] * length
+        order = rng.permutation(len(sets))
+        r = J.Region([sets[i] for i in order], 85)
+        r.split(np.arange(len(sets)))
+        got = r.roots()
+        assert len(sets) > J.LEAF and len(set(zip(got.tolist(), [chain[i] for i in order]))) == len(set(got.tolist())) == chains
+    # components {0, 2} and {1, 3} of one size, joined by (2, 3) alone
+    a = [np.arange(8 * k, 8 * k + 100).astype(np.uint64) for k in range(4)]
+    r = J.Region([a[0], a[3], a[1], a[2]], 85)
+    r.compare(0, np.arange(4))
+    r.compare(1, np.arange(4))
+    r.brute(np.arange(4), np.zeros((0, 4)))
+    assert len(set(r.roots().tolist())) == 1
+
+
 def test_keep_one_leaves_one_of_each_group(docs, docs_rows):
     out = J.keep_one(docs, 5, 80)
     assert out.columns == docs.columns
