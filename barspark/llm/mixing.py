@@ -5,22 +5,26 @@ j-th block of a source (j from 0) is released at slot floor(j / w) and is due at
 ceil((j + 1) / w). In each slot the released block with the earliest deadline is taken. After any
 number t of slots a source then has more than w t - 1 and less than w t + 1 blocks.
 
-Weights are fractions over a common denominator, the period: the schedule repeats after
-that many slots, so one period (at most ``period`` rows) is made on the driver and every block finds its slot
-by division. When a source has no blocks left, the others go on with their weights
-scaled up; so there is one phase for each source, and all documents are kept.
+Weights are not rounded to slots of a period, so the bound holds for the requested weights however long the
+table is. The driver goes through the slots once and keeps what each source has placed after every ``period``
+slots; tasks make the slots in between from that. When a source has no blocks left, the others go
+on with their weights scaled up; so there is one phase for each source, and all documents are kept.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barspark.llm.frames import stored
+from barspark.llm.frames import partitions, stored
 
-#: Most sources; their totals and one schedule for each phase are held on the driver.
+#: Most sources; their totals and what each has placed after each period are held on the driver.
 MAX_SOURCES = 1000
 PERIOD = 1000
 BLOCK_WORDS = 4096
@@ -47,47 +51,82 @@ def windows(j: int, slots: int, period: int) -> tuple[int, int]:
     return j * period // slots, -(-(j + 1) * period // slots)
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, its block) for each slot of one period: earliest deadline first among released blocks;
-    ties go to the smaller name."""
-    period = sum(slots.values())
-    release: dict[int, list[tuple[int, str, int]]] = {}
-    for s, n in slots.items():
-        for j in range(n):
-            r, d = windows(j, n, period)
-            release.setdefault(r, []).append((d, s, j))
+def turns(parts: dict[str, int], first: dict[str, int] | None = None, start: int = 0) -> Iterator[tuple[str, int]]:
+    """(source, its block) for slot ``start`` and those after it without end, when each source has placed ``first``
+    blocks: earliest deadline first among released blocks; ties go to the smaller name. The
+    weights are ``parts`` of their sum."""
+    period = sum(parts.values())
+    later: list[tuple[int, int, str, int]] = []
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
-        for x in release.get(t, ()):
-            heapq.heappush(ready, x)
+
+    def wait(s: str, j: int) -> None:
+        r, d = windows(j, parts[s], period)
+        heapq.heappush(later, (r, d, s, j))
+
+    for s in parts:
+        wait(s, first[s] if first else 0)
+    for t in count(start):
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
         d, s, j = heapq.heappop(ready)
         assert t < d, "a deadline was missed"
-        out.append((s, j))
-    return out
+        # blocks of a source go in order, so its next one competes once this one is placed
+        wait(s, j + 1)
+        yield s, j
+
 
+def schedule(slots: dict[str, int]) -> list[tuple[str, int]]:
+    """(source, its block) for each slot of the period after which whole slots repeat."""
+    return list(islice(turns(slots), sum(slots.values())))
+
+
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole parts of about 10 ** 12, at least one each; they do not depend on any period."""
+    total = math.fsum(weights.values())
+    return {s: max(1, round(w / total * 10 ** 12)) for s, w in weights.items()}
 
-def phases(weights: dict[str, float], blocks: dict[str, int], period: int = PERIOD) -> list[dict]:
-    """Phases until all blocks are placed: the sources' slots, whole and part periods, and first blocks."""
+
+def phases(weights: dict[str, float], blocks: dict[str, int], period: int = PERIOD) -> Iterator[dict]:
+    """Runs of at most ``period`` slots until all blocks are placed. Each is scheduled by itself from what its phase
+    has placed before: parts, slot in the phase, blocks placed in the phase and before it, slot overall, slots."""
     left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, start = [], 0
+    before, start = dict.fromkeys(left, 0), 0
+    every = exact_parts({s: weights[s] for s in left}) if left else {}
     while left:
-        slots = shares({s: weights[s] for s in left}, period)
-        order = schedule(slots)
-        place = {x: t for t, x in enumerate(order)}
-        # the phase ends with the slot in which the first source places its last block
-        end = min((left[s] - 1) // slots[s] * len(order) + place[s, (left[s] - 1) % slots[s]] + 1 for s in left)
-        rest = order[:end - end // len(order) * len(order)]
-        taken = {s: end // len(order) * slots[s] + sum(x == s for x, _ in rest) for s in left}
-        out.append({"start": start, "slots": slots, "order": place, "first": {s: done[s] for s in left}, "taken": taken, "period": len(order)})
-        start += end
-        for s in list(left):
-            done[s] += taken[s]
-            left[s] -= taken[s]
-            if not left[s]:
-                del left[s]
-    return out
+        parts = {s: every[s] for s in left}
+        done, at = dict.fromkeys(left, 0), 0
+        order = turns(parts)
+        ended = False
+        while not ended:
+            run = {"parts": parts, "at": at, "first": dict(done), "before": before, "start": start + at}
+            if len(left) == 1:
+                (s, n), = left.items()
+                size = min(period, n - at)
+                done[s] += size
+                ended = done[s] == n
+            else:
+                for size in range(1, period + 1):
+                    s, _ = next(order)
+                    done[s] += 1
+                    # the phase ends with the slot in which the first source places its last block
+                    if ended := done[s] == left[s]:
+                        break
+            at += size
+            yield {**run, "size": size}
+        start += at
+        before = {s: before[s] + done[s] for s in left}
+        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a phase to the slot of each of their blocks."""
+    for b in batches:
+        for r in b.to_pylist():
+            parts = dict(zip(r["sources"], r["parts"]))
+            placed = list(islice(turns(parts, dict(zip(r["sources"], r["first"])), r["at"]), r["size"]))
+            before = dict(zip(r["sources"], r["before"]))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in placed], pa.string()), pa.array([before[s] + j for s, j in placed], pa.int64()),
+                                              pa.array(range(r["start"], r["start"] + r["size"]), pa.int64())], ["source", "j", "slot"])
 
 
 def balanced(words: dict[str, int]) -> dict[str, float]:
@@ -145,12 +184,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: i
     per_run = per_run.select("__op_source", "__op_run", F.coalesce(F.sum("n").over(Window.partitionBy("__op_source").orderBy("__op_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
     numbered = numbered.withColumn("n1", F.row_number().over(Window.partitionBy("__op_source", "__op_run").orderBy(block_col)) - 1).join(per_run, ["__op_source", "__op_run"])
     numbered = numbered.select("__op_source", block_col, (F.col("n0") + F.col("n1")).alias("__op_j"))
-    plan = phases(weights, counts, period)
-    rows = [(s, p["first"][s], p["first"][s] + p["taken"][s], p["start"], p["slots"][s], p["period"], [p["order"][s, j] for j in range(p["slots"][s])]) for p in plan for s in p["slots"]]
-    table = spark.createDataFrame(rows, "__op_source string, lo long, hi long, start long, slots int, period int, places array<int>")
-    j = F.col("__op_j") - F.col("lo")
-    slotted = numbered.join(F.broadcast(table), "__op_source").where("__op_j >= lo and __op_j < hi").select(
-        "__op_source", block_col, (F.col("start") + F.floor(j / F.col("slots")) * F.col("period") + F.get("places", F.pmod(j, F.col("slots")).cast("int"))).alias(slot_col))
+    rows = [([*p["parts"]], [*p["parts"].values()], p["at"], [*p["first"].values()], [p["before"][s] for s in p["parts"]], p["start"], p["size"]) for p in phases(weights, counts, period)]
+    runs = spark.createDataFrame(rows, "sources array<string>, parts array<long>, at long, first array<long>, before array<long>, start long, size int")
+    table = runs.repartition(partitions(spark)).mapInArrow(_slots, f"__op_source string, __op_j long, {slot_col} long")
+    slotted = numbered.join(table, ["__op_source", "__op_j"]).drop("__op_j")
     out = placed.join(slotted, ["__op_source", block_col])
     return base.drop("__op_words").join(out, ["__op_source", "__op_key"]).select(*docs.columns, slot_col, block_col, rank_col)
 

@@ -255,3 +255,17 @@ def test_mix_places_every_row_once(spark, docs, docs_rows, no_docs):
     with pytest.raises(ValueError):
         M.mix(docs)  # it has a column slot
     assert M.mix_report(docs).count() == docs.count()
+
+
+def test_mix_keeps_to_the_requested_weights_over_many_periods(spark):
+    weights = {"a": 2 ** 0.5, "b": 3 ** 0.5, "c": 0.001, "d": 0.37}
+    docs = spark.createDataFrame([(k, "abcd"[k % 4], "w") for k in range(6000)], "doc_id long, source string, text string")
+    got = sorted((r.slot, r.source) for r in M.mix_report(docs, weights=weights, block_words=1, period=10).collect())
+    assert [t for t, _ in got] == list(range(6000))
+    done, total = Counter(), sum(weights.values())
+    for t, s in got:  # until the first source is used up
+        done[s] += 1
+        assert all(abs(done[x] - weights[x] / total * (t + 1)) < 1 for x in weights)
+        if done[s] == 1500:
+            break
+    assert t > 2500
