@@ -140,12 +140,14 @@ def source_name(source):
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: int = BLOCK_WORDS, period: int = PERIOD, seed: int = 0,
         id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slot_col: str = "slot", block_col: str = "block",
-        rank_col: str = "rank") -> DataFrame:
+        rank_col: str = "rank", by_words: bool = False) -> DataFrame:
     """``docs`` with three more columns, whose order (slot, rank) is the mixed order of all rows.
 
     ``block`` is the row's block of its source, ``slot`` the block's slot and ``rank`` the row's place in its source.
     Within a source, rows stand in the order of a hash of id and text; a block is ``block_words`` words,
-    and a row belongs to the block in which it starts. A null source counts as the source "". Null and empty texts have
+    and a row belongs to the block in which it starts. With ``by_words`` a row that goes on through further blocks uses
+    up their slots too, so the words drawn keep to the weights and slots in which no row starts are missing from
+    ``slot``; without it only blocks in which a row starts are scheduled. A null source counts as the source "". Null and empty texts have
     no words and go with the row before them. Weights default to the square root of the words of each source; sources without a
     given weight are an error, and so are new columns that ``docs`` has already. Repeated rows stay next to each other. Rows without an id are kept.
 
@@ -172,32 +174,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_words: i
     entry = slim.groupBy("__op_source", "__op_key").agg(F.sum("__op_words").alias("words"), F.count(F.lit(1)).alias("rows")).withColumn("run", run)
     sums = entry.groupBy("__op_source", "run").agg(F.sum("words").alias("w"), F.sum("rows").alias("r"))
     before = Window.partitionBy("__op_source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base_of = sums.select("__op_source", "run", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
+    source_words = Window.partitionBy("__op_source")
+    base_of = sums.select("__op_source", "run", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("w").over(source_words).alias("all_words"))
     inner = Window.partitionBy("__op_source", "run").orderBy("__op_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = entry.select("*", F.coalesce(F.sum("words").over(inner), F.lit(0)).alias("w1"), F.coalesce(F.sum("rows").over(inner), F.lit(0)).alias("r1")).join(base_of, ["__op_source", "run"])
-    placed = placed.select("__op_source", "__op_key", F.expr(f"(w0 + w1) div {block_words}").alias(block_col), (F.col("r0") + F.col("r1")).alias(rank_col))
-    # blocks that no row starts in do not exist: number those that do
-    blocks = stored(placed.select("__op_source", block_col).distinct(), "blocks")
-    counts = {r["s"]: r["n"] for r in blocks.groupBy(F.col("__op_source").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    numbered = blocks.withColumn("__op_run", F.expr(f"{block_col} div {RUN_ROWS}"))
-    per_run = numbered.groupBy("__op_source", "__op_run").agg(F.count(F.lit(1)).alias("n"))
-    per_run = per_run.select("__op_source", "__op_run", F.coalesce(F.sum("n").over(Window.partitionBy("__op_source").orderBy("__op_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    numbered = numbered.withColumn("n1", F.row_number().over(Window.partitionBy("__op_source", "__op_run").orderBy(block_col)) - 1).join(per_run, ["__op_source", "__op_run"])
-    numbered = numbered.select("__op_source", block_col, (F.col("n0") + F.col("n1")).alias("__op_j"))
+    placed = placed.select("__op_source", "__op_key", F.expr(f"least((w0 + w1) div {block_words}, greatest(all_words - 1, 0) div {block_words})").alias(block_col), (F.col("r0") + F.col("r1")).alias(rank_col))
+    if by_words:
+        counts = {s: max(1, -(-w // block_words)) for s, (w, _) in total.items()}
+    else:
+        # number the blocks that a row starts in
+        blocks = stored(placed.select("__op_source", block_col).distinct(), "blocks")
+        counts = {r["s"]: r["n"] for r in blocks.groupBy(F.col("__op_source").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        numbered = blocks.withColumn("__op_run", F.expr(f"{block_col} div {RUN_ROWS}"))
+        per_run = numbered.groupBy("__op_source", "__op_run").agg(F.count(F.lit(1)).alias("n"))
+        per_run = per_run.select("__op_source", "__op_run", F.coalesce(F.sum("n").over(Window.partitionBy("__op_source").orderBy("__op_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+        numbered = numbered.withColumn("n1", F.row_number().over(Window.partitionBy("__op_source", "__op_run").orderBy(block_col)) - 1).join(per_run, ["__op_source", "__op_run"])
+        numbered = numbered.select("__op_source", block_col, (F.col("n0") + F.col("n1")).alias("__op_j"))
     rows = [([*p["parts"]], [*p["parts"].values()], p["at"], [*p["first"].values()], [p["before"][s] for s in p["parts"]], p["start"], p["size"]) for p in phases(weights, counts, period)]
     runs = spark.createDataFrame(rows, "sources array<string>, parts array<long>, at long, first array<long>, before array<long>, start long, size int")
     table = runs.repartition(partitions(spark)).mapInArrow(_slots, f"__op_source string, __op_j long, {slot_col} long")
-    slotted = numbered.join(table, ["__op_source", "__op_j"]).drop("__op_j")
+    slotted = table.withColumnRenamed("__op_j", block_col) if by_words else numbered.join(table, ["__op_source", "__op_j"]).drop("__op_j")
     out = placed.join(slotted, ["__op_source", block_col])
     return base.drop("__op_words").join(out, ["__op_source", "__op_key"]).select(*docs.columns, slot_col, block_col, rank_col)
 
 
-def mix_report(docs: DataFrame, **kw) -> DataFrame:
+def mix_report(docs: DataFrame, by_words: bool = True, **kw) -> DataFrame:
     """``doc_id, source, block, slot, rank`` of every row."""
-    return mix(docs.select("doc_id", "source", "text"), **kw).select("doc_id", "source", "block", "slot", "rank")
+    return mix(docs.select("doc_id", "source", "text"), by_words=by_words, **kw).select("doc_id", "source", "block", "slot", "rank")
 
 
-def mixed(docs: DataFrame, partitions: int, **kw) -> DataFrame:
+def mixed(docs: DataFrame, partitions: int, by_words: bool = True, **kw) -> DataFrame:
     """The rows of ``docs`` in mixed order: range partitions of the slots, each sorted."""
-    out = mix(docs, slot_col="__op_slot", block_col="__op_block", rank_col="__op_rank", **kw)
+    out = mix(docs, slot_col="__op_slot", block_col="__op_block", rank_col="__op_rank", by_words=by_words, **kw)
     return out.repartitionByRange(partitions, "__op_slot", "__op_rank").sortWithinPartitions("__op_slot", "__op_rank").drop("__op_slot", "__op_block", "__op_rank")

@@ -161,6 +161,22 @@ def test_surrogate_collisions_are_resolved(spark):
     assert len(new) == len(set(new)) == len(names)
 
 
+def test_phones_of_every_layout_are_replaced(spark):
+    same = ["+14155550123", "+1 415 555 0123", "+1 (415) 555-0123", "+141 5555 0123", "+1-415.555-0123"]
+    codes = {"+4930123456": "49", "+4930 123456": "49", "+49 30 1234567": "49", "+35312345678": "353", "+353 1234 5678": "353", "+74951234567": "7", "+442079460000": "44", "+0012345678": "", "+99812": "", "+12 34 56": "1", "+12345": "1"}
+    texts = same + [*codes, "(415) 555-0123", "415-555-0199", "415 555.0177"]
+    assert all(re.fullmatch(P.PATTERNS["phone"].replace(r"\p{L}\p{N}", r"\w"), t) for t in texts)
+    frame = spark.createDataFrame([(k, f"Call {t} now") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {t: r for t, r in zip(texts, sorted(P.with_surrogates(frame, "k").collect()))}
+    for t, r in got.items():
+        new = r.text[5:-4]
+        assert r.n_entities == 1 and new != t and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", t)
+        code, old, new = codes.get(t, "1" if t in same else ""), re.sub("[^0-9]", "", t), re.sub("[^0-9]", "", new)
+        assert new.startswith(code) and new[len(code):] != old[len(code):]
+    assert len({re.sub("[^0-9]", "", got[t].text) for t in same}) == 1
+    assert not {re.sub("[^0-9]", "", r.text) for r in got.values()} & {re.sub("[^0-9]", "", t) for t in texts}
+
+
 # ---- vectors
 
 def brute_vectors(rows):
@@ -269,3 +285,21 @@ def test_mix_keeps_to_the_requested_weights_over_many_periods(spark):
         if done[s] == 1500:
             break
     assert t > 2500
+
+
+def test_mix_counts_the_words_of_long_documents(spark):
+    # one source of documents of 25 blocks each, one of documents of half a block
+    docs = spark.createDataFrame([(k, "long", "w " * 250) for k in range(20)] + [(100 + k, "short", "w " * 5) for k in range(1000)] + [(5000, "void", None), (5001, "void", "")], "doc_id long, source string, text string")
+    got = M.mix_report(docs, weights={"long": 0.5, "short": 0.5, "void": 1e-9}, block_words=10, period=20).collect()
+    assert len(got) == 1022
+    words, drawn, last = {"long": 250, "short": 5, "void": 0}, Counter(), 0
+    for r in sorted(got, key=lambda r: (r.slot, r.rank)):
+        assert r.block == min(drawn[r.source], max(0, {"long": 5000, "short": 5000, "void": 0}[r.source] - 1)) // 10
+        # words up to here by weight; a long document is drawn whole in its first slot
+        assert r.source == "void" or abs(drawn[r.source] - 0.5 * 10 * r.slot) <= 2 * 10
+        drawn[r.source] += words[r.source]
+        last = r.slot
+        if last > 900:
+            break
+    assert last > 900
+    assert M.mixed(docs, 3, block_words=10).count() == 1022
