@@ -11,7 +11,7 @@ type     normal form                         replacement
 =======  ==================================  ==========================================================
 email    lower case                          letters by letters of the same script and case, digits by digits;
                                              marks stay; the top-level domain stays
-phone    digits                              same layout; the country code of a number with + stays
+phone    digits, country code of a + number  same layout; the country code of a number with + stays
 card     digits                              same layout; the check digit stays valid where it was
 ssn      digits                              same layout
 ipv4     the address                         an address with octets of 1-254
@@ -53,6 +53,11 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
+#: The calling codes of countries and networks; none begins another.
+_CALLING_CODE = (r"1|7|2(?:[07]|1[123568]|[2346][0-9]|5[0-8]|9[01789])|3(?:[0-469]|5[0-9]|7[0-8]|8[0-35-79])|4(?:[013-9]|2[013])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])"
+                 r"|8(?:[1246]|0[08]|5[02356]|7[08]|8[0-368])|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68])")
+#: A code stays only in front of this many digits, which are drawn.
+_LEAST_DRAWN = 4
 #: Any text that holds an entity matches this cheap pattern too.
 _HINT = rf"[0-9][0-9.]|@|(?:{_TITLES})\.? "
 MAX_ATTEMPTS = 64
@@ -71,8 +76,10 @@ def _kind(mention: Column) -> Column:
 
 def normal_form(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"[^0-9]", "")
+    # the code is found in the digits, so it does not depend on where the number has separators
+    code = F.regexp_extract(digits, rf"^({_CALLING_CODE})[0-9]{{{_LEAST_DRAWN},}}$", 1)
     person = F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""))
-    return (F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.regexp_extract(mention, r"^\+[0-9]+", 0)).otherwise(""), F.lit("/"), digits))
+    return (F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.concat(F.lit("+"), code)).otherwise(""), F.lit("/"), digits))
             .when(kind == "iban", F.regexp_replace(mention, r" ", "")).when(kind == "person", F.concat(gender(mention), F.lit(":"), person)).otherwise(F.lower(mention)))
 
 
@@ -148,7 +155,7 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, normal, new`` for distinct (kind, normal) rows, all ``new`` of a kind different from each other
     and from every normal form of the kind. Each round is one aggregation over the entities and a written table."""
-    real = entities.select("kind", F.col("normal").alias("new"))
+    real = entities.select("kind", F.when(F.col("kind") == "phone", F.regexp_extract("normal", r"([0-9]*)$", 1)).otherwise(F.col("normal")).alias("new"))
     todo = entities.withColumn("attempt", F.lit(0))
     done = None
     for _ in range(MAX_ATTEMPTS):
