@@ -3,8 +3,10 @@
 Detected entities get replacements of their own type and format. A replacement is made from a keyed
 hash of (type, normal form, attempt), so all mentions of an entity in the corpus, however
 written, get the same one. A table of all distinct entities is checked for collisions: of entities
-that would share a replacement, or whose replacement is a real entity of the corpus, all but the
-first take the next attempt, until all replacements differ.
+that would share a replacement, all but the first, and those whose replacement is a real entity of the corpus,
+take the next attempt, until all replacements differ. Within a document a surname alone takes
+the surname of the first whole name that it ends. A name without a title is not found, also where
+the same name stands elsewhere with one.
 
 =======  ==================================  ==========================================================
 type     normal form                         replacement
@@ -17,7 +19,7 @@ ssn      digits                              same layout
 ipv4     the address                         an address with octets of 1-254
 iban     letters and digits without blanks   same layout; the country stays
 person   words after the title, lower case   first name of the title's gender in the same script; surname
-                                             with as many words; title stays
+                                             with as many words, longer by a syllable an attempt; title stays
 =======  ==================================  ==========================================================
 """
 
@@ -80,7 +82,7 @@ def normal_form(kind: Column, mention: Column) -> Column:
     code = F.regexp_extract(digits, rf"^({_CALLING_CODE})[0-9]{{{_LEAST_DRAWN},}}$", 1)
     person = F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""))
     return (F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.concat(F.lit("+"), code)).otherwise(""), F.lit("/"), digits))
-            .when(kind == "iban", F.regexp_replace(mention, r" ", "")).when(kind == "person", F.concat(gender(mention), F.lit(":"), person)).otherwise(F.lower(mention)))
+            .when(kind == "iban", F.regexp_replace(mention, r" ", "")).when(kind == "person", F.concat(F.when(person.contains(" "), gender(mention)).otherwise("x"), F.lit(":"), person)).otherwise(F.lower(mention)))
 
 
 def gender(mention: Column) -> Column:
@@ -94,7 +96,7 @@ def _draw(seed: Column, place, n) -> Column:
     return F.pmod(F.conv(F.substring(deep, 1, 12), 16, 10).cast("bigint"), n if isinstance(n, Column) else F.lit(n))
 
 
-def _pick(names: list[str], seed: Column, place: int) -> Column:
+def _pick(names: list[str], seed: Column, place) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in names]), (_draw(seed, place, len(names)) + 1).cast("int"))
 
 
@@ -136,8 +138,10 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
     sex = F.substring(normal, 1, 1)
     first = (F.when(cyrillic & (sex == "f"), _pick(FEMALE_CYRILLIC, seed, 1)).when(cyrillic, _pick(MALE_CYRILLIC, seed, 1)).when(sex == "f", _pick(FEMALE, seed, 1))
              .when(sex == "m", _pick(MALE, seed, 1)).otherwise(_pick(OTHER, seed, 1)))
-    family = F.when(cyrillic, F.concat(_pick(STEMS_CYRILLIC, seed, 2), F.lower(_pick(STEMS_CYRILLIC, seed, 3)), _pick(ENDINGS_CYRILLIC, seed, 4))).otherwise(
-        F.concat(_pick(STEMS, seed, 2), F.lower(_pick(STEMS, seed, 3)), _pick(ENDINGS, seed, 4)))
+    # each attempt adds a syllable, so names cannot run out
+    more = lambda stems: F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda k: F.lower(_pick(stems, seed, k + 100))), "")).otherwise("")
+    named = lambda stems, endings: F.concat(_pick(stems, seed, 2), F.lower(_pick(stems, seed, 3)), more(stems), _pick(endings, seed, 4))
+    family = F.when(cyrillic, named(STEMS_CYRILLIC, ENDINGS_CYRILLIC)).otherwise(named(STEMS, ENDINGS))
     middle = F.when(cyrillic, _pick(STEMS_CYRILLIC, seed, 5)).otherwise(_pick(STEMS, seed, 5))
     person = F.when(words == 1, family).when(words == 2, F.concat_ws(" ", first, family)).otherwise(F.concat_ws(" ", first, middle, family))
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ipv4", ip).when(kind == "person", person).when(kind == "iban", _shape_preserving(normal, seed, F.lit(2))).otherwise(raw)
@@ -154,14 +158,17 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, normal, new`` for distinct (kind, normal) rows, all ``new`` of a kind different from each other
-    and from every normal form of the kind. Each round is one aggregation over the entities and a written table."""
-    real = entities.select("kind", F.when(F.col("kind") == "phone", F.regexp_extract("normal", r"([0-9]*)$", 1)).otherwise(F.col("normal")).alias("new"))
+    and from every entity of the kind. Each round is one aggregation over the entities and a written table."""
+    # entities in the form of replacements: phones as digits, persons without gender
+    plain = F.when(F.col("kind") == "phone", F.regexp_extract("normal", r"([0-9]*)$", 1)).when(F.col("kind") == "person", F.regexp_replace("normal", "^[fmx]:", "")).otherwise(F.col("normal"))
+    real = entities.select("kind", plain.alias("plain"))
     todo = entities.withColumn("attempt", F.lit(0))
     done = None
     for _ in range(MAX_ATTEMPTS):
         tried = stored(todo.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), "surrogates")
-        taken = real if done is None else real.unionByName(done.select("kind", "new"))
-        first = tried.groupBy("kind", "new").agg(F.min("normal").alias("normal")).join(taken, ["kind", "new"], "left_anti")
+        form = F.when(F.col("kind") == "person", F.lower("new")).otherwise(F.col("new")).alias("plain")
+        taken = real if done is None else real.unionByName(done.select("kind", form))
+        first = tried.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("*", form).join(taken, ["kind", "plain"], "left_anti")
         won = stored(first.select("kind", "normal", "new"), "chosen")
         done = won if done is None else done.unionByName(won)
         todo = tried.join(won, ["kind", "normal"], "left_anti").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
@@ -187,8 +194,16 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col
     mention = found.select("__op_a", "__op_b", F.posexplode("m").alias("i", "mention")).withColumn("kind", _kind(F.col("mention")))
     mention = stored(mention.withColumn("normal", normal_form(F.col("kind"), F.col("mention"))), "mentions")
     new = distinct_surrogates(mention.select("kind", "normal").distinct(), key)
-    put = mention.join(new, ["kind", "normal"]).select("__op_a", "__op_b", "i", "kind", rendered(F.col("kind"), F.col("mention"), F.col("new")).alias("new"))
-    lists = put.groupBy("__op_a", "__op_b").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "new"))).alias("__op_new"))
+    put = mention.join(new, ["kind", "normal"]).select("__op_a", "__op_b", "i", "kind", rendered(F.col("kind"), F.col("mention"), F.col("new")).alias("new"),
+        F.when(F.col("kind") == "person", F.regexp_extract("normal", r"([^ :]+)$", 1)).alias("surname"), F.col("normal").contains(" ").alias("whole"),
+        F.regexp_extract("new", r"[^ ]+$", 0).alias("family"), F.regexp_extract("mention", rf"^((?:{_TITLES})\.? )", 1).alias("title"))
+    lists = put.groupBy("__op_a", "__op_b").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "new", "surname", "whole", "family", "title"))).alias("all"))
+
+    def agreed(n):
+        of = F.get(F.filter("all", lambda w: w["whole"] & (w["surname"] == n["surname"])), F.lit(0))
+        return F.struct(n["kind"].alias("kind"), F.when(n["surname"].isNotNull() & ~n["whole"], F.coalesce(F.concat(n["title"], of["family"]), n["new"])).otherwise(n["new"]).alias("new"))
+
+    lists = lists.select("__op_a", "__op_b", F.transform("all", agreed).alias("__op_new"))
     gaps = F.split(text, ENTITY, -1)
     fresh = F.array_join(F.flatten(F.zip_with(gaps, F.col("__op_new"), lambda g, n: F.array(g, F.coalesce(n["new"], F.lit(""))))), "")
     columns = lambda t, n, k: [t.alias(c) if c == text_col else F.col(c) for c in docs.columns] + [n.cast("long").alias(count_col)] + ([k.alias(kinds_col)] if kinds_col else [])

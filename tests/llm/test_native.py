@@ -177,6 +177,26 @@ def test_phones_of_every_layout_are_replaced(spark):
     assert not {re.sub("[^0-9]", "", r.text) for r in got.values()} & {re.sub("[^0-9]", "", t) for t in texts}
 
 
+def test_names_do_not_run_out_and_are_no_real_ones(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_ATTEMPTS", 8)
+    chosen = lambda normals: {r.normal: r.new for r in P.distinct_surrogates(spark.createDataFrame([("person", x) for x in normals], "kind string, normal string"), "k").collect()}
+    # more surnames than two syllables and an ending make in Cyrillic
+    many = chosen([f"x:{a}{b}{c}" for a in "бвгджзклмн" for b in "аеиоуыэюя" for c in "бвгджзклмн"])
+    assert len(set(many.values())) == len(many) == 900
+    first = chosen(["m:john smith", "x:smith"])
+    real = chosen([*first, "m:" + first["m:john smith"].lower(), "x:" + first["x:smith"].lower()])
+    assert not {x.lower() for x in real.values()} & {x[2:] for x in real}
+
+
+def test_surnames_agree_within_a_document(spark):
+    rows = [(1, "Mr John Smith met Mr Smith, Dr. Smith and Ms Jones."), (2, "Mr Smith and Dr Smith left.")]
+    by = {r.doc_id: r.text for r in P.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+), Dr\. (\w+) and Ms (\w+)\.", by[1])
+    assert one[2] == one[3] == one[4] != one[5] and "Smith" not in by[1] + by[2]
+    two = re.fullmatch(r"Mr (\w+) and Dr (\w+) left\.", by[2])
+    assert two[1] == two[2]
+
+
 # ---- vectors
 
 def brute_vectors(rows):
