@@ -92,3 +92,21 @@ SURROGATE_KEY = "corpus"
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barspark.llm.pii import surrogate_report
     return surrogate_report(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+@query("op12_merkle_manifest", oracles.manifest())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.manifest import manifest_report
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", oracles.vector_codes())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.lloyd import codes_report
+    return codes_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barspark.llm.rules import rules_report
+    return rules_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

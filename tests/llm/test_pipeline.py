@@ -30,7 +30,7 @@ def test_stages_in_order(spark):
 
 def test_run_and_registration(spark):
     import __spark_entry__ as entry
-    assert {k.split("_")[0] for k in entry.queries() if k.startswith("op")} >= {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert {k.split("_")[0] for k in entry.queries() if k.startswith("op")} >= {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     empty = spark.read.parquet(f"{SF0001}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         empty = stage(spark, empty, SF0001)
