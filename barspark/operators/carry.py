@@ -45,3 +45,15 @@ def product_after(blocked: DataFrame, key: str, factor: Column, name: str) -> Da
     within = Window.partitionBy(key, "_blk").orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)
     out = _per_block(own, ends, key)
     return out.withColumn(name, F.coalesce(F.product("_f").over(within), F.lit(1.0)) * F.coalesce("_later", F.lit(1.0))).drop("_f", "_later")
+
+
+def sums_upto(blocked: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
+    """Add each of ``values`` under its name: its sum over the key's rows up to and including this one (NULL counts as 0)."""
+    names = list(values)
+    own = blocked.withColumns({f"_v{i}": F.coalesce(values[n], F.lit(0)) for i, n in enumerate(names)})
+    earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy(key, "_blk").agg(*[F.sum(f"_v{i}").alias(f"_e{i}") for i in range(len(names))])
+    ends = ends.select(F.col(key).alias("_ck"), F.col("_blk").alias("_cb"), *[F.sum(f"_e{i}").over(earlier).alias(f"_c{i}") for i in range(len(names))])
+    within = Window.partitionBy(key, "_blk").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    out = _per_block(own, ends, key).withColumns({n: F.sum(f"_v{i}").over(within) + F.coalesce(f"_c{i}", F.lit(0)) for i, n in enumerate(names)})
+    return out.drop(*[f"_{x}{i}" for x in "vc" for i in range(len(names))])

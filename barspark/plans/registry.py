@@ -30,4 +30,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from barspark.plans import q_clean, q_files, q_indicators, q_layouts, q_ml, q_quality, q_relational, q_timeseries  # noqa: F401
+    from barspark.plans import q_clean, q_files, q_indicators, q_layouts, q_learning, q_ml, q_quality, q_relational, q_timeseries  # noqa: F401

@@ -14,6 +14,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from barspark.operators.scores import add_states, states
 from barspark.schema import BAR_SCHEMA
 from barspark.sources.files import check_files
 from barspark.sources.readers import load
@@ -23,10 +24,11 @@ FORMATS = ("txt", "csv", "json", "parquet")
 
 
 def ingest_files(spark: SparkSession, src: str, table_path: str, checkpoint: str, fmt: str = "csv",
-                 batch_size: int = 100, log_path: str | None = None) -> int:
+                 batch_size: int = 100, log_path: str | None = None, states_path: str | None = None) -> int:
     """Ingest every file not yet taken from ``src``; returns the number of files loaded.
 
-    Files that fail the header check are skipped and named in the log with the reason.
+    Files that fail the header check are skipped and named in the log with the reason. With ``states_path`` each
+    loaded file also leaves its quality state there (see ``operators.scores``), for scores that need no second reading of the table.
     """
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported stream format: {fmt}")
@@ -44,6 +46,8 @@ def ingest_files(spark: SparkSession, src: str, table_path: str, checkpoint: str
         seen = Observation()
         (bars.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
          .parquet(f"{table_path.rstrip('/')}/epoch={epoch}"))
+        if states_path and good:
+            add_states(states(load(spark, good, fmt, with_source=True), "_source"), states_path, epoch)
         total += len(good)
         if log_path:
             row = [(int(epoch), len(taken), len(good), len(bad), [f"{p}: {e}" for p, e in sorted(bad.items())],
