@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.functions.columns import file_stem, stooq_timestamp
+from barspark.functions.columns import file_stem, numeric, stooq_timestamp
 from barspark.operators import clean as cl
 from barspark.operators import profile as pf
+from barspark.schema import ANALYSIS_REQUIRED
+from barspark.session import written
 from barspark.sources import files as fl
+from barspark.sources.headers import grouped, header_names, plain_path, separator
+from barspark.sources.listing import inspected
 from barspark.sources.readers import read_csv, read_stooq_raw
 
 
@@ -19,24 +23,24 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     Returns ``files`` (per-file profile with size), ``issues`` (invalid / future dates,
     no valid rows, files failing the header check), ``skipped`` (zero-byte and
     header-only files), ``summary`` (one row) and ``size_classes`` (files per class). ``source_key`` maps the file path column to the report key
-    (default: the path itself). A file needs the columns ``<DATE>``, ``<TIME>`` and ``<CLOSE>``. The tables
-    are separate plans, each of which scans the files it needs.
+    (default: the path itself, without ``file:``). A file needs the columns ``<DATE>``, ``<TIME>`` and ``<CLOSE>``; files without them are
+    not read. The tables are separate plans over the files.
     """
     key = source_key or (lambda c: c)
-    listing = fl.list_files(spark, root, "*.txt").withColumn("source", key(F.col("path")))
-    verdict = fl.analysis_verdict(spark, root, "*.txt").withColumn("source", key(F.col("path")))
-    raw = read_stooq_raw(spark, root, with_source=True, recursive=True, glob="*.txt") \
-        .withColumn("source", key(F.col("_source")))
+    # one look at the folder, kept as a small table: every figure below starts from it
+    seen = fl.needs_columns(inspected(spark, root, "*.txt"), ANALYSIS_REQUIRED)
+    seen = written(seen.select("path", "length", "valid", "error", separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names")), "inspected")
+    listing = seen.withColumn("source", key(fl._plain(F.col("path"))))
+    verdict = listing
+    found = grouped((r["path"], r["sep"], r["names"]) for r in seen.where("valid").select("path", "sep", "names").toLocalIterator())
+    raw = read_stooq_raw(spark, root, with_source=True, layouts=found).withColumn("source", key(fl._plain(plain_path(F.col("_source")))))
     bars = raw.select("source", stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"),
-                      F.col("`<CLOSE>`").alias("_close_text"))
-    from barspark.functions.columns import numeric
-    bars = bars.withColumn("close", numeric(F.col("_close_text"))).drop("_close_text")
+                      numeric(F.col("`<CLOSE>`")).alias("close"))
     good = verdict.filter(F.col("valid")).select("source")
-    bars = bars.join(good, "source", "left_semi")
     sizes = listing.select("source", F.col("length").alias("file_size"))
     files = (pf.file_quality(bars, "source", as_of=as_of, sizes=sizes)
              .withColumn("ticker", file_stem(F.col("source"))))
-    issues = (pf.feed_issues(raw.join(good, "source", "left_semi"), "source", as_of)
+    issues = (pf.feed_issues(raw, "source", as_of)
               .unionByName(verdict.filter(~F.col("valid") & (F.col("error") != "File is empty"))
                            .select("source", F.lit("invalid_file").alias("kind"), "error")))
     empty = verdict.filter(F.col("error") == "File is empty").select(
@@ -62,14 +66,16 @@ def timestamp_report(spark: SparkSession, root: str, stooq: bool = True, as_of:
     """
     pattern = pattern or ("*.txt" if stooq else "*.csv")
     need = ["<DATE>", "<TIME>"] if stooq else ["timestamp"]
-    verdict = fl.columns_verdict(spark, root, pattern, need, "Empty file").orderBy("path").collect()
+    seen = fl.needs_columns(inspected(spark, root, pattern), need, "Empty file")
+    verdict = seen.select("path", "valid", "error", separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names")).orderBy("path").collect()
     good = [r["path"] for r in verdict if r["valid"]]
+    found = grouped((r["path"], r["sep"], r["names"]) for r in verdict if r["valid"])
     errors = spark.createDataFrame([(r["path"], r["error"]) for r in verdict if not r["valid"]], "path string, error string")
     if stooq:
-        raw = read_stooq_raw(spark, good, with_source=True) if good else spark.createDataFrame([], "`<DATE>` string, `<TIME>` string, _source string")
+        raw = read_stooq_raw(spark, good, with_source=True, layouts=found) if good else spark.createDataFrame([], "`<DATE>` string, `<TIME>` string, _source string")
         rows = raw.select(F.col("_source").alias("source"), stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"))
     else:
-        rows = (read_csv(spark, good, with_source=True) if good else spark.createDataFrame([], "_source string, timestamp timestamp_ntz")).select(F.col("_source").alias("source"), "timestamp")
+        rows = (read_csv(spark, good, with_source=True, layouts=found) if good else spark.createDataFrame([], "_source string, timestamp timestamp_ntz")).select(F.col("_source").alias("source"), "timestamp")
     # the id grows with a row's place in its file: the splits of a scan are numbered in file order
     figures = pf.timestamp_figures(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], as_of)
     summary = figures.agg(F.count(F.lit(1)).alias("with_rows"), F.min("first_timestamp").alias("earliest_date"), F.max("last_timestamp").alias("latest_date"))
@@ -82,10 +88,11 @@ def clean_folder(spark: SparkSession, root: str, out: str, mode: str = "v2", as_
                  partition_key=None) -> DataFrame:
     """Clean every Stooq file under ``root`` in one job (V6) and write them partitioned by file.
 
-    ``partition_key`` maps the source path to the output folder value (default: base name
-    up to the first dot). Files with no row left produce no output, as with one file.
+    ``partition_key`` maps the source path to the output folder value (default: the path below ``root``, so equal names in
+    two folders stay apart). Files with no row left produce no output, as with one file.
     """
-    key = partition_key or file_stem
+    top = fl._plain(F.lit(root.rstrip("/") + "/"))
+    key = partition_key or (lambda c: F.regexp_replace(fl._plain(plain_path(c)), F.concat(F.lit("^\\Q"), top, F.lit("\\E")), F.lit("")))
     raw = read_stooq_raw(spark, root, with_source=True, recursive=True, glob="*.txt")
     cleaned = cl.clean_stooq(raw, mode, as_of).withColumn("source_file", key(F.col("_source"))).drop("_source")
     cleaned.write.mode("overwrite").partitionBy("source_file").option("header", True).csv(out)

@@ -74,3 +74,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/barspark-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """``df`` as a table under the scratch folder, for small tables that several plans start from."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

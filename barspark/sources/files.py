@@ -1,8 +1,7 @@
 """File listings, headers and validation.
 
-Listings use the ``binaryFile`` source without its ``content`` column, so only file
-metadata is read. Headers are the first line of each file, taken from the split that
-starts at byte 0 of the file.
+One listing by tasks gives names, sizes and times (``listing.files_below``); headers are the first line of each text file, read from its start
+in the same job.
 """
 
 from __future__ import annotations
@@ -13,70 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.functions.columns import file_extension
-from barspark.schema import ANALYSIS_REQUIRED, EXTENSION_FORMATS, STOOQ_REQUIRED
-from barspark.sources.headers import BOM, first_lines, header_names
-
-
-def _hidden(name: str) -> bool:
-    """Spark's rule for names its file sources skip (markers, temporary files)."""
-    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
-
-
-def _walk(spark: SparkSession, root: str):
-    """``(path, size, mtime, path below root)`` of every file under ``root``: through pyarrow where it knows the
-    store, else through the Hadoop file system that Spark itself uses."""
-    import datetime as dt
-
-    import pyarrow as pa
-    from pyarrow import fs as pafs
-
-    from barspark.sources.arrow_ipc import _fs, _uri
-    try:
-        filesystem, base = _fs(root)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # no driver for this store
-        at = spark._jvm.org.apache.hadoop.fs.Path(root)
-        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        top = store.getFileStatus(at).getPath().toString()
-        found = store.listFiles(at, True)
-        while found.hasNext():
-            f = found.next()
-            path = f.getPath().toString()
-            yield path, f.getLen(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000), path[len(top):]
-        return
-    if filesystem.get_file_info(base).type == pafs.FileType.File:
-        return
-    for info in filesystem.get_file_info(pafs.FileSelector(base, recursive=True)):
-        if info.type == pafs.FileType.File:
-            path = _uri(root, info.path)
-            yield ("file:" + path if "://" not in path else path), info.size, info.mtime, info.path[len(base):]
-
-
-def empty_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Zero-byte files under ``root`` (Spark's file scans skip them), from a metadata listing.
-
-    Only their names are kept. A listing that fails is an error.
-    """
-    import fnmatch
-    rows = []
-    for path, size, mtime, below in _walk(spark, root):
-        parts = below.strip("/").split("/")
-        if size == 0 and not any(_hidden(part) for part in parts) and (pattern is None or fnmatch.fnmatch(parts[-1], pattern)):
-            rows.append((path, 0, mtime))
-    return spark.createDataFrame(rows, "path string, length long, modification_time timestamp")
+from barspark.schema import EXTENSION_FORMATS, STOOQ_REQUIRED
+from barspark.sources.headers import BOM, first_lines, header_names, opens_array, separator
+from barspark.sources.listing import files_below, inspected, name_pattern
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """``path, length, modification_time, extension, format`` of every file under ``root``.
+    """``path, length, modification_time, extension, format`` of every file under ``root`` (S10), zero-byte files too.
 
-    The ``binaryFile`` source lists non-empty files without reading their content;
-    zero-byte files come from :func:`empty_files`. Files with an unknown extension get
-    a NULL ``format``; filter on it to keep supported files only.
+    Files with an unknown extension get a NULL ``format``; filter on it to keep supported files only.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = files_below(spark, root)
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = (reader.load(root).select("path", "length", F.col("modificationTime").alias("modification_time"))
-             .unionByName(empty_files(spark, root, pattern)))
+        files = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(f"^(?s:{name_pattern(pattern)})$"))
     fmt = F.create_map(*[x for k, v in EXTENSION_FORMATS.items() for x in (F.lit(k), F.lit(v))])
     return (files.withColumn("extension", file_extension(F.col("path")))
             .withColumn("format", F.element_at(fmt, F.col("extension"))))
@@ -97,9 +45,9 @@ def discover_stooq_files(spark: SparkSession, root: str, pattern: str = "*.txt",
     the absent ones). ``rule="ticker"``: the simpler test that ``<TICKER>`` appears in the
     first line.
     """
-    files = list_files(spark, root, pattern).filter(F.col("length") > 0)
-    heads = first_lines(spark, [root], recursive=True, glob=pattern).select(_plain(F.col("path")).alias("_p"), "header")
-    found = files.withColumn("_p", _plain(F.col("path"))).join(heads, "_p", "left").drop("_p").withColumn(
+    fmt = F.create_map(*[x for k, v in EXTENSION_FORMATS.items() for x in (F.lit(k), F.lit(v))])
+    found = inspected(spark, root, pattern).where("length > 0").withColumn("format", F.element_at(fmt, F.col("extension")))
+    found = found.select("path", "length", "modification_time", "extension", "format", "header").withColumn(
         "missing", missing_names(header_names(F.coalesce("header", F.lit(""))), STOOQ_REQUIRED))
     if rule == "ticker":
         return found.withColumn("is_stooq", F.coalesce(F.col("header").contains("<TICKER>"), F.lit(False)))
@@ -120,12 +68,14 @@ def validate_files(spark: SparkSession, candidates: DataFrame, root: str) -> Dat
     matching the format, required header names absent (txt: the Stooq names;
     csv: ``ticker, timestamp, close``; json lines: the keys of the first record).
     """
-    from barspark.sources.readers import required_columns
-    listing = list_files(spark, root).select(_plain(F.col("path")).alias("_p"), "length", "extension")
-    # only text files have a line to look at
-    heads = first_lines(spark, [root], recursive=True, glob="*.{txt,csv,json}").select(_plain(F.col("path")).alias("_p"), "header")
+    files = inspected(spark, root).select(_plain(F.col("path")).alias("_p"), "length", "extension", "header")
     cand = candidates.select(F.col("path"), F.col("format"), _plain(F.col("path")).alias("_p"))
-    joined = cand.join(listing, "_p", "left").join(heads, "_p", "left").join(_array_keys(spark, root), "_p", "left")
+    return verdicts(cand.join(files, "_p", "left").join(_array_keys(spark, root), "_p", "left")).select("path", "format", "valid", "error")
+
+
+def verdicts(files: DataFrame) -> DataFrame:
+    """``files`` (``format``, the declared one, and ``length, extension, header, keys`` as found) with ``error`` and ``valid``."""
+    from barspark.sources.readers import required_columns
     fmt_ext = F.create_map(*[x for k, v in EXTENSION_FORMATS.items() for x in (F.lit(k), F.lit(v))])
     head = F.coalesce(F.trim(F.regexp_replace("header", "^" + BOM, "")), F.lit(""))
     # the keys of the first record; text that is no JSON object has none
@@ -142,15 +92,26 @@ def validate_files(spark: SparkSession, candidates: DataFrame, root: str) -> Dat
                                    F.col("extension"), F.col("format")))
              .when((F.col("format") == "json") & names.isNull(), F.lit("Invalid JSON"))
              .when(F.size(miss) > 0, F.concat(F.lit("Missing required columns: "), F.array_join(miss, ", "))))
-    return joined.select("path", "format", error.isNull().alias("valid"), error.alias("error"))
+    return files.withColumn("error", error).withColumn("valid", F.col("error").isNull())
+
+
+def checked(spark: SparkSession, root: str, fmt: str, pattern: str | None = None) -> DataFrame:
+    """``path, valid, error, sep, names, array`` of the files under ``root`` that match ``pattern``, all declared to be ``fmt``: one listing
+    and one look at each header give the verdict and the layout to read by."""
+    files = inspected(spark, root, pattern).withColumn("format", F.lit(fmt))
+    if fmt == "json":
+        files = files.withColumn("_p", _plain(F.col("path"))).join(_array_keys(spark, root), "_p", "left")
+    else:
+        files = files.withColumn("keys", F.lit(None).cast("array<string>"))
+    head = F.col("header")
+    return verdicts(files).select("path", "valid", "error", separator(head).alias("sep"), header_names(head).alias("names"), opens_array(head).alias("array"))
 
 
 def _array_keys(spark: SparkSession, root: str) -> DataFrame:
     """``_p, keys``: the required names that records of each JSON array file hold; NULL keys where the text is no JSON."""
-    from barspark.sources.headers import json_shapes
     from barspark.sources.readers import required_columns
     need = required_columns("json")
-    files = json_shapes(spark, [root], recursive=True, glob="*.json").get(True) if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path").limit(1).count() else None
+    files = [r["path"] for r in inspected(spark, root, "*.json").where(opens_array(F.col("header"))).select("path").toLocalIterator()]
     if not files:
         return spark.createDataFrame([], "_p string, keys array<string>")
     rows = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(
@@ -164,36 +125,39 @@ def _array_keys(spark: SparkSession, root: str) -> DataFrame:
 
 def columns_verdict(spark: SparkSession, root: str, pattern: str, need: Sequence[str], empty: str = "File is empty") -> DataFrame:
     """``path, valid, error`` of the files that match ``pattern``: empty ones and those without the ``need`` columns."""
-    listing = list_files(spark, root, pattern).select("path", "length", _plain(F.col("path")).alias("_p"))
-    heads = first_lines(spark, [root], recursive=True, glob=pattern).select(_plain(F.col("path")).alias("_p"), "header")
+    return needs_columns(inspected(spark, root, pattern), need, empty).select("path", "valid", "error")
+
+
+def needs_columns(files: DataFrame, need: Sequence[str], empty: str = "File is empty") -> DataFrame:
+    """Inspected files with ``valid, error``: against empty ones and those without the ``need`` columns."""
     miss = missing_names(header_names(F.coalesce("header", F.lit(""))), need)
     error = (F.when(F.col("length") == 0, F.lit(empty))
              .when(F.size(miss) > 0, F.concat(F.lit("Missing columns: "), F.array_join(miss, ", "))))
-    return listing.join(heads, "_p", "left").select("path", error.isNull().alias("valid"), error.alias("error"))
+    return files.withColumn("error", error).withColumn("valid", F.col("error").isNull())
 
 
-def analysis_verdict(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """:func:`columns_verdict` for the quality analysis (A12), which needs fewer columns than loading."""
-    return columns_verdict(spark, root, pattern, ANALYSIS_REQUIRED)
-
-
-def check_files(spark: SparkSession, paths: Sequence[str], fmt: str) -> dict[str, str]:
-    """Reasons against the files of a batch that do not carry the required names, by path (V1 for known paths)."""
-    from barspark.sources.readers import required_columns
+def check_files(spark: SparkSession, paths: Sequence[str], fmt: str) -> tuple[dict[str, str], dict]:
+    """Known files of a batch (V1): reasons against those that do not carry the required names, by path, and what to
+    pass to ``readers.load`` for the others, so that it need not look at them again."""
+    from barspark.sources.readers import known_files, required_columns
     need = required_columns(fmt)
     if not need or not paths:
-        return {}
-    head = F.trim(F.regexp_replace("header", "^" + BOM, ""))
-    names = F.when(head.startswith("["), F.array(*[F.lit(c) for c in need])).otherwise(F.json_object_keys(head)) if fmt == "json" else header_names(head)
-    rows = first_lines(spark, paths).select(_plain(F.col("path")).alias("p"), names.alias("names")).collect()
-    found = {r["p"]: r["names"] for r in rows}
-    bad = {}
+        return {}, {}
+    head = F.col("header")
+    first = F.trim(F.regexp_replace(head, "^" + BOM, ""))
+    keys = F.when(first.startswith("["), F.array(*[F.lit(c) for c in need])).otherwise(F.json_object_keys(first)) if fmt == "json" else header_names(first)
+    rows = first_lines(spark, paths).select("path", keys.alias("keys"), separator(head).alias("sep"), header_names(head).alias("names"), opens_array(head).alias("array")).collect()
+    plain = lambda path: path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
+    found = {plain(r["path"]): r for r in rows}
+    bad, good = {}, []
     for path in paths:
-        p = path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
-        if p not in found:
+        r = found.get(plain(path))
+        if r is None:
             bad[path] = "File is empty"
-        elif found[p] is None:
+        elif r["keys"] is None:
             bad[path] = "Invalid JSON"
-        elif missing := [c for c in need if c not in found[p]]:
+        elif missing := [c for c in need if c not in r["keys"]]:
             bad[path] = "Missing required columns: " + ", ".join(missing)
-    return bad
+        else:
+            good.append(r)
+    return bad, known_files(fmt, good)

@@ -7,14 +7,14 @@ layouts is k scans over disjoint files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BOM = "﻿"
+from barspark.sources.listing import BOM, known_store, with_headers
 
 
 class Layout(NamedTuple):
@@ -40,11 +40,22 @@ def plain_path(file_path: Column) -> Column:
 
 
 def first_lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """``path, header``: the first line of each file that is not blank, whatever its length.
+    """``path, header``: the first line of each file that is not blank, whatever its length; files without one have no row.
 
-    Lines come from Spark's text source, so any store that Spark reads will do. Only a file's first
-    split counts. It lies in one task, which meets its lines in order, so ``first`` is well defined.
+    Tasks read the start of each file only (``listing.with_headers``), in any store that pyarrow opens.
     """
+    paths = list(paths)
+    one_a_store = {p.split("://", 1)[0] if "://" in p else "": p for p in paths}
+    if not all(known_store(p) for p in one_a_store.values()):
+        return text_first_lines(spark, paths, recursive, glob)
+    # the listing alone: without its content column this source opens no file
+    r = reader(spark, recursive, glob).format("binaryFile")
+    return with_headers(r.load(paths).select("path"), F.lit(True)).where(F.col("header").isNotNull())
+
+
+def text_first_lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """The same from Spark's text source, for stores that pyarrow does not know. It reads whole files; a file's first split, which
+    lies in one task, meets its lines in order, so ``first`` is well defined."""
     lines = reader(spark, recursive, glob).text(list(paths)).select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value"))
     return (lines.where((F.col("at") == 0) & (F.trim(F.regexp_replace("value", BOM, "")) != ""))
@@ -61,29 +72,39 @@ def header_names(header: Column) -> Column:
     return F.transform(F.split(h, separator(h)), lambda x: F.trim(F.regexp_replace(x, '"', "")))
 
 
+def grouped(found: Iterable[tuple[str, str, Sequence[str]]]) -> list[Layout]:
+    """Layouts of files given by path, separator and names."""
+    by: dict[tuple, list[str]] = {}
+    for path, sep, names in found:
+        by.setdefault((sep, tuple(names)), []).append(path)
+    return [Layout(sep, list(names), sorted(paths)) for (sep, names), paths in sorted(by.items())]
+
+
 def layouts(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> list[Layout]:
     """The layouts found; the driver holds the paths, as Spark's own file index does."""
-    found = (first_lines(spark, paths, recursive, glob)
-             .groupBy(separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names"))
-             .agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("sep", "names").collect())
-    return [Layout(r["sep"], list(r["names"]), list(r["paths"])) for r in found]
+    head = F.col("header")
+    found = first_lines(spark, paths, recursive, glob).select("path", separator(head).alias("sep"), header_names(head).alias("names"))
+    return grouped((r["path"], r["sep"], r["names"]) for r in found.toLocalIterator())
 
 
 def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[DataFrame, dict[str, str]], DataFrame],
-                 recursive: bool = False, glob: str | None = None, trim: bool = False) -> DataFrame | None:
+                 recursive: bool = False, glob: str | None = None, trim: bool = False, found: list[Layout] | None = None) -> DataFrame | None:
     """Rows of all files, by name. ``select(frame, columns)`` gets the rows of one layout and the column that
-    holds each header name (the first, if a name occurs twice), and returns the common columns."""
-    found = layouts(spark, paths, recursive, glob)
+    holds each header name (the first, if a name occurs twice), and returns the common columns. ``found``: the files' layouts, if
+    known already; then exactly their paths are read."""
+    known = found is not None
+    found = found if known else layouts(spark, paths, recursive, glob)
     out = None
     for k in found:
         columns = {n: f"_c{i}" for i, n in reversed(list(enumerate(k.names)))}
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.names))])
         # one layout: the folder itself; several: exactly their files
-        r = reader(spark, recursive, glob) if len(found) == 1 else spark.read
+        whole = len(found) == 1 and not known
+        r = reader(spark, recursive, glob) if whole else spark.read
         r = r.option("header", True).option("sep", k.sep).option("mode", "PERMISSIVE").option("enforceSchema", True)
         if trim:
             r = r.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-        part = select(r.schema(schema).csv(list(paths) if len(found) == 1 else k.paths), columns)
+        part = select(r.schema(schema).csv(list(paths) if whole else k.paths), columns)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -91,5 +112,11 @@ def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[Da
 def json_shapes(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> dict[bool, list[str]]:
     """Paths by whether the file's first character that is not blank opens an array."""
     heads = first_lines(spark, paths, recursive, glob)
-    array = F.ltrim(F.regexp_replace("header", "^" + BOM, "")).startswith("[")
-    return {r["array"]: list(r["paths"]) for r in heads.groupBy(array.alias("array")).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}
+    out: dict[bool, list[str]] = {}
+    for r in heads.select("path", opens_array(F.col("header")).alias("array")).orderBy("path").toLocalIterator():
+        out.setdefault(r["array"], []).append(r["path"])
+    return out
+
+
+def opens_array(header: Column) -> Column:
+    return F.ltrim(F.regexp_replace(header, "^" + BOM, "")).startswith("[")

@@ -18,7 +18,7 @@ from barspark.functions.columns import file_stem
 from barspark.operators.standardize import clean_header_name, conform_schema, standardize_stooq
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
 from barspark.session import configure
-from barspark.sources.headers import json_shapes, read_layouts, reader
+from barspark.sources.headers import Layout, grouped, json_shapes, read_layouts, reader
 
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -47,8 +47,20 @@ def _empty(spark: SparkSession, columns: list[str]) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
+def known_files(fmt: str, rows) -> dict:
+    """What ``load`` needs to know of files, from rows with ``path, sep, names, array``."""
+    if fmt in ("csv", "txt"):
+        return {"layouts": grouped((r["path"], r["sep"], r["names"]) for r in rows)}
+    if fmt == "json":
+        shapes: dict[bool, list[str]] = {}
+        for r in rows:
+            shapes.setdefault(r["array"], []).append(r["path"])
+        return {"shapes": shapes}
+    return {}
+
+
 def read_csv(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
-             glob: str | None = None) -> DataFrame:
+             glob: str | None = None, layouts: list[Layout] | None = None) -> DataFrame:
     """Bar CSV (S2), comma or tab: columns are taken by each file's own header, then conformed.
 
     Columns that a file lacks are NULL, those that bars do not have are dropped.
@@ -60,28 +72,30 @@ def read_csv(spark: SparkSession, paths, with_source: bool = False, recursive: b
         df = _with_source(df, with_source)
         return df.select(*[(F.col(columns[c]) if c in columns else F.lit(None).cast("string")).alias(c) for c in BAR_COLUMNS], *keep)
 
-    raw = read_layouts(spark, _paths(paths), select, recursive, glob)
+    raw = read_layouts(spark, _paths(paths), select, recursive, glob, found=layouts)
     raw = _empty(spark, BAR_COLUMNS + keep) if raw is None else raw
     return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")), keep=keep)
 
 
 def read_json(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
-              glob: str | None = None) -> DataFrame:
+              glob: str | None = None, shapes: dict[bool, list[str]] | None = None) -> DataFrame:
     """Bar JSON (S3): one record per line, or one array of records. Each file's first character decides."""
     configure(spark)
     ps, keep = _paths(paths), ["_source"] if with_source else []
-    shapes = json_shapes(spark, ps, recursive, glob)
+    known = shapes is not None
+    shapes = shapes if known else json_shapes(spark, ps, recursive, glob)
     raw = None
     for array, files in sorted(shapes.items()):
-        r = reader(spark, recursive, glob) if len(shapes) == 1 else spark.read
-        part = _with_source(r.option("multiLine", array).schema(STRING_BARS).json(ps if len(shapes) == 1 else files), with_source)
+        whole = len(shapes) == 1 and not known
+        r = reader(spark, recursive, glob) if whole else spark.read
+        part = _with_source(r.option("multiLine", array).schema(STRING_BARS).json(ps if whole else files), with_source)
         raw = part if raw is None else raw.unionByName(part)
     raw = _empty(spark, BAR_COLUMNS + keep) if raw is None else raw
     return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")), keep=keep)
 
 
 def read_stooq_raw(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
-                   glob: str | None = None) -> DataFrame:
+                   glob: str | None = None, layouts: list[Layout] | None = None) -> DataFrame:
     """Stooq text as the ten all-string Stooq columns, by each file's own header and separator.
 
     Header names match loosely (BOM, blanks, angle brackets and case do not count); columns that
@@ -96,19 +110,19 @@ def read_stooq_raw(spark: SparkSession, paths, with_source: bool = False, recurs
         df = _with_source(df, with_source)
         return df.select(*[(F.col(loose[c.strip("<>")]) if c.strip("<>") in loose else F.lit(None).cast("string")).alias(c) for c in STOOQ_COLUMNS], *keep)
 
-    raw = read_layouts(spark, _paths(paths), select, recursive, glob, trim=True)
+    raw = read_layouts(spark, _paths(paths), select, recursive, glob, trim=True, found=layouts)
     return _empty(spark, STOOQ_COLUMNS + keep) if raw is None else raw
 
 
 def read_stooq(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
-               glob: str | None = None, ticker_from_file: bool = False) -> DataFrame:
+               glob: str | None = None, ticker_from_file: bool = False, layouts: list[Layout] | None = None) -> DataFrame:
     """Stooq text → standard bars (S4 + T1).
 
     ``ticker_from_file`` fills a missing ``<TICKER>`` with the file's base name up to the
     first dot (T6), as files named ``aapl.us.txt`` carry their ticker in the name.
     """
     configure(spark)
-    raw = read_stooq_raw(spark, paths, with_source or ticker_from_file, recursive, glob)
+    raw = read_stooq_raw(spark, paths, with_source or ticker_from_file, recursive, glob, layouts)
     bars = standardize_stooq(raw, keep=["_source"] if (with_source or ticker_from_file) else None)
     if ticker_from_file:
         bars = bars.withColumn("ticker", F.coalesce(F.col("ticker"), file_stem(F.col("_source"))))
@@ -146,16 +160,19 @@ def read_table(spark: SparkSession, name: str, preview: bool = False) -> DataFra
 
 
 def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool = False,
-         recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Read any supported format into bars (S1); ``fmt`` defaults to the first path's extension."""
+         recursive: bool = False, glob: str | None = None, **known) -> DataFrame:
+    """Read any supported format into bars (S1); ``fmt`` defaults to the first path's extension.
+
+    ``known``: what ``known_files`` says of exactly these files, if they were looked at before.
+    """
     ps = _paths(paths)
     fmt = fmt or detect_format(ps[0])
     if fmt == "csv":
-        return read_csv(spark, ps, with_source, recursive=recursive, glob=glob)
+        return read_csv(spark, ps, with_source, recursive=recursive, glob=glob, **known)
     if fmt in ("json", "json_array"):
-        return read_json(spark, ps, with_source, recursive=recursive, glob=glob)
+        return read_json(spark, ps, with_source, recursive=recursive, glob=glob, **known)
     if fmt == "txt":
-        return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob)
+        return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob, **known)
     if fmt in ("parquet", "polars", "pyarrow"):
         return read_parquet(spark, ps, with_source, recursive, glob)
     if fmt == "feather":
@@ -178,19 +195,18 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
                     pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Load every ``fmt`` file under ``root``, skipping files that fail validation.
 
-    Returns ``(bars, skipped)``; ``skipped`` lists ``path, error``. Only the good files are read; their
-    paths pass through the driver, as in Spark's own file index. ``strict`` raises on the first
-    bad file; no good file raises.
+    Returns ``(bars, skipped)``; ``skipped`` lists ``path, error``. One pass lists the files and reads the start of each, which
+    gives its verdict and its layout; then only the good files are read. Their paths pass through the driver, as in
+    Spark's own file index. ``strict`` raises on the first bad file; no good file raises.
     """
-    from barspark.sources.files import list_files, validate_files
+    from barspark.sources.files import checked
     ext = {"txt": "*.txt", "csv": "*.csv", "json": "*.json", "parquet": "*.parquet", "feather": "*.feather"}.get(fmt, "*")
-    listing = list_files(spark, root, pattern or ext).select("path", F.lit(fmt).alias("format"))
-    verdict = validate_files(spark, listing, root).orderBy("path").collect()
-    skipped = [(r["path"], r["error"]) for r in verdict if not r["valid"]]
+    rows = checked(spark, root, fmt, pattern or ext).orderBy("path").collect()
+    skipped = [(r["path"], r["error"]) for r in rows if not r["valid"]]
     if strict and skipped:
         raise ValueError(f"{skipped[0][0]}: {skipped[0][1]}")
-    good = [r["path"] for r in verdict if r["valid"]]
+    good = [r for r in rows if r["valid"]]
     if not good:
         raise ValueError("No valid files could be loaded")
-    bars = load(spark, good, fmt, with_source=True)
+    bars = load(spark, [r["path"] for r in good], fmt, with_source=True, **known_files(fmt, good))
     return bars, spark.createDataFrame(skipped, "path string, error string")

@@ -40,14 +40,14 @@ def ingest_files(spark: SparkSession, src: str, table_path: str, checkpoint: str
         nonlocal total
         t0 = time.time()
         taken = batch.select("path", "length").collect()  # at most batch_size names
-        bad = check_files(spark, [r["path"] for r in taken], fmt)
+        bad, known = check_files(spark, [r["path"] for r in taken], fmt)
         good = sorted(r["path"] for r in taken if r["path"] not in bad)
-        bars = load(spark, good, fmt) if good else spark.createDataFrame([], BAR_SCHEMA)
+        bars = load(spark, good, fmt, **known) if good else spark.createDataFrame([], BAR_SCHEMA)
         seen = Observation()
         (bars.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
          .parquet(f"{table_path.rstrip('/')}/epoch={epoch}"))
         if states_path and good:
-            add_states(states(load(spark, good, fmt, with_source=True), "_source"), states_path, epoch)
+            add_states(states(load(spark, good, fmt, with_source=True, **known), "_source"), states_path, epoch)
         total += len(good)
         if log_path:
             row = [(int(epoch), len(taken), len(good), len(bad), [f"{p}: {e}" for p, e in sorted(bad.items())],
