@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
 def get_spark(master: str | None = None, app: str = "barspark",
               shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings the library assumes.
@@ -44,6 +47,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Spark lists many folders by one task each, up to 10,000 of a few milliseconds; some tasks a core will do
+    if spark.conf.get(LISTING_TASKS, "10000") == "10000":
+        spark.conf.set(LISTING_TASKS, str(8 * spark.sparkContext.defaultParallelism))
     return spark
 
 

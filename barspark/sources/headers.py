@@ -7,7 +7,8 @@ layouts is k scans over disjoint files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,38 @@ def grouped(found: Iterable[tuple[str, str, Sequence[str]]]) -> list[Layout]:
     return [Layout(sep, list(names), sorted(paths)) for (sep, names), paths in sorted(by.items())]
 
 
+def by_folder(root: str, found: list[Layout], others: Iterable[str]) -> list[Layout]:
+    """The same layouts by as few paths as will do: a folder below ``root`` stands for its files if all known ones have the
+    layout. ``others``: known files that are not to be read. Spark's driver checks each path that it is given, so a
+    million of them would cost it an hour."""
+    bare = lambda path: re.sub("^file:(//)?", "", path).rstrip("/")
+    top = bare(root)
+    kinds: dict[str, int] = {}
+
+    def folders(path: str) -> Iterator[str]:
+        while len(bare(path)) > len(top) and "/" in path:
+            path = path.rsplit("/", 1)[0]
+            yield path
+
+    for k, paths in [*((k, layout.paths) for k, layout in enumerate(found)), (-1, others)]:
+        for path in paths:
+            for folder in folders(path):
+                if kinds.setdefault(folder, k) != k:
+                    kinds[folder] = -1
+    out = []
+    for k, layout in enumerate(found):
+        chosen = set()
+        for path in layout.paths:
+            best = path
+            for folder in folders(path):
+                if kinds[folder] != k:
+                    break
+                best = folder
+            chosen.add(best)
+        out.append(Layout(layout.sep, layout.names, sorted(chosen)))
+    return out
+
+
 def layouts(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> list[Layout]:
     """The layouts found; the driver holds the paths, as Spark's own file index does."""
     head = F.col("header")
@@ -91,7 +124,7 @@ def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[Da
                  recursive: bool = False, glob: str | None = None, trim: bool = False, found: list[Layout] | None = None) -> DataFrame | None:
     """Rows of all files, by name. ``select(frame, columns)`` gets the rows of one layout and the column that
     holds each header name (the first, if a name occurs twice), and returns the common columns. ``found``: the files' layouts, if
-    known already; then exactly their paths are read."""
+    known already; then their paths are read, folders among them as ``recursive`` and ``glob`` say."""
     known = found is not None
     found = found if known else layouts(spark, paths, recursive, glob)
     out = None
@@ -100,7 +133,7 @@ def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[Da
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.names))])
         # one layout: the folder itself; several: exactly their files
         whole = len(found) == 1 and not known
-        r = reader(spark, recursive, glob) if whole else spark.read
+        r = reader(spark, recursive, glob) if whole or known else spark.read
         r = r.option("header", True).option("sep", k.sep).option("mode", "PERMISSIVE").option("enforceSchema", True)
         if trim:
             r = r.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)

@@ -18,7 +18,7 @@ from barspark.functions.columns import file_stem
 from barspark.operators.standardize import clean_header_name, conform_schema, standardize_stooq
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
 from barspark.session import configure
-from barspark.sources.headers import Layout, grouped, json_shapes, read_layouts, reader
+from barspark.sources.headers import Layout, by_folder, grouped, json_shapes, read_layouts, reader
 
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -208,5 +208,13 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
     good = [r for r in rows if r["valid"]]
     if not good:
         raise ValueError("No valid files could be loaded")
-    bars = load(spark, [r["path"] for r in good], fmt, with_source=True, **known_files(fmt, good))
+    known = known_files(fmt, good)
+    if "layouts" in known:
+        exact, pattern = known["layouts"], pattern or ext
+        folders = by_folder(root, exact, [path for path, _ in skipped])
+        bars = load(spark, root, fmt, with_source=True, recursive=True, glob=pattern, layouts=folders)
+        if folders == exact or len(bars.inputFiles()) == len(good):
+            return bars, spark.createDataFrame(skipped, "path string, error string")
+    # files came or went meanwhile, or are not text: exactly those that were looked at
+    bars = load(spark, [r["path"] for r in good], fmt, with_source=True, **known)
     return bars, spark.createDataFrame(skipped, "path string, error string")

@@ -114,6 +114,32 @@ def test_load_with_skips_looks_once(spark, tmp_dir, monkeypatch):
         load_with_skips(spark, tmp_dir, "txt", strict=True)
 
 
+def test_files_by_folder():
+    a, b = ["a"], ["b"]
+    found = [hd.Layout(",", a, ["file:/r/x/1", "file:/r/x/2", "file:/r/y/z/3", "file:/r/m/4", "file:/r/m/n/5"]), hd.Layout("\t", b, ["file:/r/y/w/6", "file:/r/m/7", "file:/r/8"])]
+    out = hd.by_folder("/r", found, ["file:/r/m/n/bad"])
+    assert [k.paths for k in out] == [["file:/r/m/4", "file:/r/m/n/5", "file:/r/x", "file:/r/y/z"], ["file:/r/8", "file:/r/m/7", "file:/r/y/w"]]
+    assert hd.by_folder("file:///r/", [hd.Layout(",", a, ["file:/r/x/1", "file:/r/2"])], [])[0].paths == ["file:/r"]
+    assert hd.by_folder("s3://k/r", [hd.Layout(",", a, ["s3://k/r/x/1"])], ["s3://k/r/y/2"])[0].paths == ["s3://k/r/x"]
+
+
+def test_file_that_arrives_meanwhile(spark, tmp_dir, monkeypatch):
+    """Between the look and the read a file of another layout joins a folder: only the files looked at are read."""
+    from barspark.sources import readers
+    for k in range(3):
+        os.makedirs(f"{tmp_dir}/a", exist_ok=True)
+        open(f"{tmp_dir}/a/{k}.txt", "w").write(STOOQ + "A,5,20240101,0,1,2,0,1,5,0\n")
+    real = readers.by_folder
+
+    def late(*args):
+        open(f"{tmp_dir}/a/late.txt", "w").write("x\ty\n1\t2\n")
+        return real(*args)
+
+    monkeypatch.setattr(readers, "by_folder", late)
+    bars, _ = load_with_skips(spark, tmp_dir, "txt")
+    assert bars.count() == 3 and {os.path.basename(f) for f in bars.inputFiles()} == {"0.txt", "1.txt", "2.txt"}
+
+
 def test_report_by_path_and_cleaning_of_equal_names(spark, tmp_dir):
     """Without a key of the caller, two files of one name in two folders stay two."""
     for k, folder in enumerate(("us", "uk")):
