@@ -103,6 +103,24 @@ def apply_conditions(df: DataFrame, conditions: Iterable[dict]) -> DataFrame:
     return df if not conditions else df.filter(conjunction(df, conditions))
 
 
+#: Operators whose test on a raw number keeps every row that the same test on the conformed one keeps.
+PUSHED = ("equals", "greater_than", "less_than", "greater_equal", "less_equal", "between", "in_range", "in", "is_not_null")
+
+
+def scan_condition(raw: DataFrame, conditions: Iterable[dict]) -> Column:
+    """What a scan may drop rows by before they are conformed: the conditions on its numeric columns, as they are stored.
+
+    Conforming turns NaN into NULL, which keeps a comparison from reaching the scan. The raw comparison does reach it, and
+    keeps at most NaN rows besides (NaN is above every number); :func:`apply_conditions` on the conformed rows drops those.
+    """
+    parts = []
+    for c in conditions:
+        found = [f for f in raw.schema.fields if f.name == c["column"]]
+        if found and isinstance(found[0].dataType, T.NumericType) and c["operator"] in PUSHED:
+            parts.append(condition(raw, c["column"], c["operator"], c.get("value")))
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
 def conditions_to_json(conditions: Sequence[dict]) -> str:
     """Condition list as JSON text."""
     return json.dumps(list(conditions), indent=2, default=str)

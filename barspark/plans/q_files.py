@@ -107,6 +107,20 @@ def q_convert(spark, sf_dir):
     return rd.read_parquet(spark, dst)
 
 
+#: Conditions on numbers, text and time at once.
+SCAN_CONDITIONS = [{"column": "close", "operator": "greater_than", "value": "20"}, {"column": "vol", "operator": "between", "value": "100,900"},
+                   {"column": "high", "operator": "less_equal", "value": 250.5}, {"column": "ticker", "operator": "not_equals", "value": "U7"}]
+
+
+@query("scan_filtered", f"""{BARS9}, b AS (SELECT * REPLACE (CASE WHEN vol % 7 = 3 THEN NULL ELSE close END AS close) FROM bars)
+SELECT {BAR9_SQL} FROM b WHERE close > 20 AND vol BETWEEN 100 AND 900 AND high <= 250.5 AND ticker <> 'U7'""".replace(f" SELECT {BAR9_SQL} FROM bars,", ","))
+def q_scan_filtered(spark, sf_dir):
+    """Stored prices are NaN in places, which a scan's own comparison may keep and the conformed one does not."""
+    out = scratch_path(spark, "scan-filtered")
+    _bars9(spark, sf_dir).withColumn("close", F.when(F.col("vol") % 7 == 3, float("nan")).otherwise(F.col("close"))).write.parquet(out)
+    return rd.load(spark, out, "parquet", conditions=SCAN_CONDITIONS)
+
+
 # --- S8, S9, V1, V2: a folder of good and broken Stooq files ---------------------------------
 
 _FOLDERS: dict[tuple[str, str], str] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.functions.columns import file_stem
+from barspark.operators.filters import apply_conditions, scan_condition
 from barspark.operators.standardize import clean_header_name, conform_schema, standardize_stooq
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
 from barspark.session import configure
@@ -132,11 +133,18 @@ def read_stooq(spark: SparkSession, paths, with_source: bool = False, recursive:
 
 
 def read_parquet(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
-                 glob: str | None = None) -> DataFrame:
-    """Parquet (S5); column pruning and filters reach the scan."""
+                 glob: str | None = None, conditions: Sequence[dict] = ()) -> DataFrame:
+    """Parquet (S5); column pruning and filters reach the scan.
+
+    Rows that do not meet ``conditions`` (F1-F8) are left out. Given here, comparisons of numbers reach the scan
+    too: as stored there, and once more, exactly, on the conformed columns.
+    """
     configure(spark)
     raw = _with_source(reader(spark, recursive, glob).parquet(*_paths(paths)), with_source)
-    return conform_schema(raw, keep=["_source"] if with_source else None)
+    conditions = list(conditions)
+    if conditions:
+        raw = raw.where(scan_condition(raw, conditions))
+    return apply_conditions(conform_schema(raw, keep=["_source"] if with_source else None), conditions)
 
 
 def read_feather(spark: SparkSession, paths, with_source: bool = False) -> DataFrame:
@@ -163,7 +171,7 @@ def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool =
          recursive: bool = False, glob: str | None = None, **known) -> DataFrame:
     """Read any supported format into bars (S1); ``fmt`` defaults to the first path's extension.
 
-    ``known``: what ``known_files`` says of exactly these files, if they were looked at before.
+    ``known``: what ``known_files`` says of exactly these files, if they were looked at before; for Parquet, ``conditions``.
     """
     ps = _paths(paths)
     fmt = fmt or detect_format(ps[0])
@@ -174,7 +182,7 @@ def load(spark: SparkSession, paths, fmt: str | None = None, with_source: bool =
     if fmt == "txt":
         return read_stooq(spark, ps, with_source=with_source, recursive=recursive, glob=glob, **known)
     if fmt in ("parquet", "polars", "pyarrow"):
-        return read_parquet(spark, ps, with_source, recursive, glob)
+        return read_parquet(spark, ps, with_source, recursive, glob, **known)
     if fmt == "feather":
         return read_feather(spark, ps, with_source)
     if fmt == "duckdb":

@@ -27,6 +27,24 @@ def test_filters_reach_parquet_scan(spark, tmp_dir):
     assert "GreaterThanOrEqual(timestamp" in _plan(d)
 
 
+def test_number_conditions_reach_parquet_scan(spark, tmp_dir):
+    """Stored doubles, floats and integers; NaN, infinities and NULL; the rows are those of filtering afterwards."""
+    from pyspark.sql import functions as F
+    out = os.path.join(tmp_dir, "bars")
+    raw = spark.range(400).select(F.concat(F.lit("T"), F.col("id") % 3).alias("ticker"), F.lit("2024-01-01").cast("timestamp_ntz").alias("timestamp"),
+                                  F.when(F.col("id") % 5 == 0, float("nan")).when(F.col("id") % 7 == 0, float("inf")).when(F.col("id") % 11 != 0, F.col("id").cast("double")).alias("close"),
+                                  (F.col("id") / 2).cast("float").alias("open"), F.col("id").cast("int").alias("vol"), F.col("id").cast("string").alias("high"))
+    raw.write.parquet(out)
+    for conds, pushed in [([("close", "greater_than", 100)], "GreaterThan(close,100.0)"), ([("close", "less_equal", 50)], "LessThanOrEqual(close,50.0)"), ([("close", "equals", 12)], "EqualTo(close,12.0)"),
+                          ([("close", "between", "10,20")], "GreaterThanOrEqual(close,10.0)"), ([("close", "in", [1, 2, 5])], "In(close"), ([("vol", "greater_equal", 390)], "GreaterThanOrEqual(vol,390)"),
+                          ([("open", "less_than", 4.5)], "LessThan(open,4.5)"), ([("close", "not_equals", 3)], ""), ([("close", "is_null", None)], ""), ([("close", "is_not_null", None)], "IsNotNull(close)"),
+                          ([("high", "greater_than", 395)], ""), ([("close", "greater_than", 300), ("ticker", "equals", "T1")], "EqualTo(ticker,T1)"), ([("low", "greater_than", 1)], "")]:
+        conditions = [{"column": c, "operator": o, "value": v} for c, o, v in conds]
+        df = rd.read_parquet(spark, out, conditions=conditions)
+        assert pushed in _plan(df).split("PushedFilters: ")[1].split("], ReadSchema")[0] if "PushedFilters" in _plan(df) else not pushed
+        assert sorted(map(str, df.collect())) == sorted(map(str, flt.apply_conditions(rd.read_parquet(spark, out), conditions).collect()))
+
+
 def test_positions_use_one_range_shuffle(spark):
     b = events_bars(spark, SF001)
     g = global_position(b, ["ticker", "timestamp", "seq"])
