@@ -19,28 +19,24 @@ from a table of 256 rows, and offsets are the running sums of those lengths.
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barspark.llm import arrays as A
 from barspark.llm.frames import discard, partitions, stored
 from barspark.session import scratch_path
 
 #: Codes of a block (a longer document is a block of its own).
 BLOCK_CODES = 1 << 19
-#: Entries of each of the two generations of the memo of pieces that a worker keeps.
-MEMO = 700_000
+#: Pieces in the memo that a worker keeps, at most.
+MEMO = 2_000_000
 
 #: Length of each of the four codes of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
-#: Consecutive white space, at least at one end of which a cut would change the pieces.
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
-
 
 def encode_codes(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks below 2**32."""
@@ -89,7 +85,9 @@ class Pieces:
     * at single line ends between two other characters, which stand alone,
     * between a letter and the ASCII marks that end a piece.
 
-    Texts with doubled, leading or closing white space or with an added token go whole to the tokenizer.
+    The words of a slice of documents are named at once (``arrays.words``), each distinct one that the memo lacks is tokenized
+    once, and ids are gathered by numpy. Texts with other, doubled, leading or closing white space or with an added token go
+    whole to the tokenizer. The memo is three arrays, at most ``MEMO`` pieces (some 60 MB), and starts anew when full.
     """
 
     def __init__(self, path: str):
@@ -97,65 +95,126 @@ class Pieces:
         self.tok = Tokenizer.from_file(path)
         #: Bytes of an id.
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
-        self.memo = _Memo(self)
         #: Strings that the tokenizer takes out of a text before anything else.
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.line_end = self.ids("\n")
+        self.tails: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty memo: names in order, where each piece's ids start in ``flat``, and how many they are (-1: none by itself)."""
+        self.names, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, self.kind)
 
-    def ids(self, text: str) -> bytes:
-        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
-    def word(self, letters: str) -> bytes:
+    def word(self, letters: str) -> list[int]:
         """Ids of letters, perhaps after a space, which the tokenizer never cuts before merging: its merges alone."""
         shown = letters.replace(" ", SPACE_SHOWN) if letters.isascii() else letters.encode().decode("latin-1").translate(SHOWN)
-        return array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _DOUBLE.search(text) or any(a in text for a in self.added):
-            return self.ids(text)
-        first, *rest = text.split(" ")
-        return self.memo["\n" + first] + b"".join(map(self.memo.__getitem__, rest))
-
-
-class _Memo(dict):
-    """Ids of pieces with a space before them; a piece without one is kept after a line end. Two generations:
-    when the young one is full it becomes the old one, from which pieces in use come back."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.old = pieces, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
-        if out is None:
-            out = self.make(piece)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = out
-        return out
+        return [t.id for t in self.tok.model.tokenize(shown)]
 
-    def make(self, piece: str) -> bytes:
-        bare = piece[:1] == "\n"
-        body, lead = (piece[1:], "") if bare else (piece, " ")
-        if "\n" in body:
-            first, *lines = body.split("\n")
-            if not first or not all(lines):  # white space that is not single
-                return self.pieces.ids(lead + body)
-            end = self.line_end()
-            return b"".join([self["\n" + first if bare else first], *[end + self["\n" + x] for x in lines]])
+    def piece(self, body: str, lead: str) -> list[int] | None:
+        """Ids of a word after ``lead`` (a space or nothing); None if white space beyond ASCII touches its ends."""
         if body.isalpha():
-            return self.pieces.word(lead + body)
+            return self.word(lead + body)
+        if body[0].isspace() or body[-1].isspace():
+            return None
         stem = body.rstrip(MARKS)
         if stem != body and stem and stem[-1].isalpha():
-            return self["\n" + stem if bare else stem] + self["\n" + body[len(stem):]]
-        return self.pieces.ids(lead + body)
+            marks = body[len(stem):]
+            tail = self.tails.get(marks)
+            if tail is None:
+                tail = self.ids(marks)
+                if len(self.tails) < 10_000:
+                    self.tails[marks] = tail
+            return (self.word(lead + stem) if stem.isalpha() else self.ids(lead + stem)) + tail
+        return self.ids(lead + body)
+
+    def learn(self, names: np.ndarray, bodies: list[bytes], after_space: list[bool]) -> None:
+        """Add pieces that the memo lacks; ``names`` ascend."""
+        found = [self.piece(b.decode(), " " if s else "") for b, s in zip(bodies, after_space)]
+        counts = np.array([-1 if f is None else len(f) for f in found], np.int32)
+        flat = np.array([i for f in found if f for i in f], self.kind)
+        starts = len(self.flat) + np.cumsum(np.maximum(counts, 0), dtype=np.int64) - np.maximum(counts, 0)
+        self.flat = np.concatenate([self.flat, flat])
+        at = np.searchsorted(self.names, names)
+        self.names, self.starts, self.counts = np.insert(self.names, at, names), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+
+    def where(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of names in the memo, and which it has."""
+        at = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+        return at, (self.names[at] == names) if len(self.names) else np.zeros(len(names), bool)
+
+    def whole(self, text: A.Text) -> np.ndarray:
+        """Documents that cannot be cut into pieces."""
+        data, off = text
+        n = len(off) - 1
+        size = np.diff(off)
+        space = A.SPACE[data]
+        bad = space & (data != 0x20) & (data != 0x0A)
+        bad[1:] |= space[1:] & space[:-1]
+        some = size > 0
+        bad[off[:-1][some]] = space[off[:-1][some]]  # a document's first byte does not follow the one before it
+        bad[off[1:][some] - 1] |= space[off[1:][some] - 1]
+        out = np.diff(np.concatenate([[0], np.cumsum(bad)])[off]) > 0
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out[min(n - 1, np.searchsorted(off, at, "right") - 1)] = True
+                at = raw.find(token, at + 1)
+        return out
 
-    def line_end(self) -> bytes:
-        if not hasattr(self, "end"):
-            self.end = self.pieces.ids("\n")
-        return self.end
+    def encode(self, text: A.Text, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a slice, each followed by ``end_id``, end to end; and their numbers by document."""
+        data, off = text
+        n = len(off) - 1
+        w = A.words(text)
+        before = np.where(w.starts > 0, data[np.maximum(w.starts, 1) - 1], 0) if len(w.starts) else np.zeros(0, np.uint8)
+        first = np.zeros(len(w.starts), bool)
+        first[w.offsets[:-1][np.diff(w.offsets) > 0]] = True
+        spaced = (before == 0x20) & ~first
+        broken = (before == 0x0A) & ~first
+        doc = np.repeat(np.arange(n), np.diff(w.offsets))
+        whole = self.whole(text)
+        use = ~whole[doc]
+        # a word's name, its length and whether a space leads make a piece's name
+        names = A.mix(w.names + (w.ends - w.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spaced)
+        kinds, pick, back = np.unique(names[use], return_index=True, return_inverse=True)
+        pick = np.flatnonzero(use)[pick]
+        _, have = self.where(kinds)
+        if not have.all() and len(self.names) + int((~have).sum()) > MEMO:
+            self.forget()
+            have = np.zeros(len(kinds), bool)
+        new = np.flatnonzero(~have)
+        raw = data.tobytes()
+        if len(new):
+            self.learn(kinds[new], [raw[a:b] for a, b in zip(w.starts[pick[new]].tolist(), w.ends[pick[new]].tolist())], spaced[pick[new]].tolist())
+        at, _ = self.where(kinds)
+        start, count = (self.starts[at], self.counts[at].astype(np.int64)) if len(kinds) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if (count < 0).any():
+            whole[doc[use][count[back] < 0]] = True
+            back, use = back[~whole[doc[use]]], ~whole[doc]
+        # after the memo's ids: the line end, the end of a document, and documents taken whole
+        extra = [self.line_end, [end_id]] + [self.ids(raw[off[d]:off[d + 1]].decode()) for d in np.flatnonzero(whole).tolist()]
+        extra_n = np.array([len(x) for x in extra], np.int64)
+        flat = np.concatenate([self.flat, np.array([i for x in extra for i in x], self.kind)])
+        extra_at = len(self.flat) + np.cumsum(extra_n) - extra_n
+        k = len(start)
+        start, count = np.concatenate([start, extra_at]), np.concatenate([count, extra_n])
+        # every document's pieces in order: (document, place, piece), line ends before their word, ends last
+        d = doc[use]
+        place = np.flatnonzero(use) * 2 + 1
+        lines = broken[use]
+        lone = np.flatnonzero(whole)
+        top = 2 * len(doc) + 2
+        docs = np.concatenate([d, d[lines], lone, np.arange(n)])
+        rank = np.concatenate([place, place[lines] - 1, np.zeros(len(lone), np.int64), np.full(n, top)])
+        piece = np.concatenate([back, np.full(int(lines.sum()), k), k + 2 + np.arange(len(lone)), np.full(n, k + 1)])
+        order = np.argsort(docs * (top + 1) + rank, kind="stable")
+        piece, docs = piece[order], docs[order]
+        return flat[A.ranges(start[piece], count[piece])], np.bincount(docs, count[piece], n).astype(np.int64)
 
 
 def worker_pieces(path: str) -> Pieces:
@@ -173,14 +232,17 @@ def _tokenize(path: str, end_id: int):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pieces = worker_pieces(path)
-        # the last byte tells the width of an id
-        end = np.array([end_id], pieces.kind).tobytes() + pieces.kind[-1:].encode()
+        width = np.dtype(pieces.kind).itemsize
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for i in range(0, len(texts), 500):
-                out = [pieces.encode(t) + end for t in texts[i:i + 500]]
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(out, pa.binary())], ["place", "doc_id", "ids"])
+            for i, j, text in A.slices(A.text_of(b.column(2))):
+                ids, n = pieces.encode(text, end_id)
+                # the last byte of a value tells the width of an id
+                size = n * width + 1
+                out = np.full(int(size.sum()), ord(pieces.kind[-1]), np.uint8)
+                inner = np.ones(len(out), bool)
+                inner[np.cumsum(size) - 1] = False
+                out[inner] = ids.view(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), A.binaries(out, size)], ["place", "doc_id", "ids"])
 
     return run
 

@@ -259,6 +259,16 @@ def test_shards_match_the_tokenizer(docs, docs_rows, no_docs):
     assert T.new_shards(no_docs, path).collect() == []
 
 
+def encoded(pieces, texts, limit):
+    """Ids of each text, in slices of about ``limit`` bytes."""
+    import pyarrow as pa
+    out = []
+    for _, _, t in A.slices(A.text_of(pa.array(texts, pa.string())), limit):
+        ids, n = pieces.encode(t, 7)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
 def test_pieces_are_exact():
     import random
     pieces = T.Pieces(T.tokenizer_path("byte_bpe_50k.json"))
@@ -266,15 +276,22 @@ def test_pieces_are_exact():
              "日本 語, a", "a.\nb, c.", "a\n\nb c", "\na", "a'\n's b's' dogs' \"x\"", "the%%% a*** b### !!! ?? a!b! 1%% é%%", "a\r\nb c", "a\tb c, d", "x\x85y z", "a\u0301, b\u0301, c"]
     rng, alphabet = random.Random(1), list("ab'st .,\n!%é1 日")
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
-    for t in texts:
-        assert pieces.encode(t) == pieces.ids(t), repr(t)
+    for limit in (40, 1 << 21):
+        pieces.forget()
+        for t, got in zip(texts, encoded(pieces, texts, limit)):
+            assert got == [*pieces.ids(t), 7], repr(t)
 
 
-def test_memo_keeps_what_is_in_use(monkeypatch):
-    monkeypatch.setattr(T, "MEMO", 3)
+def test_memo_is_bounded(monkeypatch):
+    """A full memo starts anew; a slice with more pieces than it holds is still exact."""
+    monkeypatch.setattr(T, "MEMO", 6)
     pieces = T.Pieces(T.tokenizer_path("byte_bpe_50k.json"))
-    t = " ".join(f"w{i % 7} word{'x' * (i % 5)}, y." for i in range(50))
-    assert pieces.encode(t) == pieces.ids(t) and len(pieces.memo) <= 3
+    texts = [" ".join(f"w{(i + k) % 7} word{'x' * (i % 5)}, y." for i in range(2 + k % 3)) for k in range(60)]
+    for limit in (1, 200, 1 << 21):
+        assert encoded(pieces, texts, limit) == [[*pieces.ids(t), 7] for t in texts]
+        if limit == 1:
+            assert len(pieces.names) <= 9  # the pieces of the last text
+    assert encoded(pieces, [None, "", "a"], 10) == [[7], [7], [*pieces.ids("a"), 7]]
 
 
 # ---- quality
