@@ -1,5 +1,9 @@
 """Arrow IPC (Feather v2) files as a Spark Python Data Source.
 
+A write becomes visible by one small file: tasks write under ``_pending``, and the commit's journal names the new files and, for an overwrite,
+the old ones that they replace. Readers that find a journal see the new files wherever they are and none of the old, so a
+commit that is killed has either not happened or is complete; the next write clears up after it.
+
 Reading plans one partition per file, or per range of record batches of a large one, and yields Arrow record batches, so Spark
 receives columnar batches without per-row conversion. Writing has each task write its
 partition as one ``part-<task>-<uuid>.feather`` file.
@@ -16,6 +20,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 FORMAT_NAME = "arrow_ipc"
 PENDING = "_pending"
+JOURNAL = "_commit.json"
 #: Larger files are read by several tasks.
 SPLIT_BYTES = 128 << 20
 
@@ -37,19 +42,74 @@ def _uri(path: str, inner: str) -> str:
     return inner
 
 
+def _journal(filesystem, folder: str) -> dict | None:
+    """The commit that a folder's journal describes, if there is one: its job, new files and old files by their path below the folder."""
+    import json
+
+    from pyarrow import fs
+    name = f"{folder}/{JOURNAL}"
+    if filesystem.get_file_info(name).type != fs.FileType.File:
+        return None
+    with filesystem.open_input_stream(name) as stream:
+        return json.loads(stream.read())
+
+
+def _below(filesystem, folder: str) -> list[str]:
+    """Arrow files of a folder by their path below it, as its journal has them."""
+    from pyarrow import fs
+    found = filesystem.get_file_info(fs.FileSelector(folder, recursive=True))
+    names = [f.path[len(folder):].lstrip("/") for f in found if f.type == fs.FileType.File and f.path.endswith((".feather", ".arrow", ".ipc"))]
+    live = {n for n in names if not n.startswith(f"{PENDING}/")}
+    commit = _journal(filesystem, folder)
+    if commit:
+        live -= set(commit["old"])
+        live |= {f"{PENDING}/{commit['job']}/{n}" for n in commit["new"] if n not in live and f"{PENDING}/{commit['job']}/{n}" in names}
+    return sorted(live)
+
+
 def _files(path: str) -> list[str]:
     from pyarrow import fs
     filesystem, p = _fs(path)
     info = filesystem.get_file_info(p)
     if info.type == fs.FileType.Directory:
-        found = filesystem.get_file_info(fs.FileSelector(p, recursive=True))
-        return sorted(_uri(path, f.path) for f in found
-                      if f.type == fs.FileType.File and f.path.endswith((".feather", ".arrow", ".ipc")) and f"/{PENDING}/" not in f.path)
+        p = p.rstrip("/")
+        return [_uri(path, f"{p}/{n}") for n in _below(filesystem, p)]
     if info.type == fs.FileType.File:
         return [path]
     return sorted(glob.glob(p))
 
 
+def _step(action, *args) -> None:
+    """One change to the store; the tests break off between them."""
+    action(*args)
+
+
+def _settle(filesystem, folder: str) -> None:
+    """Bring about what the journal says: new files into place, old ones gone, then the journal itself."""
+    from pyarrow import fs
+    commit = _journal(filesystem, folder)
+    if commit is None:
+        return
+    there = lambda name, kind: filesystem.get_file_info(name).type == kind
+    own = f"{folder}/{PENDING}/{commit['job']}"
+    for n in commit["new"]:
+        if there(f"{own}/{n}", fs.FileType.File):
+            _step(filesystem.move, f"{own}/{n}", f"{folder}/{n}")
+    for n in commit["old"]:
+        if there(f"{folder}/{n}", fs.FileType.File):
+            _step(filesystem.delete_file, f"{folder}/{n}")
+    _step(filesystem.delete_file, f"{folder}/{JOURNAL}")
+    _drop(filesystem, folder, commit["job"])
+
+
+def _drop(filesystem, folder: str, job: str) -> None:
+    """Forget a job's pending files."""
+    from pyarrow import fs
+    for name in (f"{folder}/{PENDING}/{job}", f"{folder}/{PENDING}"):
+        if filesystem.get_file_info(name).type == fs.FileType.Directory and (name.endswith(job) or not filesystem.get_file_info(fs.FileSelector(name))):
+            _step(filesystem.delete_dir, name)
+
+
 class _FilePartition(InputPartition):
     """Record batches ``first`` to ``last`` (exclusive; None: to the end) of a file."""
 
@@ -112,6 +172,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path
         self.overwrite = overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator):
         import pyarrow as pa
@@ -122,8 +183,9 @@ class _Writer(DataSourceArrowWriter):
         pid = ctx.partitionId() if ctx else 0
         # hidden until the job commits, so that a failed or repeated task leaves nothing to be read
         part = f"part-{pid:05d}-{uuid.uuid4().hex}.feather"
-        filesystem.create_dir(f"{out_dir.rstrip('/')}/{PENDING}", recursive=True)
-        name = f"{out_dir.rstrip('/')}/{PENDING}/{part}"
+        pending = f"{out_dir.rstrip('/')}/{PENDING}/{self.job}"
+        filesystem.create_dir(pending, recursive=True)
+        name = f"{pending}/{part}"
         rows = 0
         writer = sink = None
         try:
@@ -140,26 +202,28 @@ class _Writer(DataSourceArrowWriter):
         return _Commit(part if rows else None, rows)
 
     def commit(self, messages):
-        """Publish the files of the tasks that count; with overwrite, first drop those of earlier writes."""
-        filesystem, out_dir = _fs(self.path)
-        out_dir = out_dir.rstrip("/")
-        if self.overwrite:
-            for f in _files(self.path):
-                filesystem.delete_file(_fs(f)[1])
-        for m in messages:
-            if m is not None and m.file:
-                filesystem.move(f"{out_dir}/{PENDING}/{m.file}", f"{out_dir}/{m.file}")
-        self._drop_pending()
+        """Publish the files of the tasks that count; with overwrite, in place of those of earlier writes."""
+        import json
 
-    def abort(self, messages):
-        self._drop_pending()
-
-    def _drop_pending(self):
         from pyarrow import fs
-        filesystem, out_dir = _fs(self.path)
-        pending = f"{out_dir.rstrip('/')}/{PENDING}"
-        if filesystem.get_file_info(pending).type == fs.FileType.Directory:
-            filesystem.delete_dir(pending)
+        filesystem, folder = _fs(self.path)
+        folder = folder.rstrip("/")
+        filesystem.create_dir(folder, recursive=True)
+        _settle(filesystem, folder)  # an earlier commit that was broken off
+        old = _below(filesystem, folder) if self.overwrite else []
+        text = json.dumps({"job": self.job, "new": [m.file for m in messages if m is not None and m.file], "old": old}).encode()
+        # where a file grows in sight of readers it is written aside and renamed; elsewhere it appears whole when closed
+        aside = isinstance(filesystem, (fs.LocalFileSystem, fs.HadoopFileSystem))
+        name = f"{folder}/{JOURNAL}"
+        with filesystem.open_output_stream(f"{name}.{self.job}" if aside else name) as out:
+            out.write(text)
+        if aside:
+            _step(filesystem.move, f"{name}.{self.job}", name)
+        _settle(filesystem, folder)
+
+    def abort(self, messages):
+        filesystem, folder = _fs(self.path)
+        _drop(filesystem, folder.rstrip("/"), self.job)
 
 
 class ArrowIpcDataSource(DataSource):

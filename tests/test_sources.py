@@ -323,3 +323,58 @@ def test_listing_on_a_store_that_only_spark_reads(spark, tmp_dir):
     assert set(listed) == {"good.txt", "empty.txt"} and listed["empty.txt"] == 0 < listed["good.txt"]
     bars, skipped = rd.load_with_skips(spark, root, "txt")
     assert bars.count() == 3 and [(os.path.basename(r["path"]), r["error"]) for r in skipped.collect()] == [("empty.txt", "File is empty")]
+
+
+def test_feather_commit_broken_off_anywhere(tmp_dir, monkeypatch):
+    """After each single change of an overwrite or an append the folder shows the old or the new rows, and the next write mends it."""
+    import pyarrow as pa
+    import pyarrow.ipc as ipc
+
+    from barspark.sources import arrow_ipc as ai
+
+    class Broken(Exception):
+        pass
+
+    def rows(folder):
+        out = []
+        for f in ai._files(folder):
+            with pa.memory_map(f) as m:
+                out += ipc.open_file(m).read_all().column(0).to_pylist()
+        return sorted(out)
+
+    def write(folder, values, overwrite):
+        w = ai._Writer(folder, overwrite)
+        done = [w.write(iter([pa.record_batch([pa.array([v])], ["x"])])) for v in values]
+        w.commit([*done, None, w.write(iter([]))])
+
+    real, left = ai._step, [0]
+
+    def step(action, *args):
+        if left[0] == 0:
+            raise Broken
+        left[0] -= 1
+        real(action, *args)
+
+    for overwrite in (True, False):
+        new = [3, 4, 5] if overwrite else [1, 2, 3, 4, 5]
+        seen = []
+        for k in range(12):
+            folder = os.path.join(tmp_dir, f"{overwrite}{k}")
+            write(folder, [1, 2], True)
+            monkeypatch.setattr(ai, "_step", step)
+            left[0] = k
+            try:
+                write(folder, [3, 4, 5], overwrite)
+                broken = False
+            except Broken:
+                broken = True
+            monkeypatch.setattr(ai, "_step", real)
+            assert rows(folder) == (new if k else [1, 2])
+            seen.append(broken)
+            write(folder, [9], False)
+            assert rows(folder) == sorted([9, *(new if k else [1, 2])]) and not os.path.exists(os.path.join(folder, ai.JOURNAL))
+        assert seen[0] and seen[3] and not seen[-1]
+    w = ai._Writer(os.path.join(tmp_dir, "aborted"), True)
+    w.write(iter([pa.record_batch([pa.array([1])], ["x"])]))
+    w.abort([])
+    assert rows(os.path.join(tmp_dir, "aborted")) == [] and not os.path.exists(os.path.join(tmp_dir, "aborted", ai.PENDING))
