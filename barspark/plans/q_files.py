@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barspark.operators import profile as pf
+from barspark.operators import filters as flt, profile as pf
 from barspark.plans.registry import query
 from barspark.plans.sql_fragments import EVENTS_BARS, EVENTS_STOOQ, num_sql, rnd, stooq_bars_sql, stooq_ts_sql
 from barspark.schema import BAR_COLUMNS
@@ -78,6 +78,39 @@ def q_table_scan(spark, sf_dir):
     return rd.read_table(spark, name)
 
 
+@query("table_if_absent", BARS9)
+def q_table_if_absent(spark, sf_dir):
+    """K7: the second creation leaves the table of the first alone."""
+    name = f"barspark_bars_{uuid.uuid4().hex[:12]}"
+    sk.save_table(events_bars(spark, sf_dir), name, path=scratch_path(spark, "table"), if_absent=True)
+    sk.save_table(events_bars(spark, sf_dir).where("seq % 2 = 0"), name, path=scratch_path(spark, "table"), if_absent=True)
+    return rd.read_table(spark, name)
+
+
+@query("load_by_extension", f"{BARS9} UNION ALL SELECT {BAR9_SQL} FROM bars UNION ALL SELECT {BAR9_SQL} FROM bars")
+def q_load_by_extension(spark, sf_dir):
+    """Folders whose names end in an extension, in any case, are read by it."""
+    bars, out = _bars9(spark, sf_dir), None
+    for fmt, ext in (("csv", "CSV"), ("json", "json"), ("parquet", "Parquet")):
+        path = scratch_path(spark, "by-extension") + f".{ext}"
+        sk.save(bars, path, fmt)
+        part = rd.load(spark, path)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("filter_saved", f"""WITH bars AS ({EVENTS_BARS}), b AS (SELECT * FROM bars WHERE close BETWEEN 20 AND 90 AND ticker IN ('U1', 'U2', 'U3', 'U42') AND "timestamp" >= TIMESTAMP '2024-01-05' AND openint IS NOT NULL AND vol < 800)
+SELECT {BAR9_SQL} FROM b""")
+def q_filter_saved(spark, sf_dir):
+    """conditions as a user types them, saved as JSON text in a file and loaded from it; values follow the columns' types."""
+    typed = [{"column": "close", "operator": "between", "value": " 20 , 90"}, {"column": "ticker", "operator": "in", "value": "U1, U2,U3 ,U42"},
+             {"column": "timestamp", "operator": "greater_equal", "value": "2024-01-05"}, {"column": "openint", "operator": "is_not_null", "value": None}, {"column": "vol", "operator": "less_than", "value": "800"}]
+    path = scratch_path(spark, "conditions")
+    spark.createDataFrame([(flt.conditions_to_json(typed),)], "value string").coalesce(1).write.text(path, lineSep="\0")
+    saved = spark.read.text(path, wholetext=True).first()["value"].rstrip("\0")
+    return flt.apply_conditions(_bars9(spark, sf_dir), flt.conditions_from_json(saved))
+
+
 # --- K1–K5, K10: our sinks read back by our readers ------------------------------------------
 
 for _fmt in ("csv", "txt", "json", "parquet", "feather"):
@@ -112,8 +145,8 @@ SCAN_CONDITIONS = [{"column": "close", "operator": "greater_than", "value": "20"
                    {"column": "high", "operator": "less_equal", "value": 250.5}, {"column": "ticker", "operator": "not_equals", "value": "U7"}]
 
 
-@query("scan_filtered", f"""{BARS9}, b AS (SELECT * REPLACE (CASE WHEN vol % 7 = 3 THEN NULL ELSE close END AS close) FROM bars)
-SELECT {BAR9_SQL} FROM b WHERE close > 20 AND vol BETWEEN 100 AND 900 AND high <= 250.5 AND ticker <> 'U7'""".replace(f" SELECT {BAR9_SQL} FROM bars,", ","))
+@query("scan_filtered", f"""WITH bars AS ({EVENTS_BARS}), b AS (SELECT * REPLACE (CASE WHEN vol % 7 = 3 THEN NULL ELSE close END AS close) FROM bars)
+SELECT {BAR9_SQL} FROM b WHERE close > 20 AND vol BETWEEN 100 AND 900 AND high <= 250.5 AND ticker <> 'U7'""")
 def q_scan_filtered(spark, sf_dir):
     """Stored prices are NaN in places, which a scan's own comparison may keep and the conformed one does not."""
     out = scratch_path(spark, "scan-filtered")
