@@ -6,10 +6,11 @@ its sign. A table joins the hashes of two rotations. Besides its own bucket, a v
 the buckets that swap one hash for the next best coordinate. Vectors that share a bucket are
 compared exactly.
 
-Equal vectors of one label are one point with a weight. A pair that shares several buckets is judged
-in the smallest of them, so links are counted once without a pair ever leaving its bucket: only
-counts and the edges of a spanning forest do. A bucket of more than ``max_bucket`` points is
-cut into blocks, each pair of which is worked on by itself.
+Equal vectors of one label are one point with a weight. Bucket names are shuffled with ids alone; buckets of one
+point, and all but the smallest of those that hold the same points, are left out before vectors are fetched. A
+pair that shares several buckets is judged in the smallest of them, so links are counted once without
+a pair ever leaving its bucket: only counts and the edges of a spanning forest do. A bucket of more
+than ``max_bucket`` points is cut into blocks, each pair of which is worked on by itself.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from barspark.llm import arrays as A
@@ -25,6 +27,10 @@ from barspark.llm.frames import components, discard, partitions, stored
 
 TABLES, PROBES, MAX_BUCKET = 6, 4, 4096
 ROWS = 2048
+#: Pairs that are looked at together.
+PAIRS = 1 << 19
+#: A bucket's name holds its table (at most 32) above this many bits of hash.
+TABLE_SHIFT = 58
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,82 +78,106 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.nda
     return np.concatenate(out, 1)
 
 
-def _hash(tables: int, probes: int):
-    """Usable points to (bucket, buckets, key, vector); labels are part of a bucket's name."""
+def _hash(tables: int, probes: int, dtype: str):
+    """Usable points (k, weight, label, values) to (k, weight, label, buckets, vector). Names ascend by table,
+    each of which has as many; labels and lengths are part of a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(0, b.num_rows, ROWS):
                 part = b.slice(r, ROWS)
-                key, label = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                lists = part.column(2)
+                label = part.column(2).to_numpy(zero_copy_only=False)
+                lists = part.column(3)
                 size = np.diff(lists.offsets.to_numpy())
                 for n in np.unique(size).tolist():
                     at = np.flatnonzero(size == n)
-                    x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                    own = buckets(x, tables, probes)
-                    # label, length and table's hash make one name
-                    name = A.mix((label[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] ^ A.mix(own.astype(np.uint64) + np.uint64(n << 48))).view(np.int64)
-                    name = np.sort(name, 1)
+                    values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                    own = buckets(unit(values), tables, probes)
+                    name = A.mix((label[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] ^ A.mix(own.astype(np.uint64) + np.uint64(n << 48)))
+                    table = np.repeat(np.arange(tables, dtype=np.uint64), own.shape[1] // tables) << np.uint64(TABLE_SHIFT)
+                    name = np.sort((name >> np.uint64(64 - TABLE_SHIFT) | table).view(np.int64), 1)
                     m = name.shape[1]
-                    for i in range(0, m):
-                        fresh = np.ones(len(at), bool) if i == 0 else name[:, i] != name[:, i - 1]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(name[fresh, i]), A.binaries(name[fresh].reshape(-1), np.full(int(fresh.sum()), m)), pa.array(key[at][fresh]),
-                            A.binaries(x[fresh].reshape(-1), np.full(int(fresh.sum()), n))], ["bucket", "buckets", "k", "vector"])
+                    yield pa.RecordBatch.from_arrays([
+                        *[c.take(pa.array(at)) for c in part.columns[:3]], pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * m), pa.array(name.reshape(-1))),
+                        A.binaries(values.astype(dtype).reshape(-1), np.full(len(at), n))], ["k", "weight", "label", "buckets", "vector"])
 
     return run
 
 
-def _compare(least: float):
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, scaled to length 1."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def first_meetings(own: np.ndarray, i: np.ndarray, j: np.ndarray, here: np.ndarray, tables: int) -> np.ndarray:
+    """Which of the pairs (i, j), which share bucket ``here``, share no smaller one. Names of different tables differ,
+    so tables are compared one by one, and a pair leaves at the first that holds it."""
+    fresh, width = np.arange(len(i)), own.shape[1] // tables
+    for t in range(tables):
+        open_ = here[i[fresh]] >> TABLE_SHIFT >= t
+        if not open_.any():
+            break
+        a, b = own[i[fresh], t * width:(t + 1) * width], own[j[fresh], t * width:(t + 1) * width]
+        seen = ((a[:, :, None] == b[:, None, :]).any(2) & (a < here[i[fresh]][:, None])).any(1)
+        fresh = fresh[~seen]
+    return fresh
+
+
+def join_forest(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Components after joining the pairs, and the pairs that joined two of them. In a round each component hooks
+    under a smaller one."""
+    edges = []
+    while True:
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return comp, edges
+        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        high, one = np.unique(high, return_index=True)
+        edges.append(np.stack([i[one], j[one]], 1))
+        parent = np.arange(len(comp))
+        parent[high] = low[one]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        comp = parent[comp]
+
+
+def _compare(least: float, tables: int, dtype: str):
     """A region's points to (k, other, n): n links of k, other a linked point (or k itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in A.groups(batches, "region"):
-            if t.num_rows < 2:
-                continue
-            t = t.combine_chunks()
-            raw = {c: t.column(c).chunk(0) for c in t.column_names}
-            k = raw["k"].to_numpy()
-            x = A.packed(raw["vector"], np.float64).reshape(len(k), -1)
-            own = A.packed(raw["buckets"], np.int64).reshape(len(k), -1)
-            here, side = raw["bucket"].to_numpy(), raw["side"].to_numpy()
-            weight = raw["weight"].to_numpy()
-            links = np.zeros(len(k), np.int64)
-            parent = np.arange(len(k))
-
-            def root(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            edges = []
-            for r in range(0, len(k), 256):
-                i, j = np.nonzero(x[r:r + 256] @ x.T >= least)
-                i += r
-                # each pair once; pairs within a block belong to the region of that block alone
-                ok = (i < j) & ((side[i] != side[j]) | (side[i] == 2))
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                # buckets ascend in both lists: the pair is judged in the first that they share
-                seen = (own[i][:, :, None] == own[j][:, None, :]).any(2) & (own[i] < here[i][:, None])
-                ok = ~seen.any(1)
-                i, j = i[ok], j[ok]
-                np.add.at(links, i, weight[j])
-                np.add.at(links, j, weight[i])
-                for a, b in zip(i.tolist(), j.tolist()):
-                    p, q = root(a), root(b)
-                    if p != q:
-                        parent[q] = p
-                        edges.append((a, b))
-            hit = np.flatnonzero(links)
-            e = np.array(edges, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[hit], k[e[:, 0]]])), pa.array(np.concatenate([k[hit], k[e[:, 1]]])),
-                                              pa.array(np.concatenate([links[hit], np.zeros(len(e), np.int64)]))], ["k", "other", "n"])
+        for _, region in A.groups(batches, "region"):
+            region = region.combine_chunks()
+            sizes = pc.binary_length(region["vector"])
+            for n in pc.unique(sizes).to_pylist():
+                t = region.filter(pc.equal(sizes, n)).combine_chunks()
+                if t.num_rows > 1:
+                    yield compared(t)
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        raw = {c: t.column(c).chunk(0) for c in t.column_names}
+        k, here, side, weight, label = (raw[c].to_numpy() for c in ("k", "bucket", "side", "weight", "label"))
+        x = unit(A.packed(raw["vector"], dtype).reshape(len(k), -1))
+        own = raw["buckets"].flatten().to_numpy().reshape(len(k), -1)
+        links, comp, edges = np.zeros(len(k), np.int64), np.arange(len(k)), [np.zeros((0, 2), np.int64)]
+        step = max(1, PAIRS // len(k))
+        for r in range(0, len(k), step):
+            i, j = np.nonzero(x[r:r + step] @ x[r:].T >= least)
+            i, j = i + r, j + r
+            # each pair once; pairs within a block belong to the region of that block alone
+            ok = (i < j) & ((side[i] != side[j]) | (side[i] == 2)) & (here[i] == here[j]) & (label[i] == label[j])
+            i, j = i[ok], j[ok]
+            fresh = first_meetings(own, i, j, here, tables)
+            i, j = i[fresh], j[fresh]
+            if len(i):
+                links += (np.bincount(i, weight[j], len(k)) + np.bincount(j, weight[i], len(k))).astype(np.int64)
+                comp, more = join_forest(comp, i, j)
+                edges += more
+        hit, e = np.flatnonzero(links), np.concatenate(edges)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[hit], k[e[:, 0]]])), pa.array(np.concatenate([k[hit], k[e[:, 1]]])),
+                                           pa.array(np.concatenate([links[hit], np.zeros(len(e), np.int64)]))], ["k", "other", "n"])
 
     return run
 
@@ -164,24 +194,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES,
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.exists(v, lambda c: c != 0)
+    dtype = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
     # -0.0 equals 0.0
     clean = F.transform(v, lambda c: c + F.lit(0.0))
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(F.col(label_col)).alias("label"), F.when(usable, clean).alias("v"))
     rows = rows.withColumn("k", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v", F.hash("v", "label"))))
     weights = stored(rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first")), "points")
-    one = rows.where("k is not null").join(weights.select(F.col("k").alias("wk"), "first", "weight"), (F.col("k") == F.col("wk")) & (F.col("vec_id") == F.col("first"))).select("k", "label", "v", "weight").dropDuplicates(["k"])
-    hashed = stored(one.select("k", "label", "v").mapInArrow(_hash(tables, probes), "bucket long, buckets binary, k long, vector binary").join(weights.select("k", "weight"), "k"), "hashed")
-    full = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("points")).where("points > 1").select("bucket", F.ceil(F.col("points") / max_bucket).alias("blocks"))
+    one = rows.where("k is not null").join(weights.select(F.col("k").alias("wk"), "first", "weight"), (F.col("k") == F.col("wk")) & (F.col("vec_id") == F.col("first"))).select("k", "weight", "label", "v").dropDuplicates(["k"])
+    points = stored(one.mapInArrow(_hash(tables, probes, dtype), "k long, weight long, label long, buckets array<long>, vector binary"), "hashed")
+    member = points.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "k")
+    # buckets of the same points say the same: the smallest stands for all, so a pair's first bucket is among them
+    held = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("points"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("points > 1")
+    full = held.groupBy("points", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("points") / max_bucket).alias("blocks"))
     own = F.pmod(F.xxhash64("k", F.lit(7)), F.col("blocks"))
     # side 2: all pairs of the region; 0 and 1: pairs between the sides
     region = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
         F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)).alias("region"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side")))
-    placed = hashed.join(full, "bucket").select("bucket", "buckets", "k", "vector", "weight", F.explode(region).alias("r")).select("r.region", "r.side", "bucket", "buckets", "k", "vector", "weight")
-    found = stored(placed.repartition(partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_compare(least), "k long, other long, n long"), "links")
+    placed = member.join(full, "bucket").select("bucket", "k", F.explode(region).alias("r")).select("r.region", "r.side", "bucket", "k").join(points, "k")
+    found = stored(placed.repartition(partitions(spark), "region").sortWithinPartitions("region").mapInArrow(_compare(least, tables, dtype), "k long, other long, n long"), "links")
     linked = found.groupBy("k").agg(F.sum("n").alias("n"))
-    member = components(found.select(F.col("k").alias("a"), F.col("other").alias("b")))
-    discard(hashed)
-    point = weights.join(linked, "k", "left").join(member.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    discard(points)
+    root = components(found.select(F.col("k").alias("a"), F.col("other").alias("b")))
+    point = weights.join(linked, "k", "left").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least_id = point.groupBy("root").agg(F.min("first").alias("component"))
     point = point.join(least_id, "root").select("k", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), "component")
     out = rows.select("vec_id", "k").join(point, "k", "left")

@@ -244,6 +244,44 @@ def test_near_vectors(spark, block):
     assert V.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_a_hot_group_of_near_vectors_is_counted_exactly(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(1500, 16)) * 0.11, rng.normal(size=(300, 16))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    expect = linked.sum(1) - 1
+    got = {r.vec_id: r.n_links for r in V.near_vectors(frame, max_bucket=400).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= expect).all() and found.sum() >= 0.99 * expect.sum() > 50_000
+
+
+def test_pairs_meet_first_in_one_bucket():
+    rng = np.random.default_rng(5)
+    own = np.sort(rng.integers(0, 6, (60, 3, 2)) + (np.arange(3) << V.TABLE_SHIFT)[:, None], axis=2).reshape(60, 6)
+    i, j = np.triu_indices(60, 1)
+    times = np.zeros(len(i), int)
+    for bucket in np.unique(own):
+        at = np.flatnonzero((own[i] == bucket).any(1) & (own[j] == bucket).any(1))
+        times[at[V.first_meetings(own, i[at], j[at], np.full(60, bucket), 3)]] += 1
+    shared = np.array([bool(set(own[a]) & set(own[b])) for a, b in zip(i, j)])
+    assert (times == shared).all()
+
+
+def test_forest_joins_what_the_pairs_join():
+    rng = np.random.default_rng(6)
+    for n in (2, 30, 200):
+        i, j = rng.integers(0, n, (2, n))
+        comp, edges = V.join_forest(np.arange(n), i, j)
+        least = np.arange(n)
+        for _ in range(n):
+            low = np.minimum(least[i], least[j])
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, j, low)
+        assert len(np.unique(np.stack([comp, least]), axis=1).T) == len(set(comp)) == len(set(least))
+        assert sum(map(len, edges)) == n - len(set(comp))
+
+
 def test_hadamard_keeps_lengths_and_angles():
     x = np.random.default_rng(1).normal(size=(5, 12))
     r = V.rotate(x, 3)
