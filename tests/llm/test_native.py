@@ -118,6 +118,28 @@ def test_secrets_match_brute_force(spark, docs, no_docs):
     assert S.secret_report(docs).count() == docs.count() and S.secret_report(no_docs).collect() == []
 
 
+def test_secrets_glued_to_names_are_found(spark):
+    texts = ["client_key=3f9k2m8x7q1z5v0b4n6c", "see example/3f9k2m8x7q1z5v0b4n6c now", "sk-live-4h7x9k2m8q1z5v0b3n6c", "API_ID=ABCD1234EFGH5678IJKL", "placeholder_3f9k2m8x7q1z5v0b4n6c",
+             "example_3f9k2m8x", "src/main/java/com/pages/index_of_words", "top-10-things-2-see-in-a-small-town", "id=123e4567-e89b-42d3-a456-426614174000", "a" * 60, "=" * 60]
+    secret = ["3f9k2m8x7q1z5v0b4n6c", "3f9k2m8x7q1z5v0b4n6c", "4h7x9k2m8q1z5v0b3n6c", "ABCD1234EFGH5678IJKL", "3f9k2m8x7q1z5v0b4n6c"] + [None] * 6
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in S.secret_spans(frame).collect():
+        covered = [r.text[s.start:s.stop] for s in r.spans if s.kind == "entropy"]
+        assert (len(covered) == 1 and secret[r.doc_id] in covered[0]) if secret[r.doc_id] else not covered, (r.text, covered)
+
+
+def test_long_texts_of_many_matches_are_scanned_in_proportion(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) + rng.choice([" ", " é ", "\n"]) for _ in range(20_000)]
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    text = "".join(words) + blob
+    frame = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    r = S.secret_spans(frame).first()
+    expect = base_spans(text)
+    assert [tuple(s) for s in r.base] == expect and len(expect) >= 20_000
+    assert max(s.stop for s in r.spans if s.kind == "entropy") > len(text) - 20
+
+
 # ---- surrogates
 
 def luhn(d):
