@@ -5,7 +5,7 @@ punctuation never counts. A document and an item that share a seed (a Karp-Rabin
 ``min_tile`` tokens in a row) are compared: the longest match of unmarked tokens is marked in both, again and
 again, until none of ``min_tile`` tokens is left. Coverage is the marked share of the
 item's tokens. As tiles may lie in any order and place, reordered and scattered passages
-count like whole ones.
+count like whole ones. An item of fewer than ``min_tile`` tokens is covered where all of it stands in a row.
 
 The benchmark goes to the tasks in blocks of at most ``block_chars`` characters; each block is one more
 pass over the documents' rows in the same stage. Nothing is shuffled.
@@ -53,10 +53,13 @@ def tokens(text: A.Text) -> A.Words:
     return A.words(text, breaks=A.PUNCTUATION)
 
 
-def index_items(items: list[int], texts: list[str | None], min_tile: int) -> Seeds:
-    """Seeds of all items. Items of fewer than ``min_tile`` tokens cannot be told from chance and have none."""
+def index_items(items: list[int], texts: list[str | None], min_tile: int, whole: bool = False) -> Seeds:
+    """Seeds of all items of at least ``min_tile`` tokens; with ``whole``, of those of just so many."""
     w = tokens(lowered(pa.array(texts, pa.large_string())))
     starts, per_item = A.window_starts(w.offsets, min_tile)
+    if whole:
+        starts = starts[np.repeat(per_item == 1, per_item)]
+        per_item = np.where(per_item == 1, 1, 0)
     h = A.rolling(w.names, min_tile)[starts] if len(starts) else np.zeros(0, U64)
     item = np.repeat(np.arange(len(items)), per_item)
     order = np.argsort(h, kind="stable")
@@ -129,14 +132,22 @@ def covered(w: A.Words, seeds: Seeds, min_tile: int, least: float) -> Iterator[t
             yield d, t, n / n_item
 
 
-def _add(seeds: Seeds, at: int, min_tile: int, least: float, names: list[str]):
+def index_all(items: list[int], texts: list[str | None], min_tile: int, least: float) -> list[tuple[Seeds, int, float]]:
+    """Indexes with their seed's size and least coverage: one for items that have a seed, one for each shorter length."""
+    found = [(index_items(items, texts, min_tile), min_tile, least), *[(index_items(items, texts, n, True), n, 1.0) for n in range(1, min_tile)]]
+    return [x for x in found if len(x[0].seed)]
+
+
+def _add(indexes: list[tuple[Seeds, int, float]], at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items, best = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             for i, _, t in A.slices(lowered(b.column(at))):
-                for d, k, c in covered(tokens(t), seeds, min_tile, least):
-                    items[i + d].append(int(seeds.items[k]))
-                    best[i + d] = max(best[i + d], c)
+                w = tokens(t)
+                for seeds, size, least in indexes:
+                    for d, k, c in covered(w, seeds, size, least):
+                        items[i + d].append(int(seeds.items[k]))
+                        best[i + d] = max(best[i + d], c)
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(best, pa.float64())], names)
 
     return run
@@ -147,9 +158,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, least:
     """``docs`` with the sorted ids of the benchmark items that a row covers to at least ``least``, and the
     greatest coverage (0 without any).
 
-    Null and empty texts cover nothing. Items without an id, without text or of fewer than ``min_tile`` tokens
-    are not looked for. Repeated items are each reported. Items go round in blocks; the driver
-    holds one block at a time.
+    Null and empty texts cover nothing. Items without an id, a text or a token are not looked for. An
+    item of fewer than ``min_tile`` tokens counts only whole, with its tokens in a row. Repeated items are
+    each reported. Items go round in blocks; the driver holds one block at a time.
     """
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -160,8 +171,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, least:
     for k in range(blocks):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else known
         rows = part.orderBy("item_id", "text").collect()
-        seeds = index_items([r["item_id"] for r in rows], [r["text"] for r in rows], min_tile)
-        out = out.mapInArrow(_add(seeds, at, min_tile, least, out.columns), schema)
+        indexes = index_all([r["item_id"] for r in rows], [r["text"] for r in rows], min_tile, least)
+        out = out.mapInArrow(_add(indexes, at, out.columns), schema)
     return out
 
 

@@ -220,6 +220,15 @@ def benchmark(spark):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Quartz vexes nymphs."), (2, "zyzzyva"), (3, "one two three four"), (4, "..."), (5, None), (6, "one two three four five six"), (3, "one two three four")]
+    texts = ["He said: quartz, VEXES -- nymphs!", "quartz nymphs vexes", "a zyzzyva", "zyzzyvas", "one two three four", "one two three five four", "zero one two three four five", "", None, "nymphs quartz vexes nymphs quartz"]
+    expect = [[1], [], [2], [], [3, 3], [], [3, 3, 6], [], [], [1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.contaminated, r["items"]) for r in D.leaks(frame, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {i: (bool(e), e) for i, e in enumerate(expect)}
+
+
 @pytest.mark.parametrize("chars", [8_000_000, 60])
 def test_leaks(spark, benchmark, docs, chars):
     q = "the QUICK brown fox jumps over the lazy dog near a river bank while seven owls watched silently tonight"
