@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barspark.llm import arrays as A
@@ -169,10 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
 
     Labels other than 0 and 1 are left out; a document labelled twice counts twice. The chosen ids (16
     bytes each, so at most 16 * max_rows bytes) are broadcast, and only the statistics of their
-    documents come to the driver.
+    documents come to the driver. Where documents repeat ids, the least repeated ids go first, as long as
+    all their rows stay within ``max_rows``.
     """
     chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__op_id"), F.col(label_col).cast("double").alias("__op_y"))
               .orderBy(F.xxhash64("__op_id"), "__op_id", "__op_y").limit(max_rows))
+    rows_of = docs.select(F.col(id_col).alias("__op_doc")).join(F.broadcast(chosen), F.col("__op_doc") == F.col("__op_id")).groupBy("__op_id").agg(F.count(F.lit(1)).alias("n"))
+    # at most max_rows ids, so one small window
+    taken = rows_of.select("__op_id", F.sum("n").over(Window.orderBy("n", F.xxhash64("__op_id"), "__op_id")).alias("so_far")).where(F.col("so_far") <= max_rows).select("__op_id")
+    chosen = chosen.join(F.broadcast(taken), "__op_id")
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__op_id")).select(F.col("__op_y").alias("y"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_statistics_of, "y double, x array<double>").toArrow()
     y = rows.column("y").to_numpy()

@@ -305,6 +305,16 @@ def test_memo_is_bounded(monkeypatch):
 
 # ---- quality
 
+def test_training_rows_are_bounded_when_ids_repeat(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(Q, "fit", lambda x, y: sizes.append((len(x), int(y.sum()))))
+    docs = spark.createDataFrame([(1, "good words here")] * 500 + [(2, "bad ### words")] * 3 + [(i, "plain words") for i in range(3, 13)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)] + [(3, 1), (4, None), (40, 1)], "doc_id int, quality int")
+    for most in (1000, 100, 12, 5, 0):
+        Q.train(docs, labels, most)
+    assert [n for n, _ in sizes[:2]] == [514, 14] and all(n <= most for (n, _), most in zip(sizes, (1000, 100, 12, 5, 0))) and sizes[2][0] >= 8
+
+
 def test_quality_statistics_and_scores(spark, docs, no_docs):
     import random
     from tests.llm.conftest import prose
