@@ -50,8 +50,7 @@ def q_scan_json_mixed(spark, sf_dir):
     out = scratch_path(spark, "scan-json-mixed")
     bars = events_bars(spark, sf_dir)
     sk.save(bars.where("seq % 2 = 0").select(*BAR_COLUMNS), f"{out}/lines", "json")
-    bars.where("seq % 2 = 1").select(F.to_json(F.struct(*BAR_COLUMNS), {"timestampNTZFormat": TIMESTAMP_FORMAT}).alias("r")).groupBy(
-        F.spark_partition_id()).agg(F.concat(F.lit("\n["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).select("value").write.text(f"{out}/array")
+    sk.save_arrays(bars.where("seq % 2 = 1").select(*BAR_COLUMNS), f"{out}/array", lead="\n")
     return rd.read_json(spark, out, recursive=True)
 
 

@@ -10,11 +10,14 @@ from barspark.operators.filters import apply_conditions
 from barspark.operators.standardize import conform_schema
 from barspark.sources.readers import TIMESTAMP_FORMAT, detect_format, load
 
+#: Records of one JSON array document.
+ARRAY_RECORDS = 50_000
+
 
 def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
          partition_by: Sequence[str] | None = None) -> None:
     """Write ``df`` as csv (K1), txt = tab-separated (K2), json lines (K3), json_array (K3's
-    export form: one array document per output file), parquet (K4) or feather (K5).
+    export form: one array document of up to ``ARRAY_RECORDS`` records per output file), parquet (K4) or feather (K5).
     ``partition_by`` (e.g. ``["ticker"]``) lays out one folder per value."""
     fmt = fmt or detect_format(path)
     if partition_by and fmt in ("feather", "json_array"):
@@ -29,7 +32,7 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
     elif fmt == "json":
         w.option("timestampNTZFormat", TIMESTAMP_FORMAT).option("ignoreNullFields", False).json(path)
     elif fmt == "json_array":
-        _json_array_lines(df).write.mode(mode).text(path)
+        save_arrays(df, path, mode)
     elif fmt in ("parquet", "polars", "pyarrow"):
         w.parquet(path)
     elif fmt == "feather":
@@ -40,11 +43,16 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
         raise ValueError(f"Unsupported format: {fmt}")
 
 
-def _json_array_lines(df: DataFrame) -> DataFrame:
-    """Each partition as one JSON array document: ``[`` first, commas between, ``]`` last.
+def save_arrays(df: DataFrame, path: str, mode: str = "overwrite", lead: str = "") -> None:
+    """Files of one JSON array of up to ``ARRAY_RECORDS`` records each, after ``lead``. A reader takes an array whole, so their size must not
+    grow with the data."""
+    json_array_lines(df, ARRAY_RECORDS, lead).write.mode(mode).option("maxRecordsPerFile", ARRAY_RECORDS).text(path)
+
+
+def json_array_lines(df: DataFrame, records: int, lead: str = "") -> DataFrame:
+    """Each partition as JSON array documents of ``records`` lines, one a record: ``[`` first, commas between, ``]`` last.
 
-    Records are rendered by ``to_json`` in the JVM; the per-partition framing streams
-    Arrow batches, so no partition is held whole in memory.
+    Records are rendered by ``to_json`` in the JVM; the framing streams Arrow batches, so no partition is held whole in memory.
     """
     from pyspark.sql import functions as F
     rendered = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
@@ -53,17 +61,18 @@ def _json_array_lines(df: DataFrame) -> DataFrame:
 
     def frame(batches):
         import pandas as pd
-        first = True
+        n, last = 0, None  # the last record is held back until it is known whether its array ends
         for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf["value"].tolist()
-            vals[0] = ("[" if first else ",") + vals[0]
-            vals[1:] = ["," + v for v in vals[1:]]
-            first = False
-            yield pd.DataFrame({"value": vals})
-        if not first:
-            yield pd.DataFrame({"value": ["]"]})
+            out = []
+            for v in pdf["value"].tolist():
+                if last is not None:
+                    out.append(last + "]" if n % records == 0 else last)
+                last = (lead + "[" if n % records == 0 else ",") + v
+                n += 1
+            if out:
+                yield pd.DataFrame({"value": out})
+        if last is not None:
+            yield pd.DataFrame({"value": [last + "]"]})
 
     return rendered.mapInPandas(frame, "value string")
 
