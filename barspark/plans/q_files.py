@@ -19,6 +19,8 @@ from barspark.sources import files as fl
 from barspark.sources import readers as rd
 from barspark.sources import sinks as sk
 from barspark.sources.driver_tables import events_bars, events_stooq_text
+from barspark.sources.headers import plain_path, read_layouts
+from barspark.sources.lines import NO_VALUE
 from barspark.sources.readers import TIMESTAMP_FORMAT
 from barspark.sources.stooq_text import write_stooq_text
 from barspark.streaming.ingest import ingest_files, ingest_summary
@@ -298,9 +300,16 @@ def q_clean_folder(spark, sf_dir):
     root, out = _stooq_folder(spark, sf_dir), scratch_path(spark, "cleaned")
     clean_folder(spark, f"{root}/good", out, "v2", as_of="2025-06-30",
                  partition_key=lambda c: F.regexp_extract(c, r"_part=([^/]+)/", 1))
-    back = spark.read.option("header", True).option("recursiveFileLookup", False).csv(out)
+    names = ["<TICKER>", "<DATE>", "<TIME>", "<OPEN>", "<CLOSE>"]
+    folder = F.regexp_extract(plain_path(F.col("_source")), r"source_file=([^/]+)/", 1)
+
+    def select(df, columns):
+        df = rd._with_source(df, True)
+        return df.select(*[F.col(columns[c]).alias(c) for c in names], plain_path(F.nullif(folder, F.lit(NO_VALUE))).alias("source_file"))
+
+    back = read_layouts(spark, [out], select, recursive=True, glob="*.csv")
     return back.select("`<TICKER>`", "`<DATE>`", "`<TIME>`", F.col("`<OPEN>`").cast("double").alias("<OPEN>"),
-                       F.col("`<CLOSE>`").cast("double").alias("<CLOSE>"), F.col("source_file").cast("string"))
+                       F.col("`<CLOSE>`").cast("double").alias("<CLOSE>"), "source_file")
 
 
 @query("quality_report_files", f"""WITH raw AS ({EVENTS_STOOQ}),

@@ -12,7 +12,8 @@ from barspark.schema import ANALYSIS_REQUIRED
 from barspark.session import written
 from barspark.sources import files as fl
 from barspark.sources.headers import grouped, header_names, plain_path, separator
-from barspark.sources.listing import inspected
+from barspark.sources.lines import write_lines
+from barspark.sources.listing import inspected, known_store
 from barspark.sources.readers import read_csv, read_stooq_raw
 
 
@@ -95,5 +96,11 @@ def clean_folder(spark: SparkSession, root: str, out: str, mode: str = "v2", as_
     key = partition_key or (lambda c: F.regexp_replace(fl._plain(plain_path(c)), F.concat(F.lit("^\\Q"), top, F.lit("\\E")), F.lit("")))
     raw = read_stooq_raw(spark, root, with_source=True, recursive=True, glob="*.txt")
     cleaned = cl.clean_stooq(raw, mode, as_of).withColumn("source_file", key(F.col("_source"))).drop("_source")
-    cleaned.write.mode("overwrite").partitionBy("source_file").option("header", True).csv(out)
+    if known_store(out):
+        # one file a folder, as many as files were read: tasks write them
+        names = [c for c in cleaned.columns if c != "source_file"]
+        rows = cleaned.select("source_file", F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names])).alias("line"), F.monotonically_increasing_id().alias("_at"))
+        write_lines(rows, out, "source_file", ",".join(names), ["_at"], ".csv")
+    else:
+        cleaned.write.mode("overwrite").partitionBy("source_file").option("header", True).csv(out)
     return cleaned

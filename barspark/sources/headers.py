@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.sources.listing import BOM, known_store, with_headers
+from barspark.sources import lines
+from barspark.sources.listing import BOM, inspected, known_store, with_headers
 
 
 class Layout(NamedTuple):
@@ -116,7 +117,11 @@ def by_folder(root: str, found: list[Layout], others: Iterable[str]) -> list[Lay
 def layouts(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> list[Layout]:
     """The layouts found; the driver holds the paths, as Spark's own file index does."""
     head = F.col("header")
-    found = first_lines(spark, paths, recursive, glob).select("path", separator(head).alias("sep"), header_names(head).alias("names"))
+    if recursive and glob in ("*.txt", "*.csv") and len(paths) == 1 and not re.search(r"[*?\[{]", paths[0]) and known_store(paths[0]):
+        seen = inspected(spark, paths[0], glob).where(head.isNotNull())  # tasks list the folder
+    else:
+        seen = first_lines(spark, paths, recursive, glob)
+    found = seen.select("path", separator(head).alias("sep"), header_names(head).alias("names"))
     return grouped((r["path"], r["sep"], r["names"]) for r in found.toLocalIterator())
 
 
@@ -127,10 +132,19 @@ def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[Da
     known already; then their paths are read, folders among them as ``recursive`` and ``glob`` say."""
     known = found is not None
     found = found if known else layouts(spark, paths, recursive, glob)
+    names = [p for k in found for p in k.paths]
+    # very many files: Spark's scan would have its driver ask for each of them
+    many = len(names) > lines.MANY and lines.readable(names) and all(known_store(p) for p in {p.split("://", 1)[0]: p for p in names}.values())
     out = None
     for k in found:
         columns = {n: f"_c{i}" for i, n in reversed(list(enumerate(k.names)))}
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.names))])
+        if many:
+            options = {"sep": k.sep, "mode": "PERMISSIVE", **({"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"} if trim else {})}
+            rows = lines.data_lines(spark, k.paths)
+            part = select(rows.select("_source", F.from_csv("line", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r")).select("_source", "r.*"), columns)
+            out = part if out is None else out.unionByName(part)
+            continue
         # one layout: the folder itself; several: exactly their files
         whole = len(found) == 1 and not known
         r = reader(spark, recursive, glob) if whole or known else spark.read

@@ -116,34 +116,47 @@ def _hadoop_files(spark: SparkSession, root: str) -> list[tuple]:
     return out
 
 
-def _list_folders(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-    for b in batches:
-        for folder in b.column(0).to_pylist():
-            files, _ = _entries(folder, True)
-            for k in range(0, len(files), 10_000):
-                path, size, time = zip(*files[k:k + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(time, pa.timestamp("us", "UTC"))], ["path", "length", "modification_time"])
+def _opened(deep: bool) -> Callable[[Iterator], Iterator]:
+    """Rows of files as they are; folders, which have no length, opened: their files, and with ``deep`` those below, else their sub-folders."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            path, size, time = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(time, pa.timestamp("us", "UTC"))], ["path", "length", "modification_time"])
+
+        held = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[1] is not None:
+                    held.append(row)
+                else:
+                    files, below = _entries(row[0], deep)
+                    held += files
+                    held += [(f, None, None) for f in below]
+                while len(held) >= 10_000:
+                    yield batch(held[:10_000])
+                    held = held[10_000:]
+        if held:
+            yield batch(held)
+
+    return run
 
 
 def files_below(spark: SparkSession, root: str) -> DataFrame:
     """``path, length, modification_time`` of every file under ``root``, empty ones too, hidden ones not. One listing; a
-    folder that cannot be listed is an error."""
+    folder that cannot be listed is an error. The driver lists the top only; where that has few folders, tasks open
+    two levels more before they deal out what is below."""
     if not known_store(root):
         return spark.createDataFrame(_hadoop_files(spark, root), FILES)
     files, todo = _entries(root, False)
-    while 0 < len(todo) < FOLDERS:
-        deeper = []
-        for folder in todo:
-            more, below = _entries(folder, False)
-            files += more
-            deeper += below
-        todo = deeper
     out = spark.createDataFrame(files, FILES)
     if todo:
-        tasks = min(len(todo), 4 * spark.sparkContext.defaultParallelism)
-        dealt = spark.createDataFrame([(f,) for f in todo], "path string").repartition(tasks)
-        out = out.unionByName(dealt.mapInArrow(_list_folders, FILES))
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        dealt = spark.createDataFrame([(f, None, None) for f in todo], FILES).repartition(min(len(todo), tasks))
+        if len(todo) < FOLDERS:
+            dealt = dealt.mapInArrow(_opened(False), FILES).repartition(tasks).mapInArrow(_opened(False), FILES).repartition(tasks)
+        out = out.unionByName(dealt.mapInArrow(_opened(True), FILES))
     return out
 
 

@@ -20,6 +20,7 @@ from barspark.operators.standardize import clean_header_name, conform_schema, st
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
 from barspark.session import configure
 from barspark.sources.headers import Layout, by_folder, grouped, json_shapes, read_layouts, reader
+from barspark.sources.lines import MANY
 
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -41,7 +42,7 @@ def detect_format(path: str) -> str:
 
 
 def _with_source(df: DataFrame, with_source: bool) -> DataFrame:
-    return df.withColumn("_source", F.col("_metadata.file_path")) if with_source else df
+    return df.withColumn("_source", F.col("_metadata.file_path")) if with_source and "_source" not in df.columns else df
 
 
 def _empty(spark: SparkSession, columns: list[str]) -> DataFrame:
@@ -217,7 +218,7 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
     if not good:
         raise ValueError("No valid files could be loaded")
     known = known_files(fmt, good)
-    if "layouts" in known:
+    if "layouts" in known and len(good) <= MANY:
         exact, pattern = known["layouts"], pattern or ext
         folders = by_folder(root, exact, [path for path, _ in skipped])
         bars = load(spark, root, fmt, with_source=True, recursive=True, glob=pattern, layouts=folders)
