@@ -331,17 +331,16 @@ def directory_rollup(files: DataFrame, root: str, path: str = "path", size: str
     """Files and MB per extension and per relative directory, plus a total row.
 
     Output rows ``group_kind`` (``extension``, ``directory``, ``total``), ``group``,
-    ``files``, ``total_size_mb``.
+    ``files``, ``total_size_mb``. One pass over ``files``, which may be a listing of a folder: each file counts in its three groups.
     """
     info = file_info(files, path, size)
     root = root.rstrip("/")
     rel = F.regexp_replace(F.col("directory"), "^" + _regex_quote(root) + "/?", "")
     info = info.withColumn("rel_dir", F.when(rel == "", F.lit(".")).otherwise(rel))
-    ext = info.groupBy(F.lit("extension").alias("group_kind"), F.col("extension").alias("group"))
-    dirs = info.groupBy(F.lit("directory").alias("group_kind"), F.col("rel_dir").alias("group"))
-    tot = info.groupBy(F.lit("total").alias("group_kind"), F.lit("").alias("group"))
-    aggs = [F.count(F.lit(1)).alias("files"), F.sum("size_mb").alias("total_size_mb")]
-    return ext.agg(*aggs).unionByName(dirs.agg(*aggs)).unionByName(tot.agg(*aggs))
+    kinds = {"extension": F.col("extension"), "directory": F.col("rel_dir"), "total": F.lit("")}
+    groups = F.array(*[F.struct(F.lit(k).alias("group_kind"), g.alias("group")) for k, g in kinds.items()])
+    return (info.select(F.inline(groups), "size_mb").groupBy("group_kind", "group")
+            .agg(F.count(F.lit(1)).alias("files"), F.sum("size_mb").alias("total_size_mb")))
 
 
 def _regex_quote(s: str) -> str:

@@ -4,11 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from barspark.operators import correlation as corr
-from barspark.plans.report import clean_folder
+from barspark.operators import correlation as corr, profile as pf
+from barspark.plans.report import clean_folder, quality_report, timestamp_report
 from barspark.schema import STOOQ_COLUMNS
-from barspark.sources import lines, listing as ls, readers as rd, sinks as sk
+from barspark.sources import files as fl, lines, listing as ls, readers as rd, sinks as sk
 from barspark.sources.stooq_text import write_stooq_text
 
 
@@ -94,3 +95,25 @@ def test_cleaned_folder_by_tasks(spark, tmp_dir, monkeypatch):
     clean_folder(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", as_of="2025-01-01")
     back = spark.read.option("header", True).csv(f"{tmp_dir}/out")
     assert seen and back.count() == 32 * 3 and back.columns[-1] == "source_file"
+
+
+@pytest.fixture
+def many_files(spark, tmp_dir, monkeypatch):
+    """A folder of good and bad files that counts as very many, and the rows that the driver gets while a test runs."""
+    write_stooq_text(stooq(spark, 60), f"{tmp_dir}/good")
+    write_stooq_text(stooq(spark, 60), f"{tmp_dir}/bad", columns=[c for c in STOOQ_COLUMNS if c not in ("<DATE>", "<CLOSE>")])
+    frame, got = type(spark.range(1)), []
+    real = frame.collect
+    monkeypatch.setattr(lines, "MANY", 10)
+    monkeypatch.setattr(frame, "collect", lambda df: got.append(real(df)) or got[-1])
+    monkeypatch.setattr(frame, "toLocalIterator", lambda df, *a: iter(df.collect()))
+    return tmp_dir, got
+
+
+def test_rollup_lists_once(spark, many_files):
+    root, _ = many_files
+    out = pf.directory_rollup(fl.list_files(spark, root, "*.txt").withColumn("path", fl._plain("path")), root)
+    # tasks open the folder twice on the way down and once below: one listing
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    got = {(r["group_kind"], r["group"]): r.files for r in out.collect()}
+    assert got["total", ""] == got["extension", ".txt"] == 124 and got["directory", "bad/_part=U7"] == 1 and len(got) == 126
