@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.columns import file_extension
 from barspark.schema import EXTENSION_FORMATS, STOOQ_REQUIRED
+from barspark.session import written
 from barspark.sources.headers import BOM, first_lines, header_names, opens_array, separator
 from barspark.sources.listing import files_below, inspected, name_pattern
 
@@ -68,9 +69,10 @@ def validate_files(spark: SparkSession, candidates: DataFrame, root: str) -> Dat
     matching the format, required header names absent (txt: the Stooq names;
     csv: ``ticker, timestamp, close``; json lines: the keys of the first record).
     """
-    files = inspected(spark, root).select(_plain(F.col("path")).alias("_p"), "length", "extension", "header")
+    found = written(inspected(spark, root), "inspected")
+    files = found.select(_plain(F.col("path")).alias("_p"), "length", "extension", "header")
     cand = candidates.select(F.col("path"), F.col("format"), _plain(F.col("path")).alias("_p"))
-    return verdicts(cand.join(files, "_p", "left").join(_array_keys(spark, root), "_p", "left")).select("path", "format", "valid", "error")
+    return verdicts(cand.join(files, "_p", "left").join(_array_keys(found.where(F.col("path").rlike("(?s)[.]json$"))), "_p", "left")).select("path", "format", "valid", "error")
 
 
 def verdicts(files: DataFrame) -> DataFrame:
@@ -96,22 +98,23 @@ def verdicts(files: DataFrame) -> DataFrame:
 
 
 def checked(spark: SparkSession, root: str, fmt: str, pattern: str | None = None) -> DataFrame:
-    """``path, valid, error, sep, names, array`` of the files under ``root`` that match ``pattern``, all declared to be ``fmt``: one listing
+    """``path, length, valid, error, sep, names, array`` of the files under ``root`` that match ``pattern``, all declared to be ``fmt``: one listing
     and one look at each header give the verdict and the layout to read by."""
     files = inspected(spark, root, pattern).withColumn("format", F.lit(fmt))
     if fmt == "json":
-        files = files.withColumn("_p", _plain(F.col("path"))).join(_array_keys(spark, root), "_p", "left")
+        files = files.withColumn("_p", _plain(F.col("path"))).join(_array_keys(inspected(spark, root, "*.json")), "_p", "left")
     else:
         files = files.withColumn("keys", F.lit(None).cast("array<string>"))
     head = F.col("header")
-    return verdicts(files).select("path", "valid", "error", separator(head).alias("sep"), header_names(head).alias("names"), opens_array(head).alias("array"))
+    return verdicts(files).select("path", "length", "valid", "error", separator(head).alias("sep"), header_names(head).alias("names"), opens_array(head).alias("array"))
 
 
-def _array_keys(spark: SparkSession, root: str) -> DataFrame:
-    """``_p, keys``: the required names that records of each JSON array file hold; NULL keys where the text is no JSON."""
+def _array_keys(found: DataFrame) -> DataFrame:
+    """``_p, keys``: the required names that records of each JSON array file among inspected ones hold; NULL keys where the text is no JSON."""
     from barspark.sources.readers import required_columns
+    spark = found.sparkSession
     need = required_columns("json")
-    files = [r["path"] for r in inspected(spark, root, "*.json").where(opens_array(F.col("header"))).select("path").toLocalIterator()]
+    files = [r["path"] for r in found.where(opens_array(F.col("header"))).select("path").collect()]
     if not files:
         return spark.createDataFrame([], "_p string, keys array<string>")
     rows = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(

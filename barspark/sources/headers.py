@@ -15,16 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barspark.session import written
 from barspark.sources import lines
 from barspark.sources.listing import BOM, inspected, known_store, with_headers
 
 
 class Layout(NamedTuple):
-    """Files that share separator and header; ``paths`` is what to read them by."""
+    """Files that share separator and header; ``paths`` is what to read them by: a table with ``path, length`` if they are very many."""
 
     sep: str
     names: list[str]
-    paths: list[str]
+    paths: list[str] | DataFrame
 
 
 def reader(spark: SparkSession, recursive: bool = False, glob: str | None = None):
@@ -82,6 +83,19 @@ def grouped(found: Iterable[tuple[str, str, Sequence[str]]]) -> list[Layout]:
     return [Layout(sep, list(names), sorted(paths)) for (sep, names), paths in sorted(by.items())]
 
 
+def of_files(seen: DataFrame) -> list[Layout]:
+    """Layouts of files given by ``path, length, sep, names``, a stored table. The driver gets one row a layout and, of up to
+    ``lines.MANY`` files, their paths. More stay rows of the table, if ``lines`` can read them."""
+    kind = F.struct("sep", "names").alias("kind")
+    store = F.regexp_extract("path", "^([^:/]+)://", 1)
+    found = seen.groupBy(kind, store).agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path"), F.max(lines.packed(F.col("path"))).alias("packed")).collect()
+    if sum(r["files"] for r in found) <= lines.MANY or any(r["packed"] or not known_store(r["path"]) for r in found):
+        return grouped((r["path"], r["sep"], r["names"]) for r in seen.select("path", "sep", "names").collect())
+    kinds = sorted({(r["kind"]["sep"], tuple(r["kind"]["names"])) for r in found})
+    same = lambda sep, names: (F.col("sep") == sep) & (F.col("names") == F.array(*map(F.lit, names)))
+    return [Layout(sep, list(names), seen.where(same(sep, names)).select("path", "length")) for sep, names in kinds]
+
+
 def by_folder(root: str, found: list[Layout], others: Iterable[str]) -> list[Layout]:
     """The same layouts by as few paths as will do: a folder below ``root`` stands for its files if all known ones have the
     layout. ``others``: known files that are not to be read. Spark's driver checks each path that it is given, so a
@@ -115,14 +129,14 @@ def by_folder(root: str, found: list[Layout], others: Iterable[str]) -> list[Lay
 
 
 def layouts(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> list[Layout]:
-    """The layouts found; the driver holds the paths, as Spark's own file index does."""
+    """The layouts found. The files of one folder are listed by tasks, and very many stay there; of others the driver holds the paths, as
+    Spark's own file index does."""
     head = F.col("header")
     if recursive and glob in ("*.txt", "*.csv") and len(paths) == 1 and not re.search(r"[*?\[{]", paths[0]) and known_store(paths[0]):
         seen = inspected(spark, paths[0], glob).where(head.isNotNull())  # tasks list the folder
-    else:
-        seen = first_lines(spark, paths, recursive, glob)
-    found = seen.select("path", separator(head).alias("sep"), header_names(head).alias("names"))
-    return grouped((r["path"], r["sep"], r["names"]) for r in found.toLocalIterator())
+        return of_files(written(seen.select("path", "length", separator(head).alias("sep"), header_names(head).alias("names")), "layouts"))
+    found = first_lines(spark, paths, recursive, glob).select("path", separator(head).alias("sep"), header_names(head).alias("names"))
+    return grouped((r["path"], r["sep"], r["names"]) for r in found.collect())
 
 
 def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[DataFrame, dict[str, str]], DataFrame],
@@ -132,14 +146,14 @@ def read_layouts(spark: SparkSession, paths: Sequence[str], select: Callable[[Da
     known already; then their paths are read, folders among them as ``recursive`` and ``glob`` say."""
     known = found is not None
     found = found if known else layouts(spark, paths, recursive, glob)
-    names = [p for k in found for p in k.paths]
+    names = [p for k in found if not isinstance(k.paths, DataFrame) for p in k.paths]
     # very many files: Spark's scan would have its driver ask for each of them
     many = len(names) > lines.MANY and lines.readable(names) and all(known_store(p) for p in {p.split("://", 1)[0]: p for p in names}.values())
     out = None
     for k in found:
         columns = {n: f"_c{i}" for i, n in reversed(list(enumerate(k.names)))}
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.names))])
-        if many:
+        if many or isinstance(k.paths, DataFrame):
             options = {"sep": k.sep, "mode": "PERMISSIVE", **({"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"} if trim else {})}
             rows = lines.data_lines(spark, k.paths)
             part = select(rows.select("_source", F.from_csv("line", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r")).select("_source", "r.*"), columns)

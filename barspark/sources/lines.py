@@ -10,12 +10,13 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barspark.session import file_tasks
 from barspark.sources.arrow_ipc import _fs
 
-#: Files of one read above which their lines are read here rather than by Spark's scan.
+#: Files of one read above which their lines are read here rather than by Spark's scan, and their paths stay out of the driver.
 MANY = 1000
 #: Bytes that one row of work covers, and text that a batch of rows holds.
 RANGE, BATCH = 32 << 20, 2 << 20
@@ -77,28 +78,35 @@ def readable(paths: Sequence[str]) -> bool:
     return not any(p.lower().endswith(_PACKED) for p in paths)
 
 
-def data_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def packed(path: Column) -> Column:
+    """Whether a file's name says that it is compressed."""
+    return F.lower(path).rlike(f"({'|'.join(map(re.escape, _PACKED))})$")
+
+
+def data_lines(spark: SparkSession, files: Sequence[str] | DataFrame) -> DataFrame:
     """``_source, line``: the lines of known files that are not blank, but each file's first. Rows come in file order within a
-    partition, and a file's parts in the order of partitions."""
+    partition, and a file's parts in the order of partitions. ``files``: their paths, or a table with ``path, length``."""
     import pyarrow as pa
     tasks = file_tasks(spark)
-    files = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())})).repartition(tasks)
-    parts = files.mapInArrow(_ranges, "path string, start long, stop long")
+    if not isinstance(files, DataFrame):
+        paths = spark.createDataFrame(pa.table({"path": pa.array(files, pa.string())})).repartition(tasks)
+        files = paths.mapInArrow(_sizes, "path string, length long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long")))
+    parts = files.where("length > 0").select("path", "length", starts.alias("start"))
+    parts = parts.select("path", "start", F.least(F.col("start") + RANGE, F.col("length")).alias("stop"))
     return parts.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start").mapInArrow(_lines, "_source string, line string")
 
 
-def _ranges(batches: Iterator) -> Iterator:
+def _sizes(batches: Iterator) -> Iterator:
     import pyarrow as pa
     for b in batches:
-        found = []
+        sizes = []
         for path in b.column(0).to_pylist():
             filesystem, inner = _fs(path)
-            size = filesystem.get_file_info(inner).size
-            if size is None:
+            sizes.append(filesystem.get_file_info(inner).size)
+            if sizes[-1] is None:
                 raise FileNotFoundError(path)
-            found += [(path, at, min(at + RANGE, size)) for at in range(0, size, RANGE)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["path", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["path", "length"])
 
 
 def _read(path: str, start: int, stop: int) -> list[bytes]:

@@ -18,9 +18,9 @@ from barspark.functions.columns import file_stem
 from barspark.operators.filters import apply_conditions, scan_condition
 from barspark.operators.standardize import clean_header_name, conform_schema, standardize_stooq
 from barspark.schema import BAR_COLUMNS, BAR_REQUIRED, EXTENSION_FORMATS, STOOQ_COLUMNS, STOOQ_REQUIRED
-from barspark.session import configure
-from barspark.sources.headers import Layout, by_folder, grouped, json_shapes, read_layouts, reader
-from barspark.sources.lines import MANY
+from barspark.session import configure, written
+from barspark.sources import lines
+from barspark.sources.headers import Layout, by_folder, grouped, json_shapes, of_files, read_layouts, reader
 
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -205,25 +205,26 @@ def load_with_skips(spark: SparkSession, root: str, fmt: str, strict: bool = Fal
     """Load every ``fmt`` file under ``root``, skipping files that fail validation.
 
     Returns ``(bars, skipped)``; ``skipped`` lists ``path, error``. One pass lists the files and reads the start of each, which
-    gives its verdict and its layout; then only the good files are read. Their paths pass through the driver, as in
-    Spark's own file index. ``strict`` raises on the first bad file; no good file raises.
+    gives its verdict and its layout, kept as a table; then only the good files are read. Paths of text files pass through the driver
+    only if they are few. ``strict`` raises on the first bad file; no good file raises.
     """
     from barspark.sources.files import checked
     ext = {"txt": "*.txt", "csv": "*.csv", "json": "*.json", "parquet": "*.parquet", "feather": "*.feather"}.get(fmt, "*")
-    rows = checked(spark, root, fmt, pattern or ext).orderBy("path").collect()
-    skipped = [(r["path"], r["error"]) for r in rows if not r["valid"]]
-    if strict and skipped:
-        raise ValueError(f"{skipped[0][0]}: {skipped[0][1]}")
-    good = [r for r in rows if r["valid"]]
-    if not good:
+    rows = written(checked(spark, root, fmt, pattern or ext), "checked")
+    counts = {r["valid"]: r["count"] for r in rows.groupBy("valid").count().collect()}
+    skipped = rows.where(~F.col("valid")).select("path", "error").orderBy("path")
+    if strict and (first := skipped.first()):
+        raise ValueError(f"{first[0]}: {first[1]}")
+    if not counts.get(True):
         raise ValueError("No valid files could be loaded")
-    known = known_files(fmt, good)
-    if "layouts" in known and len(good) <= MANY:
-        exact, pattern = known["layouts"], pattern or ext
-        folders = by_folder(root, exact, [path for path, _ in skipped])
+    if fmt not in ("csv", "txt"):
+        good = rows.where("valid").orderBy("path").collect()
+        return load(spark, [r["path"] for r in good], fmt, with_source=True, **known_files(fmt, good)), skipped
+    exact, pattern = of_files(rows.where("valid")), pattern or ext
+    if sum(counts.values()) <= lines.MANY:
+        folders = by_folder(root, exact, [r["path"] for r in skipped.collect()])
         bars = load(spark, root, fmt, with_source=True, recursive=True, glob=pattern, layouts=folders)
-        if folders == exact or len(bars.inputFiles()) == len(good):
-            return bars, spark.createDataFrame(skipped, "path string, error string")
-    # files came or went meanwhile, or are not text: exactly those that were looked at
-    bars = load(spark, [r["path"] for r in good], fmt, with_source=True, **known)
-    return bars, spark.createDataFrame(skipped, "path string, error string")
+        if folders == exact or len(bars.inputFiles()) == counts[True]:
+            return bars, skipped
+    # very many, or files came or went meanwhile: exactly those that were looked at
+    return load(spark, root, fmt, with_source=True, layouts=exact), skipped

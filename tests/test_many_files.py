@@ -117,3 +117,28 @@ def test_rollup_lists_once(spark, many_files):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
     got = {(r["group_kind"], r["group"]): r.files for r in out.collect()}
     assert got["total", ""] == got["extension", ".txt"] == 124 and got["directory", "bad/_part=U7"] == 1 and len(got) == 126
+
+
+def test_load_keeps_paths_out_of_the_driver(spark, many_files):
+    root, got = many_files
+    bars, skipped = rd.load_with_skips(spark, root, "txt")
+    assert max(map(len, got)) < 10
+    assert bars.count() == 62 * 3 and skipped.where("error = 'Missing required columns: <DATE>, <CLOSE>' and path like '%/bad/%'").count() == 62
+    with pytest.raises(ValueError, match="/bad/"):
+        rd.load_with_skips(spark, root, "txt", strict=True)
+
+
+def test_scan_keeps_paths_out_of_the_driver(spark, many_files):
+    root, got = many_files
+    raw = rd.read_stooq_raw(spark, root, with_source=True, recursive=True, glob="*.txt")
+    assert max(map(len, got)) < 10
+    assert raw.count() == 2 * 62 * 4 and raw.where("`<DATE>` is null").count() == 62 * 4 and raw.select("_source").distinct().count() == 124
+
+
+def test_lengths_of_the_listing_are_used(spark, many_files, monkeypatch):
+    root, _ = many_files
+    monkeypatch.setattr(lines, "RANGE", 64)
+    seen = ls.files_below(spark, f"{root}/good")
+    rows = lines.data_lines(spark, seen.select("path", "length"))
+    exp = lines.data_lines(spark, [r.path for r in seen.collect()])
+    assert rows.count() == 62 * 4 and sorted(map(str, rows.collect())) == sorted(map(str, exp.collect()))
