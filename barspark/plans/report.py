@@ -11,7 +11,7 @@ from barspark.operators import profile as pf
 from barspark.schema import ANALYSIS_REQUIRED
 from barspark.session import written
 from barspark.sources import files as fl
-from barspark.sources.headers import grouped, header_names, plain_path, separator
+from barspark.sources.headers import header_names, of_files, plain_path, separator
 from barspark.sources.lines import write_lines
 from barspark.sources.listing import inspected, known_store
 from barspark.sources.readers import read_csv, read_stooq_raw
@@ -33,7 +33,7 @@ def quality_report(spark: SparkSession, root: str, as_of: str | None = None,
     seen = written(seen.select("path", "length", "valid", "error", separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names")), "inspected")
     listing = seen.withColumn("source", key(fl._plain(F.col("path"))))
     verdict = listing
-    found = grouped((r["path"], r["sep"], r["names"]) for r in seen.where("valid").select("path", "sep", "names").toLocalIterator())
+    found = of_files(seen.where("valid"))
     raw = read_stooq_raw(spark, root, with_source=True, layouts=found).withColumn("source", key(fl._plain(plain_path(F.col("_source")))))
     bars = raw.select("source", stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"),
                       numeric(F.col("`<CLOSE>`")).alias("close"))
@@ -68,20 +68,23 @@ def timestamp_report(spark: SparkSession, root: str, stooq: bool = True, as_of:
     pattern = pattern or ("*.txt" if stooq else "*.csv")
     need = ["<DATE>", "<TIME>"] if stooq else ["timestamp"]
     seen = fl.needs_columns(inspected(spark, root, pattern), need, "Empty file")
-    verdict = seen.select("path", "valid", "error", separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names")).orderBy("path").collect()
-    good = [r["path"] for r in verdict if r["valid"]]
-    found = grouped((r["path"], r["sep"], r["names"]) for r in verdict if r["valid"])
-    errors = spark.createDataFrame([(r["path"], r["error"]) for r in verdict if not r["valid"]], "path string, error string")
+    seen = written(seen.select("path", "length", "valid", "error", separator(F.col("header")).alias("sep"), header_names(F.col("header")).alias("names")), "inspected")
+    counts = {r["valid"]: r["count"] for r in seen.groupBy("valid").count().collect()}
+    good, bad = counts.get(True, 0), counts.get(False, 0)
+    found = of_files(seen.where("valid"))
+    errors = seen.where(~F.col("valid")).select("path", "error").orderBy("path")
     if stooq:
-        raw = read_stooq_raw(spark, good, with_source=True, layouts=found) if good else spark.createDataFrame([], "`<DATE>` string, `<TIME>` string, _source string")
+        raw = read_stooq_raw(spark, root, with_source=True, layouts=found) if good else spark.createDataFrame([], "`<DATE>` string, `<TIME>` string, _source string")
         rows = raw.select(F.col("_source").alias("source"), stooq_timestamp(F.col("`<DATE>`"), F.col("`<TIME>`")).alias("timestamp"))
     else:
-        rows = (read_csv(spark, good, with_source=True, layouts=found) if good else spark.createDataFrame([], "_source string, timestamp timestamp_ntz")).select(F.col("_source").alias("source"), "timestamp")
-    # the id grows with a row's place in its file: the splits of a scan are numbered in file order
-    figures = pf.timestamp_figures(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], as_of)
+        rows = (read_csv(spark, root, with_source=True, layouts=found) if good else spark.createDataFrame([], "_source string, timestamp timestamp_ntz")).select(F.col("_source").alias("source"), "timestamp")
+    # the id grows with a row's place in its file: the splits of a scan are numbered in file order. Kept as a table, as the figures
+    # go over the rows several times
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()), "timestamps")
+    figures = pf.timestamp_figures(rows, ["_at"], as_of)
     summary = figures.agg(F.count(F.lit(1)).alias("with_rows"), F.min("first_timestamp").alias("earliest_date"), F.max("last_timestamp").alias("latest_date"))
-    summary = summary.select(F.lit(len(verdict)).cast("long").alias("total_files"), F.lit(len(good)).cast("long").alias("processed_files"),
-                             F.lit(len(verdict) - len(good)).cast("long").alias("files_with_errors"), "earliest_date", "latest_date")
+    summary = summary.select(F.lit(good + bad).cast("long").alias("total_files"), F.lit(good).cast("long").alias("processed_files"),
+                             F.lit(bad).cast("long").alias("files_with_errors"), "earliest_date", "latest_date")
     return {"files": figures, "errors": errors, "summary": summary}
 
 

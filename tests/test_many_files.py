@@ -142,3 +142,16 @@ def test_lengths_of_the_listing_are_used(spark, many_files, monkeypatch):
     rows = lines.data_lines(spark, seen.select("path", "length"))
     exp = lines.data_lines(spark, [r.path for r in seen.collect()])
     assert rows.count() == 62 * 4 and sorted(map(str, rows.collect())) == sorted(map(str, exp.collect()))
+
+
+def test_reports_keep_paths_out_of_the_driver(spark, many_files):
+    root, got = many_files
+    files = quality_report(spark, root, as_of="2025-01-01")["files"]
+    report = timestamp_report(spark, root, as_of="2025-01-01")
+    assert max(map(len, got)) < 10
+    # the rows are a table already: no figure reads the files again
+    assert "MapInArrow" not in report["files"]._jdf.queryExecution().toString()
+    assert {(r.records, r.trading_days) for r in files.collect()} == {(4, 4)} and files.count() == 62
+    s = report["summary"].first()
+    assert (s.total_files, s.processed_files, s.files_with_errors) == (124, 62, 62) and str(s.latest_date) == "2024-01-04 09:30:00"
+    assert report["errors"].count() == 62 and report["files"].where("rows = 4 and invalid_dates = 0").count() == 62
