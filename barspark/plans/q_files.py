@@ -212,10 +212,9 @@ def q_validate_files(spark, sf_dir):
     listed = fl.list_files(spark, root, "*.txt").select("path")
     tickers = events_stooq_text(spark, sf_dir).select(F.col("`<TICKER>`").alias("t")).distinct()
     missing = tickers.select(F.concat(F.lit(f"{root}/missing/_part="), F.col("t"), F.lit("/gone.txt")).alias("path"))
-    good = listed.filter(F.col("path").contains("/good/"))
-    cands = (listed.withColumn("format", F.lit("txt"))
-             .unionByName(good.withColumn("format", F.lit("csv")))
-             .unionByName(missing.withColumn("format", F.lit("txt"))))
+    # one listing: files of good/ are candidates twice
+    formats = F.when(F.col("path").contains("/good/"), F.array(F.lit("txt"), F.lit("csv"))).otherwise(F.array(F.lit("txt")))
+    cands = listed.withColumn("format", F.explode(formats)).unionByName(missing.withColumn("format", F.lit("txt")))
     v = fl.validate_files(spark, cands, root)
     return v.select(*_kind_ticker(), "format", "valid", "error")
 

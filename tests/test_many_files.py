@@ -155,3 +155,15 @@ def test_reports_keep_paths_out_of_the_driver(spark, many_files):
     s = report["summary"].first()
     assert (s.total_files, s.processed_files, s.files_with_errors) == (124, 62, 62) and str(s.latest_date) == "2024-01-04 09:30:00"
     assert report["errors"].count() == 62 and report["files"].where("rows = 4 and invalid_dates = 0").count() == 62
+
+
+def test_validation_lists_once(spark, many_files, monkeypatch):
+    root, got = many_files
+    asked, real = [], ls.files_below
+    monkeypatch.setattr(ls, "files_below", lambda *a: asked.append(a) or real(*a))
+    open(f"{root}/good/a.json", "w").write('[{"ticker": "A", "close": 1}]')
+    cands = ls.files_below(spark, root).select("path", F.when(F.col("path").endswith("json"), "json").otherwise("txt").alias("format"))
+    asked.clear()
+    out = {(r.valid, r.error): r["count"] for r in fl.validate_files(spark, cands, root).groupBy("valid", "error").count().collect()}
+    assert len(asked) == 1
+    assert out == {(True, None): 62, (False, "Missing required columns: <DATE>, <CLOSE>"): 62, (False, "Missing required columns: timestamp"): 1}
