@@ -2,7 +2,9 @@
 
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,39 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert len(got) == len({(r.ticker_a, r.ticker_b) for r in got}) and {(r.ticker_a, r.ticker_b) for r in got} == exp
 
 
+def test_tickers_travel_packed(spark, monkeypatch):
+    """A row a ticker and band goes to the tasks, not one a date, and the input is evaluated once."""
+    rows = [(f"T{t:02}", d, float((t * 7 + d * d) % 11)) for t in range(40) for d in range(12) if (t + d) % 3]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def arrived(*_):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["b"]), pa.array([n], pa.int64()), pa.array([None], pa.float64())], ["ticker_a", "ticker_b", "dates", "correlation"])
+        return run
+
+    monkeypatch.setattr(corr, "_bands", arrived)
+    df = spark.createDataFrame(rows, "ticker string, date int, value double").mapInArrow(counted, "ticker string, date int, value double")
+    got = [r.dates for r in corr.ticker_correlation(df, tile=4).collect()]
+    bands = next(b for b in range(1, 41) if b * (b + 1) // 2 >= len(got))
+    assert len(got) == bands * (bands + 1) // 2 and sum(got) == 40 * bands
+    assert read.value == len(rows)
+
+
+def test_keys_without_an_order_in_arrow(spark):
+    """Keys that Arrow does not compare travel as rows a date, with the same pairs."""
+    rows = [(f"T{t:02}", d, float((t * 7 + d * d) % 11)) for t in range(9) for d in range(12) if (t + d) % 3]
+    df = spark.createDataFrame(rows, "ticker string, date int, value double")
+    plain = corr.ticker_correlation(df, least=3, tile=4, chunk=5).collect()
+    keyed = corr.ticker_correlation(df.withColumn("ticker", F.struct("ticker")), least=3, tile=4, chunk=5).collect()
+    assert sorted((r.ticker_a[0], r.ticker_b[0], r.dates, r.correlation) for r in keyed) == sorted(map(tuple, plain)) and len(plain) == 36
+
+
 def test_cleaned_folder_by_tasks(spark, tmp_dir, monkeypatch):
     write_stooq_text(stooq(spark, 30), f"{tmp_dir}/in")
     seen = []
