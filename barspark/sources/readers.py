@@ -8,9 +8,9 @@ extra pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,11 @@ from barspark.sources.headers import Layout, by_folder, grouped, json_shapes, of
 # Timestamp text written and read by the text sinks and scans.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
+#: Separates nothing: JSON allows no raw control character, so a file read by lines that end with it is a single line.
+NO_LINE = "\x01barspark\x01"
+#: Bytes of an array file that are read as one line; a line is in memory besides its rows, and Hadoop's longest has 2 GB.
+WHOLE = 512 << 20
+
 STRING_BARS = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
 
 
@@ -89,13 +94,27 @@ def read_json(spark: SparkSession, paths, with_source: bool = False, recursive:
     raw = None
     for array, files in sorted(shapes.items()):
         whole = len(shapes) == 1 and not known
-        r = reader(spark, recursive, glob) if whole else spark.read
-        part = _with_source(r.option("multiLine", array).schema(STRING_BARS).json(ps if whole else files), with_source)
+        r = (lambda: reader(spark, recursive, glob)) if whole else (lambda: spark.read)
+        part = (_read_arrays if array else _read_records)(r, ps if whole else files, with_source)
         raw = part if raw is None else raw.unionByName(part)
     raw = _empty(spark, BAR_COLUMNS + keep) if raw is None else raw
     return conform_schema(raw.withColumn("timestamp", F.try_to_timestamp("timestamp")), keep=keep)
 
 
+def _read_records(r: Callable[[], DataFrameReader], paths: list[str], with_source: bool) -> DataFrame:
+    return _with_source(r().option("multiLine", False).schema(STRING_BARS).json(paths), with_source)
+
+
+def _read_arrays(r: Callable[[], DataFrameReader], paths: list[str], with_source: bool) -> DataFrame:
+    """Files of one array each. Spark's multi-line reader keeps a number's text as written, for which it reads that place of the file
+    once more, each number by a request of its own. Of a line it has the bytes at hand, so files are read as a line each; compressed ones, where
+    the reader gives up the text, and those over ``WHOLE`` stay with it."""
+    apart = (F.col("_metadata.file_size") > WHOLE) | lines.packed(F.col("_metadata.file_path"))
+    parts = [_with_source(r().option(*option).schema(STRING_BARS).json(paths).where(rows), with_source)
+             for option, rows in ((("lineSep", NO_LINE), ~apart), (("multiLine", True), apart))]
+    return parts[0].unionByName(parts[1])
+
+
 def read_stooq_raw(spark: SparkSession, paths, with_source: bool = False, recursive: bool = False,
                    glob: str | None = None, layouts: list[Layout] | None = None) -> DataFrame:
     """Stooq text as the ten all-string Stooq columns, by each file's own header and separator.

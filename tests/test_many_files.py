@@ -1,5 +1,6 @@
 """Work that is measured in files, arrays or pairs: spread over tasks, and the same rows as before."""
 
+import gzip
 import json
 import os
 from collections.abc import Iterator
@@ -78,6 +79,47 @@ def test_arrays_are_bounded(spark, tmp_dir, monkeypatch):
     assert rd.read_json(spark, tmp_dir).count() == 45
 
 
+def test_arrays_are_read_once(spark, tmp_dir):
+    """The store is not asked again for each number."""
+    df = spark.range(3000).selectExpr("concat('T', id) ticker", "timestamp_ntz'2024-01-01' timestamp", "id / 7 open", "id / 3 close", "id / 9 vol")
+    sk.save(df.coalesce(1), tmp_dir, "json_array")
+    size = sum(os.path.getsize(f"{tmp_dir}/{f}") for f in os.listdir(tmp_dir) if f.startswith("part"))
+
+    def read_so_far():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+    bars = rd.read_json(spark, tmp_dir)
+    before = read_so_far()
+    assert sorted((r.ticker, r.open, r.close) for r in bars.collect()) == sorted((r.ticker, r.open, r.close) for r in df.collect())
+    assert size <= read_so_far() - before < 3 * size
+
+
+@pytest.mark.parametrize("whole", [512 << 20, 0])
+@pytest.mark.parametrize("split", ["128m", "64"])
+def test_arrays_are_read_as_by_spark(spark, tmp_dir, monkeypatch, whole, split):
+    """Arrays of any layout, broken ones too, also where Spark splits their files."""
+    one, two = ('{"ticker":%s,"open":%s,"high":"7.50","format":"f\\n"}' % x for x in (('"ä€"', "1.10"), ("1.10", "123456789012345678901234567890")))
+    texts = {"line": f"[{one},{two}]", "pretty": f"[\r\n  {one},\r\n\r\n  {two}\r\n]\r\n", "bom": f"\ufeff[{one}]", "none": "[]", "numbers": '[{"ticker":"n","open":1e400,"close":-0.0,"vol":true},{"open":{"z":1.10},"low":[1, 2.50]}]',
+             "cut": f"[{one},\n{two}"[:-9], "open": f"[{one},\n{two}\n", "more": f"[{one}] [{two}]", "odd": f"[null,{one},5]", "control": f"[{one}]".replace("f\\n", "f\x01")}
+    for name, text in texts.items():
+        open(f"{tmp_dir}/{name}.json", "wb").write(text.encode())
+    open(f"{tmp_dir}/bytes.json", "wb").write(b'[{"ticker":"\xff\xc3","open":2.50}]')
+    with gzip.open(f"{tmp_dir}/packed.json.gz", "wb") as f:
+        f.write(texts["line"].encode())
+    monkeypatch.setattr(rd, "WHOLE", whole)
+    monkeypatch.setattr(rd, "conform_schema", lambda df, keep: df)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for name in sorted(os.listdir(tmp_dir)):
+            path = f"{tmp_dir}/{name}"
+            exp = spark.read.option("multiLine", True).schema(rd.STRING_BARS).json(path).withColumn("timestamp", F.try_to_timestamp("timestamp"))
+            got = rd.read_json(spark, path, with_source=True, shapes={True: [path]})
+            assert [r._source.rsplit("/", 1)[1] for r in got.collect()] == [name] * exp.count()
+            assert sorted(map(str, got.drop("_source").collect())) == sorted(map(str, exp.collect())), name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_pairs_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(corr, "BAND", 2)
     rows = [(f"T{t:02}", d, float((t * 7 + d * d) % 11)) for t in range(40) for d in range(12) if (t + d) % 3]
