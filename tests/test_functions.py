@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.functions.columns import base_name, file_extension, file_stem, numeric, parent_dir, stooq_timestamp
+from barspark.functions.columns import base_name, file_extension, file_stem, numeric, parent_dir, rounded, rounded_many, stooq_timestamp
 from barspark.operators import profile as pf
 from barspark.sources import sinks as sk
 
@@ -27,6 +27,15 @@ def test_stooq_timestamp(spark):
     assert got == [dt.datetime(2024, 1, 31, 9, 30), dt.datetime(2024, 1, 31), None, None, None]
 
 
+def test_rounding_of_many_rows(spark):
+    """The same doubles, near ties, of large ones and of what is no number too; few take the decimal way."""
+    near = spark.range(-4000, 4000).selectExpr("explode(array(id / 1e6, id / 2e6, id / 1e6 + 5e-7, id / 1e6 + 5e-7 - 5e-9, id / 1e6 + 4.99e-7, id / 1e3 + 1e-10, id * 1e9 + 0.1234565, id / 7)) x")
+    odd = spark.createDataFrame([(x,) for x in (None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -5e-9, -1e-9, 1e300, 5e-324, 0.99999949, -1.0)], "x double")
+    for places in (6, 2):
+        got = near.unionByName(odd).select(rounded("x", places).alias("a"), rounded_many("x", places).alias("b")).collect()
+        assert len(got) == 64_012 and [repr(r.a) for r in got] == [repr(r.b) for r in got]
+
+
 def test_path_parts(spark):
     df = spark.createDataFrame([("/data/daily/us/aapl.us.txt",), ("x",)], "p string")
     r = df.select(base_name("p").alias("b"), file_stem("p").alias("s"), file_extension("p").alias("e"),
